@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, url_rules
+from . import bpe, merkle, secrets, toxicity, url_rules
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
@@ -17,6 +17,22 @@ UNWANTED = ("casino", "bets", "pills", "spam", "adult", "porn", "viagra", "ads",
 PATTERNS = [url_rules.Rule(word, "block", rf"(?:\A|[^a-z0-9]){word}(?:[^a-z0-9]|\Z)", (word,)) for word in UNWANTED]
 
 
+# The chain's categories over `labels`, in order; the last decides.
+CHAIN = {"low_quality": "quality = 0", "toxic": "toxic"}
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = secrets.listed(F.filter("spans", lambda s: s["kind"] < len(secrets.BASE)))
+    return found.select("doc_id", *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)], F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), CHAIN)).withColumnRenamed("flagged", "toxic")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -56,7 +72,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op9_url_rules, op10_merkle)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op4_byte_bpe, op9_url_rules, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
