@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, packing, secrets, topk, toxicity, url_rules
+from . import bpe, merkle, near_dups, packing, secrets, topk, toxicity, url_rules
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
@@ -44,6 +44,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), 75, 100)
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, 64.0)
 
@@ -81,7 +85,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op6_top_k, op9_url_rules, op10_merkle)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op9_url_rules, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
