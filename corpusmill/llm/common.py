@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # bytes of text handled at once by the vectorised code
+ROWS = 500
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -59,7 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id (long) and text (null: empty); extra or clashing columns go no further."""
+    """Only doc_id (long) and text (null: empty); extra or clashing columns go no further.
+
+    Texts reach Python in Arrow batches of at most ROWS rows, which bounds a worker's memory.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
