@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, near_dups, packing, repeats, secrets, topk, toxicity, url_rules
+from . import bpe, maxent, merkle, near_dups, packing, repeats, secrets, topk, toxicity, url_rules
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
@@ -57,6 +57,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_rules.judge(table(spark, sf_dir, "pages"), SITES + PATTERNS)
     return out.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("rule")).alias("rule"), "verdict")
@@ -90,7 +94,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op7_repeats, op9_url_rules, op10_merkle)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op7_repeats, op8_maxent, op9_url_rules, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
