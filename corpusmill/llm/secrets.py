@@ -81,14 +81,16 @@ def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, ru
     spark = versions.sparkSession
     ledger = ledger or f"{shared_folder(spark)}/ledger-{__import__('uuid').uuid4().hex}"
     own = versions.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    unseen = own.groupBy("blob").agg(F.min("key").alias("key"))
+    unseen = own.groupBy("blob").agg(F.min("key").alias("key"), F.count("*").alias("versions"))
     schema = f"blob binary, rules string, spans {SPANS}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/seen")
     if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
         seen = spark.read.schema("blob binary, rules string").parquet(f"{ledger}/seen").where(F.col("rules") == version)
         unseen = unseen.join(seen, "blob", "left_anti")
-    one = own.alias("o").join(unseen.alias("u"), (F.col("o.blob") == F.col("u.blob")) & F.col("o.key").eqNullSafe(F.col("u.key")), "left_semi").select("o.blob", "o.text")
-    scanned = one.select("blob", F.lit(version).alias("rules"), all_spans(F.col("text"), rules).alias("spans")).where(F.size("spans") > 0)
+    one = own.alias("o").join(unseen.alias("u"), (F.col("o.blob") == F.col("u.blob")) & F.col("o.key").eqNullSafe(F.col("u.key"))).select("o.blob", "o.text", "u.versions")
+    # the spans depend on the ledger's side, so that no rule is pushed below the join and run on known blobs
+    spans = F.when(F.col("versions") > 0, all_spans(F.col("text"), rules))
+    scanned = one.select("blob", F.lit(version).alias("rules"), spans.alias("spans")).where(F.size("spans") > 0)
     scanned.write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
     findings = spark.read.schema(schema).parquet(f"{ledger}/findings").where(F.col("rules") == version).select("blob", "spans").dropDuplicates(["blob"])
