@@ -1,0 +1,5 @@
+"""Registered queries: importing this package fills the registry."""
+
+from . import searches, states, texts
+
+__all__ = ["searches", "states", "texts"]
