@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +105,43 @@ def preview_kind(path: Column) -> Column:
 def date_phrase(month: str, year: str) -> str:
     """The phrase that stands for a date filter; a month without a year filters nothing."""
     return "" if not year else f"{month} de {year}".strip() if month else f"de {year}"
+
+
+TOKENS = 42
+
+
+def token_snippet(source: Column, words: list[str], size: int = TOKENS) -> Column:
+    """The run of size tokens with most different query words (prefixes; the earliest such run), its hits marked.
+
+    Ellipses stand for what is cut off. An Arrow function: a window's best start depends on all hits of the text.
+    """
+    token = re.compile(r"[^\W_]+")
+
+    def plain(word: str) -> str:
+        return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
+
+    def one(raw: str | None) -> str | None:
+        if raw is None:
+            return None
+        places = [m.span() for m in token.finditer(raw)]
+        hits = [next((i for i, w in enumerate(words) if plain(raw[a:b]).startswith(w)), -1) for a, b in places]
+        best, at = 0, 0
+        for start in [i for i, h in enumerate(hits) if h >= 0]:
+            found = len({h for h in hits[start : start + size] if h >= 0})
+            if found > best:
+                best, at = found, start
+        at = max(0, min(at, len(places) - size))
+        chosen = list(zip(places, hits, strict=True))[at : at + size]
+        if not chosen:
+            return raw
+        out, end = ("..." if at else raw[: chosen[0][0][0]]), chosen[0][0][0]
+        for (a, b), hit in chosen:
+            out += raw[end:a] + (f"<mark>{raw[a:b]}</mark>" if hit >= 0 else raw[a:b])
+            end = b
+        return out + ("..." if at + size < len(places) else raw[end:])
+
+    @F.pandas_udf("string")
+    def snippets(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return snippets(source)

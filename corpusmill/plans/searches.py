@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import search
 from ..sources.tables import load
 from .registry import query
@@ -88,3 +89,11 @@ def category_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = load(spark, sf_dir, "documents").where("doc_id = 16")
     return one.join(load(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.substring("text", 1, 420).alias("preview"), "toxic")
+
+
+@query()
+def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the best window of tokens; the tests hold it against a brute-force version."""
+    docs = load(spark, sf_dir, "documents")
+    top = search.page(search.search_full_text(docs, "doc_id", F.col("text"), "lice th"), [F.col("rank"), F.col("doc_id")], 20)
+    return docs.join(F.broadcast(top), "doc_id").select("doc_id", text.token_snippet(F.col("text"), ["lice", "th"]).alias("snippet"))  # 20 rows
