@@ -1,17 +1,18 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 A document's set is that of its 5-word shingles (64-bit names). Equal sets form a class at once, and only a class's
-representative (its smallest doc_id) goes on. Each representative branches into FIRST nodes, one for each of that many
-minwise tokens: two sets meet in a node with the probability of their similarity. Within a node:
+representative (its smallest doc_id) goes on. Each representative branches into FIRST nodes, each chosen by PATH of its
+minwise tokens: two sets of similarity s meet in one with probability s**PATH. Within a node:
 
 1. every member is compared with the node's pivot (its smallest id), which links groups of any size by few pairs;
 2. after the components of these links are known, only pairs of different components are left. A node in which all but
-   LEAST members belong to one component is compared exhaustively between components;
-3. a larger mixed node branches: its members go to BRANCHES child nodes, each chosen by two further minwise tokens that
-   depend on the node (a set of similarity s survives a branch with probability s**2). Nodes that are still large at
-   DEPTH are compared exhaustively as well, so no cap drops a pair.
+   LEAST members belong to one component is compared exhaustively: the few against all, in tasks of BLOCK members that
+   read the texts and return links alone;
+3. a larger mixed node branches: its members go to BRANCHES child nodes, each chosen by PATH further minwise tokens that
+   depend on the node. Less similar sets lose each other from level to level. Nodes that are still large at DEPTH are
+   compared exhaustively as well, in chunks of LEAST, so no cap drops a pair.
 
-With similarity 0.75 a pair meets in 12 of 16 independent first nodes on average and misses all with probability 2e-10.
+With similarity 0.75 a pair meets in 13 of 32 independent first nodes on average and misses all with probability 2e-8.
 Compared pairs are first estimated from SIGNS minwise tokens of 16 bits, rejecting only what lies MARGIN (over five
 standard deviations) below the threshold, then confirmed on the full sets. Components come from distributed star rounds.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import buffers, discard, id_text, materialize, mix, run_names, word_names
 from .components import components
 
-WIDTH, SIGNS, FIRST, BRANCHES, LEAST, DEPTH, MARGIN = 5, 128, 16, 4, 32, 5, 0.2
+WIDTH, SIGNS, FIRST, PATH, BRANCHES, LEAST, BLOCK, DEPTH, MARGIN = 5, 128, 32, 3, 4, 256, 1024, 5, 0.2
 FILTER_BITS = 24  # of the bounded bitmap that thins out texts before a join
 _dice = np.random.default_rng(20_240)
 _MUL = _dice.integers(0, 1 << 31, SIGNS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -55,8 +56,10 @@ def minwise(names: np.ndarray) -> np.ndarray:
     """The SIGNS minwise tokens (32 bits) of a set."""
     half = (names >> np.uint64(32)).astype(np.uint32)
     best = np.full(SIGNS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(half), 1024):
-        best = np.minimum(best, (half[i : i + 1024, None] * _MUL + _ADD).min(axis=0))
+    for i in range(0, len(half), 128):  # blocks that stay in the cache
+        block = half[i : i + 128, None] * _MUL
+        block += _ADD
+        np.minimum(best, block.min(axis=0), out=best)
     return best
 
 
@@ -65,6 +68,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(FIRST, dtype=np.uint64) << np.uint64(32)
+        odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             size, prints, signs, nodes = [], [], [], []
             for _, names in shingle_sets(*buffers(batch.column("text"))):
@@ -79,7 +83,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 prints.append(np.array([sums[0], sums[1] + np.uint64(len(names))], np.uint64).tobytes())
                 best = minwise(names)
                 signs.append((best >> np.uint32(8)).astype(np.uint16).tobytes())
-                nodes.append(mix(best[:FIRST].astype(np.uint64) + place).view(np.int64))
+                node = place.copy()
+                for step in best[: FIRST * PATH].reshape(PATH, FIRST).astype(np.uint64):
+                    with np.errstate(over="ignore"):
+                        node = mix(node * odd + step)
+                nodes.append(node.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "signs", "nodes"])
 
     return id_text(docs).mapInArrow(work, "doc_id long, n_shingles long, print binary, signs binary, nodes array<long>")
@@ -117,23 +125,31 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids (id), written."""
+    # an inner join: a semi-join would be pushed below the bitmap and shuffle all texts
+    return materialize(thinned(id_text(docs), ids).join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "text"), "texts")
+
+
+def similar(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared > 0 and den * shared >= num * (len(one) + len(other) - shared)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * |intersection| >= num * |union| of their full sets; pairs: a written table."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(thinned(id_text(docs), ids).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            a_ids, a_texts = batch.column("a"), buffers(batch.column("t_a"))
+            a_ids, a_keys, (data, at) = batch.column("a"), batch.column("h_a"), buffers(batch.column("t_a"))
             for row, mine in shingle_sets(*buffers(batch.column("t_b"))):
-                key = (a_ids[row].as_py(), batch.column("h_a")[row].as_py())
+                key = (a_ids[row].as_py(), a_keys[row].as_py())
                 if key != last:
-                    data, at = a_texts
                     last, held = key, next(s for _, s in shingle_sets(data, at[row : row + 2]))
-                shared = len(np.intersect1d(mine, held, assume_unique=True))
-                keep.append(shared > 0 and den * shared >= num * (len(mine) + len(held) - shared))
+                keep.append(similar(mine, held, num, den))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -144,6 +160,57 @@ def confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     return edges
 
 
+def exhaustive(leaves: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components of leaf nodes; leaves (node, id, root, major, minor, n): a written table.
+
+    The members outside the major component (the few) are dealt to chunks of about LEAST, all members to blocks of
+    about BLOCK. A task holds one chunk of a node and streams one block past it.
+    """
+    texts = texts_of(leaves.select("id").distinct(), docs)
+    chunks, blocks = F.ceil(F.col("minor") / LEAST).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = leaves.withColumn("few", F.col("root") != F.col("major")).withColumn("_c", F.pmod(F.xxhash64("id", "node"), chunks).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node", "id"), blocks).cast("int"))
+    goal = lambda c, b, held: F.struct(c.cast("int").alias("c"), b.cast("int").alias("b"), F.lit(held).alias("held"))
+    as_few = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: goal(F.col("_c"), b, 0))
+    as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: goal(c, F.col("_b"), 1))
+    # within a chunk the few meet each other as they come, so they pass as members only by other chunks
+    others = F.when(~F.col("few"), as_member).otherwise(F.filter(as_member, lambda g: g["c"] != F.col("_c")))
+    sent = dealt.select("node", "id", "root", F.explode(F.when(F.col("few"), F.concat(as_few, others)).otherwise(others)).alias("g"))
+    rows = sent.join(reps.select("id", "signs"), "id").join(texts, F.col("id") == F.col("doc_id")).select("node", "g.c", "g.b", "g.held", "id", "root", "signs", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, roots, signs, sets = None, [], [], [], []
+        table = np.zeros((0, SIGNS), np.uint16)
+        for batch in batches:
+            found = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("node", "c", "b")), strict=True))
+            held, own, root, sign = (batch.column(c).to_pylist() for c in ("held", "id", "root", "signs"))
+            data, at = buffers(batch.column("text"))
+            for i, key in enumerate(keys):
+                if key != now:
+                    now, ids, roots, signs, sets = key, [], [], [], []
+                    table = np.zeros((0, SIGNS), np.uint16)
+                mine, names = np.frombuffer(sign[i], np.uint16), None
+                if len(table) != len(signs):
+                    table = np.array(signs)
+                for k in np.flatnonzero((table == mine).mean(axis=1) >= num / den - MARGIN) if len(signs) else ():
+                    if roots[k] != root[i]:
+                        if names is None:
+                            names = next(s for _, s in shingle_sets(data, at[i : i + 2]))
+                        if similar(names, sets[k], num, den):
+                            found.append((min(ids[k], own[i]), max(ids[k], own[i])))
+                if held[i] == 0:
+                    ids.append(own[i])
+                    roots.append(root[i])
+                    signs.append(mine)
+                    sets.append(names if names is not None else next(s for _, s in shingle_sets(data, at[i : i + 2])))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    edges = materialize(rows.repartition(F.col("node"), F.col("c"), F.col("b")).sortWithinPartitions("node", "c", "b", "held").mapInArrow(work, "a long, b long").distinct(), "links")
+    discard(texts)
+    return edges
+
+
 def children(members: DataFrame, reps: DataFrame, level: int) -> DataFrame:
     """(node, id) of the child nodes of members (node, id)."""
 
@@ -159,7 +226,7 @@ def children(members: DataFrame, reps: DataFrame, level: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 for k in range(BRANCHES):
                     name = mix(node + np.uint64(level * 64 + k + 1))
-                    for j in range(2):
+                    for j in range(PATH):
                         # which token is looked at depends on the node alone
                         which = (mix(name + np.uint64(j)) % np.uint64(SIGNS)).astype(np.int64)
                         name = mix(name * np.uint64(31) + signs[np.arange(n), which])
@@ -191,29 +258,23 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     found = materialize(components(links), "components")
 
     # pairs between components that the stars did not compare
-    level, now, left = 1, members.select("node", "id"), None
+    level, now, leaves = 1, members.select("node", "id"), None
     while True:
         labelled = now.join(found, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
         sizes = labelled.groupBy("node", "root").agg(F.count("*").alias("n"))
         nodes = sizes.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-        mixed = materialize(labelled.join(nodes.select("node", "major", (F.col("n") - F.col("most")).alias("minor")), "node"), "mixed")
+        mixed = materialize(labelled.join(nodes.select("node", "major", "n", (F.col("n") - F.col("most")).alias("minor")), "node"), "mixed")
         leaf = mixed if level == DEPTH else mixed.where(F.col("minor") <= LEAST)
-        few = leaf.where("root != major").select("node", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("major").alias("mx"))
-        met = few.join(leaf.select("node", F.col("id").alias("y"), F.col("root").alias("ry")), "node").where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("mx")) | (F.col("x") < F.col("y"))))
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        left = pairs if left is None else left.union(pairs)
+        leaves = leaf if leaves is None else leaves.union(leaf)
         deep = mixed.where(F.col("minor") > LEAST)
         if level == DEPTH or deep.isEmpty():
             break
         level += 1
         now = materialize(crowded(children(deep, reps, level).distinct()).select("node", "id"), "children")
-    star_pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    rest = materialize(likely(left.distinct().join(star_pairs, ["a", "b"], "left_anti"), reps, share), "pairs")
-    if not rest.isEmpty():
-        more = confirm(rest, docs, num, den)
+    if not leaves.isEmpty():
+        more = exhaustive(leaves, reps, docs, num, den)
         if not more.isEmpty():
-            joined = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
-            found = materialize(components(joined), "components")
+            found = materialize(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "components")
     roots = classes.join(found, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     out = rows.select("doc_id", "n_shingles", "print").join(roots, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -54,7 +54,7 @@ def group(dice, n, words, edits, base):
     return out
 
 
-@pytest.mark.parametrize("least", [32, 2])
+@pytest.mark.parametrize("least", [256, 2])
 def test_large_groups_and_edges(spark, monkeypatch, least):
     monkeypatch.setattr(near_dups, "LEAST", least)
     dice = random.Random(7)
