@@ -29,8 +29,8 @@ class Corpus:
 
     def stats(self) -> DataFrame:
         """One row: decisions, citations, rejections."""
-        count = lambda df, name: (df.agg(F.count("*").alias(name)) if df is not None else self.docs.limit(0).agg(F.count("*").alias(name)))
-        return count(self.docs, "decisions").crossJoin(count(self.citations, "citations")).crossJoin(count(self.rejected, "rejections"))  # one row each
+        count = lambda df: (F.lit(0).cast("long") if df is None else df.agg(F.count("*")).scalar())
+        return self.docs.agg(F.count("*").alias("decisions")).select("decisions", count(self.citations).alias("citations"), count(self.rejected).alias("rejections"))
 
     def _text(self) -> Column:
         return F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in [*self.fields.values(), self.body]])
@@ -60,8 +60,8 @@ class Corpus:
         one = self.docs.where(F.col(self.key) == F.lit(id)).withColumn("preview", F.substring(self.body, 1, text.WINDOW)).drop(self.body)
         if self.citations is None:
             return one
-        own = self.citations.where(F.col(self.citation_key) == F.lit(id)).agg(F.array_sort(F.collect_list(F.struct(*[c for c in self.citations.columns if c != self.citation_key]))).alias("citations"))
-        return one.crossJoin(own)  # one row each
+        own = self.citations.where(F.col(self.citation_key) == F.lit(id)).agg(F.array_sort(F.collect_list(F.struct(*[c for c in self.citations.columns if c != self.citation_key]))).alias("citations")).scalar()
+        return one.withColumn("citations", own)
 
     def file(self, id: object, path: str, root: str) -> DataFrame:
         """Where a document's file is and how it is sent; `allowed` is false for a path outside root."""

@@ -104,14 +104,14 @@ def search_full_text(docs: DataFrame, key: str, text: Column, query: str, mode:
     inside = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     found = docs.select(F.col(key), inside.alias("_in"), measured(terms(F.coalesce(text, F.lit(""))), words, mode).alias("_m"))
     hits = found.select(key, "_in", F.col("_m.d").alias("_d"), *[F.col(f"_m.f{i}").alias(f"_f{i}") for i in range(n_parts)])
-    stats = hits.agg(F.count("*").alias("_n"), F.avg("_d").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(n_parts)])
-    found = hits
+    stats = hits.agg(F.struct(F.count("*").alias("_n"), F.avg("_d").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(n_parts)]).alias("_s")).scalar()
+    found = hits.withColumn("_s", stats)
     for i in range(n_parts):
         found = found.where(F.col(f"_f{i}") > 0)
     rank = F.lit(0.0)
     for i in range(n_parts):
-        f, n = F.col(f"_f{i}"), F.col(f"_n{i}")
-        idf = F.log((F.col("_n") - n + 0.5) / (n + 0.5))
+        f, n = F.col(f"_f{i}"), F.col(f"_s._n{i}")
+        idf = F.log((F.col("_s._n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
-    return found.where("_in").crossJoin(F.broadcast(stats)).select(key, rank.alias("rank"))  # stats is one row
+        rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_s._avg")))
+    return found.where("_in").select(key, rank.alias("rank"))

@@ -75,9 +75,9 @@ def latest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of 500 from -5 is clamped to 100 from 0; the total comes from one aggregate row."""
     found = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    total = found.agg(F.count("*").alias("total"))
+    total = found.agg(F.count("*").alias("total")).scalar()
     rows = search.page(found.select("o_orderkey"), [F.col("o_orderkey")], 500, -5)
-    return rows.crossJoin(F.broadcast(total)).select("o_orderkey", "total", F.ceil(F.col("total") / 100).alias("pages"))
+    return rows.withColumn("total", total).select("o_orderkey", "total", F.ceil(F.col("total") / 100).alias("pages"))
 
 
 @query("SELECT source AS category, count(*) AS n, count(DISTINCT lang) AS folders FROM documents GROUP BY source")

@@ -14,9 +14,9 @@ from .registry import query
 
 @query("""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM conversations) AS turns""")
 def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda name, alias: load(spark, sf_dir, name).agg(F.count("*").alias(alias))
+    count = lambda name: load(spark, sf_dir, name).agg(F.count("*")).scalar()
     sizes = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("conversations"), F.sum("n").alias("turns"))
-    return count("documents", "documents").crossJoin(count("labels", "labels")).crossJoin(sizes)  # one row each
+    return sizes.select(count("documents").alias("documents"), count("labels").alias("labels"), "conversations", "turns")
 
 
 @query("""WITH b AS (SELECT p_name AS path, p_partkey FROM part UNION ALL SELECT p_name || ' (1)', p_partkey + 1000000 FROM part WHERE p_partkey % 97 = 0),
@@ -220,8 +220,8 @@ def distinct_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6) AS percent FROM events GROUP BY event_type""")
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_type = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    total = by_type.agg(F.sum("n").alias("total"))
-    return by_type.crossJoin(F.broadcast(total)).select("event_type", "n", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.nullif("total", F.lit(0))), 6).alias("percent"))
+    total = by_type.agg(F.sum("n").alias("total")).scalar()
+    return by_type.withColumn("total", total).select("event_type", "n", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.nullif("total", F.lit(0))), 6).alias("percent"))
 
 
 @query("""WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1), c AS (SELECT day, sum(n) OVER (ORDER BY day) AS done, (SELECT count(*) FROM events) AS total, (epoch(day) - epoch((SELECT min(day) FROM d)) + 86400.0) AS s FROM d)
