@@ -25,6 +25,7 @@ TEXTS = [
     "apikey:abcdef",
     "\u212aapi_key=ab token=tok_en123 " * 500,
     "-----BEGIN RSA PRIVATE KEY-----",
+    "0a" * 200_000 + " token=" + "x" * 200_000 + " AKIA" + "B" * 100_000,
 ]
 
 
