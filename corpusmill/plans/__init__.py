@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import searches, states, texts
+from . import records, searches, states, texts
 
-__all__ = ["searches", "states", "texts"]
+__all__ = ["records", "searches", "states", "texts"]
