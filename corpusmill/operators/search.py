@@ -87,9 +87,9 @@ def prefix_hits(tokens: Column, word: str) -> Column:
 
 
 def measured(tokens: Column, words: list[str], mode: str) -> Column:
-    """A struct of the token count and each part's hits; the lambda binds the tokens, so they are made once."""
+    """An array of one struct: the token count and each part's hits; the lambda binds the tokens, so they are made once."""
     parts = (lambda t: [phrase_hits(t, words)]) if mode == "phrase" else (lambda t: [prefix_hits(t, w) for w in words])
-    return F.get(F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("d"), *[p.alias(f"f{i}") for i, p in enumerate(parts(t))])), F.lit(0))
+    return F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("d"), *[p.alias(f"f{i}") for i, p in enumerate(parts(t))]))
 
 
 def search_full_text(docs: DataFrame, key: str, text: Column, query: str, mode: str = "words", where: Column | None = None) -> DataFrame:
@@ -101,17 +101,23 @@ def search_full_text(docs: DataFrame, key: str, text: Column, query: str, mode:
     if not words:
         return docs.select(F.col(key), F.lit(0.0).alias("rank")).where(F.lit(False))
     n_parts = 1 if mode == "phrase" else len(words)
-    inside = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
-    found = docs.select(F.col(key), inside.alias("_in"), measured(terms(F.coalesce(text, F.lit(""))), words, mode).alias("_m"))
-    hits = found.select(key, "_in", F.col("_m.d").alias("_d"), *[F.col(f"_m.f{i}").alias(f"_f{i}") for i in range(n_parts)])
-    stats = hits.agg(F.struct(F.count("*").alias("_n"), F.avg("_d").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(n_parts)]).alias("_s")).scalar()
-    found = hits.withColumn("_s", stats)
-    for i in range(n_parts):
-        found = found.where(F.col(f"_f{i}") > 0)
+    own = docs if where is None else docs.where(where)
+    measure = measured(terms(F.coalesce(text, F.lit(""))), words, mode)
+    every = docs.select(F.explode(measure).alias("m")).select("m.*")
+    stats = every.agg(F.struct(F.count("*").alias("_n"), F.avg("d").alias("_avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"_n{i}") for i in range(n_parts)]).alias("_s")).scalar()
+
+    def matches(m: Column) -> Column:
+        found = m["f0"] > 0
+        for i in range(1, n_parts):
+            found = found & (m[f"f{i}"] > 0)
+        return found
+
+    # the condition sits inside the generator: a filter would be pushed below and make the tokens again
+    found = own.select(F.col(key), F.explode(F.filter(measure, matches)).alias("_m")).select(key, F.col("_m.d").alias("_d"), *[F.col(f"_m.f{i}").alias(f"_f{i}") for i in range(n_parts)]).withColumn("_s", stats)
     rank = F.lit(0.0)
     for i in range(n_parts):
         f, n = F.col(f"_f{i}"), F.col(f"_s._n{i}")
         idf = F.log((F.col("_s._n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_s._avg")))
-    return found.where("_in").select(key, rank.alias("rank"))
+    return found.select(key, rank.alias("rank"))
