@@ -16,7 +16,7 @@ def folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a temporary one only in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
     return f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}"
