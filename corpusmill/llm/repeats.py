@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, id_text, materialize, mix, word_names
 
-WIDTH, ROUNDS, FLUSH, BUCKET, LEAST_BUCKETS = 35, 6, 1_500_000, 16 << 20, 64
+WIDTH, ROUNDS, FLUSH, BUCKET, LEAST_BUCKETS = 35, 6, 500_000, 16 << 20, 64
 SAMPLE, SPREAD, FILTER_BITS = 64, 64, 24
 _STEP = 0xD6E8FEB86659FD93 | 1
 _CODE = np.uint64((1 << 48) - 1)

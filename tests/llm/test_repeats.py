@@ -33,7 +33,7 @@ def test_query_equals_brute_force(spark):
     assert told(queries.op7_repeats(spark, "/root/testdata/sf0.01").withColumnRenamed("kept_sha256", "s")) == brute(rows)
 
 
-@pytest.mark.parametrize(("sample", "flush"), [(64, 1_500_000), (1, 2000)])
+@pytest.mark.parametrize(("sample", "flush"), [(64, 500_000), (1, 2000)])
 def test_edges(spark, monkeypatch, sample, flush):
     monkeypatch.setattr(repeats, "SAMPLE", sample)
     monkeypatch.setattr(repeats, "FLUSH", flush)
