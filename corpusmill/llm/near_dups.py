@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
     same = same.select("a", "b").union(same.select("doc_id", "a"))
     links = confirm(stars, docs, num, den).union(same)
     found = materialize(components(links), "components")
+    spent = [members, stars]
 
     # pairs between components that the stars did not compare
     level, now, leaves = 1, members.select("node", "id"), None
@@ -264,6 +265,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         sizes = labelled.groupBy("node", "root").agg(F.count("*").alias("n"))
         nodes = sizes.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
         mixed = materialize(labelled.join(nodes.select("node", "major", "n", (F.col("n") - F.col("most")).alias("minor")), "node"), "mixed")
+        spent.append(mixed)
         leaf = mixed if level == DEPTH else mixed.where(F.col("minor") <= LEAST)
         leaves = leaf if leaves is None else leaves.union(leaf)
         deep = mixed.where(F.col("minor") > LEAST)
@@ -271,10 +273,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
             break
         level += 1
         now = materialize(crowded(children(deep, reps, level).distinct()).select("node", "id"), "children")
+        spent.append(now)
     if not leaves.isEmpty():
         more = exhaustive(leaves, reps, docs, num, den)
         if not more.isEmpty():
             found = materialize(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "components")
+    for table in [*spent, reps]:
+        discard(table)  # the result reads the sketches and the components alone
     roots = classes.join(found, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     out = rows.select("doc_id", "n_shingles", "print").join(roots, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
