@@ -6,7 +6,8 @@ model sees them as they are at scoring. Words are lower-cased (A-Z) runs without
 features: itself without ASCII punctuation at its ends, and its first four and first six bytes.
 
 Fitting uses a bounded sample: the MAX_TRAIN labelled documents of least xxhash64(doc_id), and of the DIMS hashed
-features the PICK that tell a category apart best. Every document is scored over its whole text.
+features the PICK that tell a category apart best, by LEAST_Z
+standard deviations at least. Every document is scored over its whole text.
 
 Null text: empty (the models' intercepts alone). Null labels or doc_id: not used for fitting. Repeated labels of a
 document: the largest counts. No labels, or no positive ones: the share of positives for every document. Repeated rows
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, mix, word_names
+from .common import buffers, discard, id_text, materialize, mix, word_names
 
-DIMS, MAX_TRAIN, PICK, FOLDS, STEPS, L2 = 1 << 20, 16_384, 4096, 4, 150, 2e-4
+DIMS, MAX_TRAIN, PICK, FOLDS, STEPS, L2, LEAST_Z = 1 << 20, 16_384, 4096, 4, 150, 2e-4, 4.0
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -114,7 +115,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     i = int(np.argmax(f1))
     low = p[order[i + 1]] if i + 1 < len(p) else 0.0
-    return float(min(max((p[order[i]] + low) / 2, 0.05), 0.9))
+    return float(min(max((p[order[i]] + low) / 2, 0.2), 0.9))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = MAX_TRAIN) -> Model:
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_trai
 
     n_rows = sample.agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]).first()
     total = n_rows["n"]
-    counts = rows.mapInArrow(tally, f"feature int, {', '.join(f'y{i} long' for i in range(k))}, n long").groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)])
+    counts = materialize(rows.mapInArrow(tally, f"feature int, {', '.join(f'y{i} long' for i in range(k))}, n long").groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]), "tally")  # a row for each feature, DIMS at most
     picked: set[int] = set()
     for i in range(k):
         pos = float(n_rows[f"y{i}"] or 0)
@@ -148,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_trai
             continue
         share = (F.col(f"y{i}") + F.lit(pos / total)) / (F.col("n") + 1)
         z = F.abs(share - pos / total) * F.sqrt(F.col("n")) / float(np.sqrt(pos / total * (1 - pos / total)))
-        picked |= {r["feature"] for r in counts.where(F.col("n") >= 3).orderBy(z.desc(), "feature").limit(PICK).select("feature").collect()}
+        picked |= {r["feature"] for r in counts.where((F.col("n") >= 3) & (z >= LEAST_Z)).orderBy(z.desc(), "feature").limit(PICK).select("feature").collect()}
+    discard(counts)
     chosen = np.array(sorted(picked), dtype=np.int64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
