@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20  # bytes of text handled at once by the vectorised code
 ROWS = 500
 U64 = np.uint64
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEQ = 0xD6E8FEB86659FD93 | 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -31,13 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only in local mode without that setting."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = local_folder()
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
