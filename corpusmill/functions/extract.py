@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import norm, norm_label
+from .fold import bound, norm, norm_label
 
 # Patterns of the documents' own vocabulary.
 CODE = r"\b(\d{8,14})([A-Z]{2})\b"
@@ -73,17 +73,20 @@ def cell_value(cell: Column, label: str) -> Column:
 def rejection(name: Column, text: Column) -> Column:
     """Why a document is no decision, or null: ordered rules, the first that fits."""
     stem = F.regexp_replace(F.regexp_replace(norm(F.regexp_extract(name, "([^/]*)$", 1)), "^[^0-9a-z]+", ""), "^copia\\s+de\\s+", "")
-    head = norm(F.left(text, F.lit(20_000)))
+    folded = F.struct(stem.alias("stem"), norm(F.left(text, F.lit(20_000))).alias("head"))
+    session = bound(folded, lambda x: _session(x["stem"], x["head"]))
+    return F.when(text.isNull(), F.lit("texto nao extraido")).otherwise(F.coalesce(session, F.when(~text.rlike(DECISION), F.lit("sem dispositivo da decisao"))))
+
+
+def _session(stem: Column, head: Column) -> Column:
+    """Why a document is of a session and no decision, or null; an empty head has no reason here."""
     session = head.contains("junta integrada de julgamento fiscal") & head.contains("sessao") & _any(head, ("membros presentes", "foi aberta a sessao", "presidente", "secretaria"))
     strong = stem.rlike("^ata(?:\\b|\\s|\\d)") | stem.rlike("^controle\\s+de\\s+votacao\\b") | stem.rlike("^sessao\\s*\\d")
-    told = head != ""
     return (
-        F.when(text.isNull(), F.lit("texto nao extraido"))
-        .when(told & head.contains("controle de votacao"), F.lit("controle de votacao"))
-        .when(told & (head.rlike("\\bata\\s+da\\b.{0,180}\\bsessao\\b") | head.contains("ata da sessao")), F.lit("ata de sessao"))
-        .when(told & head.contains("defesas julgadas") & session, F.lit("ata com defesas julgadas"))
-        .when(told & strong & session, F.lit("nome de sessao confirmado pelo conteudo"))
-        .when(~text.rlike(DECISION), F.lit("sem dispositivo da decisao"))
+        F.when(head.contains("controle de votacao"), F.lit("controle de votacao"))
+        .when(head.rlike("\\bata\\s+da\\b.{0,180}\\bsessao\\b") | head.contains("ata da sessao"), F.lit("ata de sessao"))
+        .when(head.contains("defesas julgadas") & session, F.lit("ata com defesas julgadas"))
+        .when(strong & session, F.lit("nome de sessao confirmado pelo conteudo"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ def _plain(form: str) -> tuple[str, str]:
 _CANONICAL, _COMPATIBLE = _plain("NFD"), _plain("NFKD")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once, however often the body uses it, branches and lambdas included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Search fold: accents off, lower case; white space stays."""
     return F.regexp_replace(F.translate(F.lower(text), *_CANONICAL), "[\\u0300-\\u036F]", "")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import fold
+from .fold import bound, fold
 
 BEFORE, WINDOW, PLAIN = 130, 420, 360
 
@@ -35,8 +35,8 @@ def snippet(source: Column, needles: list[str]) -> Column:
     """A window around the first hit; without needles the start of the text."""
     if not needles:
         return F.substring(source, 1, PLAIN)
-    start = F.greatest(first_hit(fold(source), needles) - BEFORE, F.lit(0))
-    return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.substring(source, start + 1, F.lit(WINDOW)))
+    start = bound(fold(source), lambda f: F.greatest(first_hit(f, needles) - BEFORE, F.lit(0)))
+    return bound(start, lambda at: F.concat(F.when(at > 0, F.lit("...")).otherwise(F.lit("")), F.substring(source, at + 1, F.lit(WINDOW))))
 
 
 def hit_ranges(folded: Column, needle: str) -> Column:
@@ -69,7 +69,10 @@ def highlight(raw: Column, needles: list[str]) -> Column:
     if not needles:
         return escape_html(raw)
     ordered = sorted(set(needles), key=lambda n: (-len(n), n))
-    merged = merge_ranges(F.concat(*[hit_ranges(fold(raw), n) for n in ordered]))
+    return bound(raw, lambda text: _marked(text, bound(fold(text), lambda f: merge_ranges(F.concat(*[hit_ranges(f, n) for n in ordered])))))
+
+
+def _marked(raw: Column, ranges: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, r: Column) -> Column:
@@ -77,7 +80,7 @@ def highlight(raw: Column, needles: list[str]) -> Column:
         hit = escape_html(F.substring(raw, r["low"] + 1, r["high"] - r["low"]))
         return F.struct(r["high"].alias("at"), F.concat(done["out"], before, F.lit("<mark>"), hit, F.lit("</mark>")).alias("out"))
 
-    return F.aggregate(merged, start, step, lambda done: F.concat(done["out"], escape_html(F.substring(raw, done["at"] + 1, F.length(raw)))))
+    return F.aggregate(ranges, start, step, lambda done: F.concat(done["out"], escape_html(F.substring(raw, done["at"] + 1, F.length(raw)))))
 
 
 def url_part(value: Column) -> Column:
