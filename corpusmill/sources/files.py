@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CITATION = "struct<numero:string,idn:string,tipo:string,autuado:string,infracao:string,dispositivo_legal_transgredido:string,local_constatacao:string,lei:string,pdf_encontrado:boolean>"
+# The field names of the files.
 DECISIONS = f"file_id string, nome_arquivo string, instancia string, decisao_instancia string, caminho_bruto string, protocolo string, assunto string, autos array<{CITATION}>, texto string, drive_file_id_publico string, drive_view_url string, drive_preview_url string"
 OPINIONS = "file_id string, nome_arquivo string, categoria string, pasta string, ext string, texto string, drive_view_url string, drive_preview_url string, ocr boolean, tem_arquivo_publico boolean"
 SUBJECTS = ["protocolo", "assunto", "ato_constitutivo"]
