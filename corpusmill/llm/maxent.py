@@ -1,12 +1,15 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are lower-cased (A-Z) words and one end per document. The CLASSES * SLOTS most frequent training tokens form
-classes by rank; all others share one more class, in which a token has its add-one share of that class. So a token's
-probability is that of its class given the context times that of the token within its class, and sums to one with one
-place for all unknown tokens.
+classes by rank; all others share one more class, a tree of at most 2**FAN branches a node whose depth follows the number
+of these tokens. The first bits of a token's name are its way down, with a softmax given the context at every node, so each
+counted token has a class and a slot. Tokens that meet in a leaf (there are 2**MOST_BITS at most) have their add-one shares
+of it. So a token's probability is that of its class given the context times that of the token within its class, and sums
+to one with one place, in a leaf of its own name, for all unknown tokens.
 
 Features of a context are the previous token, the previous two, and the one before the previous (a skip), hashed into
-BUCKETS rows of class weights and, with the class, into INNER rows of token weights. Biases start at the logarithms of
+BUCKETS rows of class weights, with the class into INNER rows of token weights and with the node into DEEP rows of branch
+weights. Biases start at the logarithms of
 the training shares. Training passes over all training tokens once, in ROUNDS disjoint parts: each task makes gradient
 steps on its share from the common weights and sends what has changed, in half precision with the number of its steps
 on each row; rows are averaged by these numbers, block by block, and the sums (a few MB, whatever the data) make the
@@ -30,9 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import buffers, id_text, materialize, mix, word_names
 
-CLASSES, SLOTS, BUCKETS, INNER, ROUNDS, RATE = 24, 48, 1 << 13, 1 << 14, 2, 0.1
+CLASSES, SLOTS, BUCKETS, INNER, ROUNDS, RATE = 32, 64, 1 << 13, 1 << 14, 2, 0.1
+FAN, MOST_BITS, DEEP = 5, 20, 1 << 16
 HEAD, FLUSH, STEP, ROWS_SENT = 1 << 20, 3_000_000, 8192, 256
-END, START = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA9ABCDEF01)
+END, START, UNKNOWN = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA9ABCDEF01), np.uint64(0x7A3C59E1D2B48F60)
 
 
 def stream(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -76,6 +80,40 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return materialize(docs.mapInArrow(work, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")), "counts")
 
 
+@dataclass
+class Tree:
+    """The leaves of all tokens outside the classes: 2**bits of them, by the first bits of a token's name."""
+
+    bits: int
+    size: np.ndarray  # add-one counts of each leaf
+    bias: np.ndarray  # node x 2**FAN
+
+    @classmethod
+    def of(cls, size: np.ndarray) -> Tree:
+        bits, used, parts = len(size).bit_length() - 1, 0, []
+        while used < bits:
+            width = min(FAN, bits - used)
+            sums = size.reshape(1 << (used + width), -1).sum(1).reshape(-1, 1 << width)
+            with np.errstate(divide="ignore"):
+                share = np.maximum(np.log(sums / np.maximum(sums.sum(1, keepdims=True), 1)), -1e4)
+            parts.append(np.pad(share, ((0, 0), (0, (1 << FAN) - (1 << width))), constant_values=-1e4))
+            used += width
+        return cls(bits, size, np.concatenate(parts or [np.zeros((0, 1 << FAN))]).astype(np.float32))
+
+    def leaf_of(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(tokens), np.int64)
+
+    def way(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node, branch) on the way to each leaf: level x leaf."""
+        used, first, nodes, branches = 0, 0, [], []
+        while used < self.bits:
+            width = min(FAN, self.bits - used)
+            nodes.append(first + (leaf >> (self.bits - used)))
+            branches.append((leaf >> (self.bits - used - width)) & ((1 << width) - 1))
+            first, used = first + (1 << used), used + width
+        return (np.stack(nodes), np.stack(branches)) if nodes else (np.zeros((0, len(leaf)), np.int64),) * 2
+
+
 @dataclass
 class Vocabulary:
     """Training totals, the head's counts (sorted by name) and the modelled tokens with their class and slot."""
@@ -90,6 +128,7 @@ class Vocabulary:
     slot_bias: np.ndarray
     rare_total: int
     rare_distinct: int
+    tree: Tree | None = None
     _table: np.ndarray | None = None
     _factor: np.uint64 = np.uint64(1)
 
@@ -147,7 +186,14 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         class_bias = np.maximum(np.log(by_class / by_class.sum()), -1e4).astype(np.float32)
         slot_bias = np.maximum(np.log(sums.reshape(CLASSES, SLOTS) / np.maximum(by_class[:CLASSES, None], 1)), -1e4).astype(np.float32)
     by_name = np.argsort(names[rank])
-    return Vocabulary(total, distinct, names, n, names[rank][by_name], by_name.astype(np.int64), class_bias, slot_bias, rare, distinct - len(rank))
+    bits = min((distinct - len(rank)).bit_length(), MOST_BITS)
+    tree = Tree(bits, np.zeros(1 << bits), np.zeros(0))
+    leaf = F.shiftrightunsigned("name", 64 - bits) if bits else F.lit(0).cast("long")
+    told = counts.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("n") + 1).alias("n")).toArrow()
+    tree.size[told["leaf"].to_numpy()] = told["n"].to_numpy()
+    np.subtract.at(tree.size, tree.leaf_of(names[rank]), n[rank] + 1)
+    tree.size[tree.leaf_of(np.array([UNKNOWN]))] += 1
+    return Vocabulary(total, distinct, names, n, names[rank][by_name], by_name.astype(np.int64), class_bias, slot_bias, rare, distinct - len(rank), Tree.of(tree.size))
 
 
 def context_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -179,11 +225,12 @@ def added(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """outer: BUCKETS x (CLASSES + 1), inner: INNER x SLOTS."""
+    """outer: BUCKETS x (CLASSES + 1), inner: INNER x SLOTS, deep: DEEP x 2**FAN."""
 
-    def __init__(self, outer: np.ndarray | None = None, inner: np.ndarray | None = None) -> None:
+    def __init__(self, outer: np.ndarray | None = None, inner: np.ndarray | None = None, deep: np.ndarray | None = None) -> None:
         self.outer = np.zeros((BUCKETS, CLASSES + 1), np.float32) if outer is None else outer
         self.inner = np.zeros((INNER, SLOTS), np.float32) if inner is None else inner
+        self.deep = np.zeros((DEEP, 1 << FAN), np.float32) if deep is None else deep
 
     def rows(self, context: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
         if group is None:
@@ -191,6 +238,10 @@ class Weights:
         with np.errstate(over="ignore"):
             return (mix(context + (group + 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(INNER)).astype(np.int64)
 
+    def node_rows(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(context ^ (node + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(DEEP)).astype(np.int64)
+
     def class_logits(self, vocab: Vocabulary, rows: np.ndarray) -> np.ndarray:
         return added(self.outer, rows, vocab.class_bias)
 
@@ -209,19 +260,28 @@ class Weights:
             out[i : i + STEP] = found
         return out
 
+    def log_leaf(self, tree: Tree, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each leaf within the class of all others."""
+        out = np.zeros(len(leaf))
+        for i in range(0, len(leaf), STEP):
+            c = context[:, i : i + STEP]
+            for node, branch in zip(*tree.way(leaf[i : i + STEP]), strict=True):
+                out[i : i + STEP] += log_of(added(self.deep, self.node_rows(c, node), tree.bias[node]), branch)
+        return out
+
 
 class Learner:
     """Gradient steps from given weights, with one adaptive rate for each row."""
 
     def __init__(self, start: Weights) -> None:
-        self.weights = Weights(start.outer.copy(), start.inner.copy())
-        self.squares = [np.full(BUCKETS, 0.1, np.float32), np.full(INNER, 0.1, np.float32)]
-        self.steps = [np.zeros(BUCKETS, np.int64), np.zeros(INNER, np.int64)]
+        self.weights = Weights(start.outer.copy(), start.inner.copy(), start.deep.copy())
+        self.squares = [np.full(n, 0.1, np.float32) for n in (BUCKETS, INNER, DEEP)]
+        self.steps = [np.zeros(n, np.int64) for n in (BUCKETS, INNER, DEEP)]
 
     def _apply(self, k: int, table: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         n = gradient.shape[0]
         flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort: both tables have at most 2**16 rows
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort: all tables have at most 2**16 rows
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
         sums = np.add.reduceat(gradient[order % n], first, axis=0)
         hit = flat[order[first]]
@@ -229,7 +289,8 @@ class Learner:
         table[hit] -= RATE * sums / np.sqrt(self.squares[k][hit])[:, None]
         self.steps[k][hit] += np.diff(np.append(first, len(flat)))
 
-    def learn(self, vocab: Vocabulary, context: np.ndarray, place: np.ndarray) -> None:
+    def learn(self, vocab: Vocabulary, context: np.ndarray, place: np.ndarray, tokens: np.ndarray | None = None) -> None:
+        """tokens: the names, by which tokens outside the classes find their leaves."""
         for i in range(0, len(place), STEP):
             c, p = context[:, i : i + STEP], place[i : i + STEP]
             group, slot = p // SLOTS, p % SLOTS
@@ -243,6 +304,13 @@ class Learner:
                 g = softmax(self.weights.slot_logits(vocab, rows, group[on]))
                 g[np.arange(len(on)), slot[on]] -= 1
                 self._apply(1, self.weights.inner, rows, g)
+            off = np.flatnonzero(group == CLASSES)
+            if tokens is not None and len(off):
+                for node, branch in zip(*vocab.tree.way(vocab.tree.leaf_of(tokens[i + off])), strict=True):
+                    rows = self.weights.node_rows(c[:, off], node)
+                    g = softmax(added(self.weights.deep, rows, vocab.tree.bias[node]))
+                    g[np.arange(len(off)), branch] -= 1
+                    self._apply(2, self.weights.deep, rows, g)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
@@ -251,19 +319,19 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     if not len(vocab.modelled):
         return weights
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((weights.outer, weights.inner, vocab.modelled, vocab.place, vocab.class_bias, vocab.slot_bias))
+        sent = spark.sparkContext.broadcast((weights.outer, weights.inner, weights.deep, vocab.modelled, vocab.place, vocab.class_bias, vocab.slot_bias, vocab.tree))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            outer, inner, modelled, place, class_bias, slot_bias = sent.value  # noqa: B023
+            outer, inner, deep, modelled, place, class_bias, slot_bias, tree = sent.value  # noqa: B023
             none = np.zeros(0, np.uint64)
-            known = Vocabulary(0, 0, none, none, modelled, place, class_bias, slot_bias, 0, 0)
-            start = Weights(outer, inner)
+            known = Vocabulary(0, 0, none, none, modelled, place, class_bias, slot_bias, 0, 0, tree)
+            start = Weights(outer, inner, deep)
             learner = Learner(start)
             for batch in batches:
                 for _, counts, names in word_names(*buffers(batch.column("text")), lower=True):
                     tokens, _, one, two = stream(names, counts)
-                    learner.learn(known, context_rows(one, two), known.place_of(tokens))
-            for k, (new, old) in enumerate(((learner.weights.outer, outer), (learner.weights.inner, inner))):
+                    learner.learn(known, context_rows(one, two), known.place_of(tokens), tokens)
+            for k, (new, old) in enumerate(((learner.weights.outer, outer), (learner.weights.inner, inner), (learner.weights.deep, deep))):
                 for b in range(0, len(new), ROWS_SENT):
                     n = learner.steps[k][b : b + ROWS_SENT]
                     if n.any():
@@ -293,9 +361,9 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
 
         part = docs.where(F.pmod(F.shiftright(F.xxhash64("doc_id", "text"), 8), F.lit(rounds)) == turn)
         changes = part.mapInArrow(work, "block long, n binary, change binary").repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(average, "block long, change binary")
-        weights = Weights(weights.outer.copy(), weights.inner.copy())
+        weights = Weights(weights.outer.copy(), weights.inner.copy(), weights.deep.copy())
         for r in changes.collect():
-            table, b = (weights.outer, weights.inner)[r["block"] >> 20], r["block"] & 0xFFFFF
+            table, b = (weights.outer, weights.inner, weights.deep)[r["block"] >> 20], r["block"] & 0xFFFFF
             change = np.frombuffer(r["change"], "<f4").reshape(-1, table.shape[1])
             table[b : b + len(change)] += change
     return weights
@@ -309,12 +377,13 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = token_counts(training)
     vocab = vocabulary(counts)
     weights = train(training, vocab)
-    sent = spark.sparkContext.broadcast((vocab, weights.outer, weights.inner))
-    base_size, rare_size = vocab.total + vocab.distinct + 1, vocab.rare_total + vocab.rare_distinct + 1
+    sent = spark.sparkContext.broadcast((vocab, weights.outer, weights.inner, weights.deep))
+    base_size = vocab.total + vocab.distinct + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, outer, inner = sent.value
-        model = Weights(outer, inner)
+        known, outer, inner, deep = sent.value
+        model = Weights(outer, inner, deep)
+        unknown = known.tree.leaf_of(np.array([UNKNOWN]))
         for batch in batches:
             for row, counts, names in word_names(*buffers(batch.column("text")), lower=True):
                 tokens, owner, one, two = stream(names, counts)
@@ -322,23 +391,33 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 distinct, inverse = np.unique(tokens, return_inverse=True)
                 count, place = known.count_of(distinct), known.place_of(distinct)
                 share = np.log10(np.maximum(count, 0) + 1)  # a token outside the head adds the rest by the join
-                rare = place == CLASSES * SLOTS
-                place = place[inverse]
-                logs = model.log_place(known, context_rows(one, two), place) / np.log(10) + np.where(rare, share - np.log10(rare_size), 0)[inverse]
+                leaf = known.tree.leaf_of(distinct)
+                within = share - np.log10(np.maximum(known.tree.size[leaf], 1))
+                context = context_rows(one, two)
+                logs = model.log_place(known, context, place[inverse]) / np.log(10)
+                rare = np.flatnonzero((place == CLASSES * SLOTS)[inverse])
+                own = model.log_leaf(known.tree, context[:, rare], leaf[inverse[rare]]) / np.log(10) + within[inverse[rare]]
+                # a token outside the head counts as unknown; lead is what it gains if the join finds it
+                out = count[inverse[rare]] < 0
+                none = model.log_leaf(known.tree, context[:, rare[out]], np.repeat(unknown, out.sum())) / np.log(10) - np.log10(known.tree.size[unknown])
+                lead = own[out] - none
+                own[out] = none
+                logs[rare] += own
                 base = (share - np.log10(base_size))[inverse]
                 tail = np.flatnonzero(count[inverse] < 0)
-                pair, again = np.unique(np.stack([owner[tail], inverse[tail]]), axis=1, return_counts=True) if len(tail) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                pair, which, again = np.unique(np.stack([owner[tail], inverse[tail]]), axis=1, return_inverse=True, return_counts=True) if len(tail) else (np.zeros((2, 0), np.int64), *np.zeros((2, 0), np.int64))
+                lead = np.bincount(which.ravel(), lead, len(again))
                 cut = np.searchsorted(pair[0], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), x) for x in (pa.array(distinct[pair[1]].view(np.int64)), pa.array(again.astype(np.int32)))]
+                lists = [pa.ListArray.from_arrays(pa.array(cut), x) for x in (pa.array(distinct[pair[1]].view(np.int64)), pa.array(again.astype(np.int32)), pa.array(lead))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, n), batch.column("held_out").slice(row, n), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, count[inverse] > 0, n).astype(np.int64)), pa.array(np.bincount(owner, base, n)), pa.array(np.bincount(owner, logs, n)), *lists],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "names", "again"],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "names", "again", "lead"],
                 )
 
-    told = own.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, names array<long>, again array<int>")
+    told = own.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, names array<long>, again array<int>, lead array<double>")
     told = materialize(told.withColumn("row", F.monotonically_increasing_id()), "scores")  # written, so that row numbers stay
-    tail = told.select("row", F.explode(F.arrays_zip("names", "again")).alias("t")).select("row", F.col("t.names").alias("name"), F.col("t.again").alias("again"))
-    found = tail.join(counts, "name").groupBy("row").agg(F.sum("again").alias("more"), F.sum(F.col("again") * F.log10(F.col("n") + 1)).alias("add"))
+    tail = told.select("row", F.explode(F.arrays_zip("names", "again", "lead")).alias("t")).select("row", F.col("t.names").alias("name"), F.col("t.again").alias("again"), F.col("t.lead").alias("lead"))
+    found = tail.join(counts, "name").groupBy("row").agg(F.sum("again").alias("more"), F.sum(F.col("again") * F.log10(F.col("n") + 1)).alias("add"), F.sum("lead").alias("gain"))
     add = F.coalesce("add", F.lit(0.0))
     return told.join(found, "row", "left").select(
         "doc_id",
@@ -347,5 +426,5 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + add).alias("base_score"),
-        (F.col("score") + add).alias("score"),
+        (F.col("score") + add + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

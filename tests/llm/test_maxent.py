@@ -66,3 +66,32 @@ def test_probabilities_sum_to_one():
     p = np.exp(learner.weights.log_place(vocab, one, np.append(np.arange(30), n)))
     assert abs(p.sum() - 1) < 1e-4
     assert p[0] > np.exp(model.log_place(vocab, one, np.append(np.arange(30), n)))[0]
+
+
+def test_every_counted_token_has_a_place_told_by_context(spark):
+    assert maxent.CLASSES * maxent.SLOTS >= 2048
+    dice = np.random.default_rng(4)
+    names = np.unique(dice.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    n = dice.integers(1, 1000, len(names))
+    names, n = np.append(names, maxent.END), np.append(n, 9)
+    vocab = maxent.vocabulary(spark.createDataFrame(list(zip(names.view(np.int64).tolist(), n.tolist(), strict=True)), "name long, n long"))
+    place, leaf = vocab.place_of(names), vocab.tree.leaf_of(names)
+    rare = np.flatnonzero(place == maxent.CLASSES * maxent.SLOTS)
+    assert len(np.unique(leaf[rare])) > 0.6 * len(rare)  # leaves follow the vocabulary
+    a, b = rare[0], rare[np.flatnonzero(leaf[rare] != leaf[rare[0]])[0]]
+    context = maxent.context_rows(names[[5, 6]], names[[7, 8]])
+    learner = maxent.Learner(maxent.Weights())
+    for _ in range(20):
+        learner.learn(vocab, context, place[[a, b]], names[[a, b]])
+
+    def p(k):
+        one = np.repeat(context[:, k : k + 1], len(names) + 1, axis=1)
+        all_leaf = np.append(leaf, vocab.tree.leaf_of(np.array([maxent.UNKNOWN])))
+        out = learner.weights.log_place(vocab, one, np.append(place, maxent.CLASSES * maxent.SLOTS))
+        low = np.append(place == maxent.CLASSES * maxent.SLOTS, True)
+        out[low] += learner.weights.log_leaf(vocab.tree, one[:, low], all_leaf[low]) + np.log(np.append(n, 0)[low] + 1) - np.log(vocab.tree.size[all_leaf[low]])
+        return np.exp(out)
+
+    first, second = p(0), p(1)
+    assert abs(first.sum() - 1) < 1e-3 and abs(second.sum() - 1) < 1e-3
+    assert first[a] > 2 * second[a] and second[b] > 2 * first[b]
