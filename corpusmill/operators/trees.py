@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 100
 
 
 def _view(df: DataFrame) -> str:
@@ -24,7 +23,7 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
           SELECT id, id, array(id), cast(array() AS array<string>), 0 FROM {r}
           UNION ALL
           SELECT t.root, e.id, array_append(t.path, e.id), array_append(t.names, e.name), t.depth + 1
-          FROM t JOIN {e} e ON e.parent = t.id WHERE NOT array_contains(t.path, e.id) AND t.depth < {MAX_LEVELS - 1}
+          FROM t JOIN {e} e ON e.parent = t.id WHERE NOT array_contains(t.path, e.id)
         ) SELECT root, id, names, depth FROM t WHERE depth > 0""")
 
 
@@ -36,7 +35,7 @@ def ancestors(edges: DataFrame, starts: DataFrame, roots: DataFrame) -> DataFram
           SELECT id, id, array(id), 0 FROM {s}
           UNION ALL
           SELECT t.id, e.parent, array_append(t.path, e.parent), t.depth + 1
-          FROM t JOIN {e} e ON e.id = t.at WHERE NOT array_contains(t.path, e.parent) AND t.depth < {MAX_LEVELS - 1}
+          FROM t JOIN {e} e ON e.id = t.at WHERE NOT array_contains(t.path, e.parent)
         ) SELECT t.id, min(struct(t.depth, t.at)) AS best FROM t JOIN {r} r ON r.id = t.at GROUP BY t.id""")
     return starts.select("id").join(up, "id", "left").select("id", F.col("best.at").alias("root"), F.col("best.depth").alias("depth"))
 
