@@ -12,10 +12,33 @@ from . import bpe, maxent, merkle, near_dups, packing, repeats, secrets, topk, t
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
-# Words in hosts or paths that mark unwanted sites; each must be a whole token.
-UNWANTED = ("casino", "bets", "pills", "spam", "adult", "porn", "viagra", "ads", "torrent", "malware")
-PATTERNS = [url_rules.Rule(word, "block", rf"(?:\A|[^a-z0-9]){word}(?:[^a-z0-9]|\Z)", (word,)) for word in UNWANTED]
-
+# The query's own list of patterns, for urls that no site rule decides.
+PATTERN_LIST = """
+! hosts by a label
+||casino.
+||bets.
+||pills.
+||viagra.
+||porn.
+||adult.
+||malware.
+||spam-*.example.org^
+! paths of advertising, downloads and endless listings
+/ads/
+/ads/*/banner^
+||track.*/pixel^
+/banner/*/click|
+.torrent|
+/torrent/*/download^
+/calendar/*/print|
+^sessionid=
+! mirrors of blogs, but for their English pages
+||blog.*.example.org/*.html|
+||blog.thther.example.com/
+@@||blog.*.example.org/en/
+@@||www.example.org/ads/
+"""
+PATTERNS = url_rules.pattern_rules(PATTERN_LIST.splitlines())
 
 # The chain's categories over `labels`, in order; the last decides.
 CHAIN = {"low_quality": "quality = 0", "toxic": "toxic"}
@@ -63,7 +86,7 @@ def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_rules.judge(table(spark, sf_dir, "pages"), SITES + PATTERNS)
-    return out.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("rule")).alias("rule"), "verdict")
+    return out.select("page_id", "host", "path", F.when(F.col("rank") == url_rules.SITE, F.col("rule")).alias("rule"), "verdict")
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +94,13 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def pattern_verdict(text: str) -> str:
+    """SQL for the verdict of PATTERNS on an expression: all of them run, in the order of precedence."""
+    text = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    regexes = [(rule.verdict, rule.plain.replace("\\Z", "\\z").replace("'", "''")) for rule in sorted(PATTERNS, key=lambda r: (-r.rank, -len(r.name), r.name))]
+    return " ".join(f"WHEN regexp_matches({text}, '{regex}', 's') THEN '{verdict}'" for verdict, regex in regexes)
+
+
 OP9_SQL = rf"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -87,7 +117,7 @@ WITH parts AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || chr(10) || path, '(^|[^a-z0-9])({"|".join(UNWANTED)})([^a-z0-9]|$)') THEN 'block'
+    {pattern_verdict("host || path")}
     ELSE 'allow' END AS verdict
 FROM ruled
 """
