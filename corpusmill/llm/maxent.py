@@ -7,10 +7,10 @@ counted token has a class and a slot. Tokens that meet in a leaf (there are 2**M
 of it. So a token's probability is that of its class given the context times that of the token within its class, and sums
 to one with one place, in a leaf of its own name, for all unknown tokens.
 
-Features of a context are the previous token, the previous two, and the one before the previous (a skip), hashed into
-BUCKETS rows of class weights, with the class into INNER rows of token weights and with the node into DEEP rows of branch
-weights. Biases start at the logarithms of
-the training shares. Training passes over all training tokens once, in ROUNDS disjoint parts: each task makes gradient
+Features of a context are the previous token, the previous two, and the one before the previous (a skip), hashed into rows
+of class weights, with the class into rows of token weights and with the node into rows of branch weights. The tables of
+2**14, 2**15 and 2**17 rows grow with the fourth root of the training tokens up to four times as many (table_rows), which
+bounds what is broadcast: 76 MB. Biases start at the logarithms of the training shares. Training passes over all training tokens once, in ROUNDS disjoint parts: each task makes gradient
 steps on its share from the common weights and sends what has changed, in half precision with the number of its steps
 on each row; rows are averaged by these numbers, block by block, and the sums (a few MB, whatever the data) make the
 next weights.
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, materialize, mix, word_names
+from .common import buffers, id_text, materialize, mix, split_join, word_names
 
-CLASSES, SLOTS, BUCKETS, INNER, ROUNDS, RATE = 32, 64, 1 << 13, 1 << 14, 2, 0.1
-FAN, MOST_BITS, DEEP = 5, 20, 1 << 16
-HEAD, FLUSH, STEP, ROWS_SENT = 1 << 20, 3_000_000, 8192, 256
+CLASSES, SLOTS, ROUNDS, RATE = 32, 64, 2, 0.1
+FAN, MOST_BITS, MOST_MORE = 4, 20, 2
+HEAD, FLUSH, STEP, ROWS_SENT = 1 << 20, 1_000_000, 16_384, 1024
 END, START, UNKNOWN = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA9ABCDEF01), np.uint64(0x7A3C59E1D2B48F60)
 
 
@@ -217,30 +217,44 @@ def log_of(z: np.ndarray, column: np.ndarray) -> np.ndarray:
 
 
 def added(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    out = table[rows[0]]
+    out = table.take(rows[0], axis=0)
     for more in rows[1:]:
-        out += table[more]
+        out += table.take(more, axis=0)
     out += bias
     return out
 
 
+def table_rows(total: int) -> tuple[int, int, int]:
+    """Rows of the class, token and branch weights for so many training tokens: the fourth root's growth, within bounds."""
+    more = min(max((max(total, 1).bit_length() - 23) // 4, 0), MOST_MORE)
+    return 1 << 14 + more, 1 << 15 + more, 1 << 17 + more
+
+
 class Weights:
-    """outer: BUCKETS x (CLASSES + 1), inner: INNER x SLOTS, deep: DEEP x 2**FAN."""
+    """outer: rows x (CLASSES + 1), inner: rows x SLOTS, deep: rows x 2**FAN."""
+
+    def __init__(self, outer: np.ndarray, inner: np.ndarray, deep: np.ndarray) -> None:
+        self.outer, self.inner, self.deep = outer, inner, deep
+
+    @classmethod
+    def zero(cls, total: int) -> Weights:
+        return cls(*(np.zeros(shape, np.float32) for shape in zip(table_rows(total), (CLASSES + 1, SLOTS, 1 << FAN), strict=True)))
+
+    def copy(self) -> Weights:
+        return Weights(self.outer.copy(), self.inner.copy(), self.deep.copy())
 
-    def __init__(self, outer: np.ndarray | None = None, inner: np.ndarray | None = None, deep: np.ndarray | None = None) -> None:
-        self.outer = np.zeros((BUCKETS, CLASSES + 1), np.float32) if outer is None else outer
-        self.inner = np.zeros((INNER, SLOTS), np.float32) if inner is None else inner
-        self.deep = np.zeros((DEEP, 1 << FAN), np.float32) if deep is None else deep
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.outer, self.inner, self.deep
 
     def rows(self, context: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
         if group is None:
-            return (context % np.uint64(BUCKETS)).astype(np.int64)
+            return (context & np.uint64(len(self.outer) - 1)).astype(np.int64)
         with np.errstate(over="ignore"):
-            return (mix(context + (group + 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(INNER)).astype(np.int64)
+            return (mix(context + (group + 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(len(self.inner) - 1)).astype(np.int64)
 
     def node_rows(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (mix(context ^ (node + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(DEEP)).astype(np.int64)
+            return (mix(context ^ (node + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(len(self.deep) - 1)).astype(np.int64)
 
     def class_logits(self, vocab: Vocabulary, rows: np.ndarray) -> np.ndarray:
         return added(self.outer, rows, vocab.class_bias)
@@ -274,20 +288,24 @@ class Learner:
     """Gradient steps from given weights, with one adaptive rate for each row."""
 
     def __init__(self, start: Weights) -> None:
-        self.weights = Weights(start.outer.copy(), start.inner.copy(), start.deep.copy())
-        self.squares = [np.full(n, 0.1, np.float32) for n in (BUCKETS, INNER, DEEP)]
-        self.steps = [np.zeros(n, np.int64) for n in (BUCKETS, INNER, DEEP)]
+        self.weights = start.copy()
+        self.squares = [np.full(len(t), 0.1, np.float32) for t in start.tables()]
+        self.steps = [np.zeros(len(t), np.int64) for t in start.tables()]
+        self._spot = np.zeros(max(map(len, start.tables())), np.int64)
 
     def _apply(self, k: int, table: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        n = gradient.shape[0]
-        flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")  # radix sort: all tables have at most 2**16 rows
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        sums = np.add.reduceat(gradient[order % n], first, axis=0)
-        hit = flat[order[first]]
-        self.squares[k][hit] += (sums * sums).mean(axis=1)
-        table[hit] -= RATE * sums / np.sqrt(self.squares[k][hit])[:, None]
-        self.steps[k][hit] += np.diff(np.append(first, len(flat)))
+        met = np.zeros(len(table), dtype=bool)
+        met[rows.ravel()] = True
+        hit = np.flatnonzero(met)
+        self._spot[hit] = np.arange(len(hit))
+        spots = self._spot[rows]
+        # column by column: numpy has no faster sum of rows by key
+        sums = np.empty((gradient.shape[1], len(hit)))
+        for j, column in enumerate(np.ascontiguousarray(gradient.T, dtype=np.float64)):
+            sums[j] = sum(np.bincount(one, column, len(hit)) for one in spots)
+        self.squares[k][hit] += np.einsum("ij,ij->j", sums, sums) / len(sums)
+        table[hit] -= (sums * (RATE / np.sqrt(self.squares[k][hit]))).T
+        self.steps[k][hit] += np.bincount(spots.ravel(), minlength=len(hit))
 
     def learn(self, vocab: Vocabulary, context: np.ndarray, place: np.ndarray, tokens: np.ndarray | None = None) -> None:
         """tokens: the names, by which tokens outside the classes find their leaves."""
@@ -315,11 +333,11 @@ class Learner:
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     spark = docs.sparkSession
-    weights = Weights()
+    weights = Weights.zero(vocab.total)
     if not len(vocab.modelled):
         return weights
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((weights.outer, weights.inner, weights.deep, vocab.modelled, vocab.place, vocab.class_bias, vocab.slot_bias, vocab.tree))
+        sent = spark.sparkContext.broadcast((*weights.tables(), vocab.modelled, vocab.place, vocab.class_bias, vocab.slot_bias, vocab.tree))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             outer, inner, deep, modelled, place, class_bias, slot_bias, tree = sent.value  # noqa: B023
@@ -361,11 +379,13 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
 
         part = docs.where(F.pmod(F.shiftright(F.xxhash64("doc_id", "text"), 8), F.lit(rounds)) == turn)
         changes = part.mapInArrow(work, "block long, n binary, change binary").repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(average, "block long, change binary")
-        weights = Weights(weights.outer.copy(), weights.inner.copy(), weights.deep.copy())
-        for r in changes.collect():
-            table, b = (weights.outer, weights.inner, weights.deep)[r["block"] >> 20], r["block"] & 0xFFFFF
-            change = np.frombuffer(r["change"], "<f4").reshape(-1, table.shape[1])
+        weights = weights.copy()
+        told = changes.toArrow()  # the tables once, whatever the data
+        for block, packed in zip(told["block"].to_pylist(), told["change"], strict=True):
+            table, b = weights.tables()[block >> 20], block & 0xFFFFF
+            change = np.frombuffer(packed.as_buffer(), "<f4").reshape(-1, table.shape[1])
             table[b : b + len(change)] += change
+        sent.unpersist()
     return weights
 
 
@@ -377,7 +397,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = token_counts(training)
     vocab = vocabulary(counts)
     weights = train(training, vocab)
-    sent = spark.sparkContext.broadcast((vocab, weights.outer, weights.inner, weights.deep))
+    sent = spark.sparkContext.broadcast((vocab, *weights.tables()))
     base_size = vocab.total + vocab.distinct + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +437,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     told = own.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, names array<long>, again array<int>, lead array<double>")
     told = materialize(told.withColumn("row", F.monotonically_increasing_id()), "scores")  # written, so that row numbers stay
     tail = told.select("row", F.explode(F.arrays_zip("names", "again", "lead")).alias("t")).select("row", F.col("t.names").alias("name"), F.col("t.again").alias("again"), F.col("t.lead").alias("lead"))
-    found = tail.join(counts, "name").groupBy("row").agg(F.sum("again").alias("more"), F.sum(F.col("again") * F.log10(F.col("n") + 1)).alias("add"), F.sum("lead").alias("gain"))
+    # a token that is frequent in held-out texts alone would be one task's work
+    found = split_join(tail, counts, "name", tail.groupBy("name").agg(F.count("*").alias("n")), F.col("row")).groupBy("row").agg(F.sum("again").alias("more"), F.sum(F.col("again") * F.log10(F.col("n") + 1)).alias("add"), F.sum("lead").alias("gain"))
     add = F.coalesce("add", F.lit(0.0))
     return told.join(found, "row", "left").select(
         "doc_id",

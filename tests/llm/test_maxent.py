@@ -58,7 +58,7 @@ def test_probabilities_sum_to_one():
     by_class = np.append(sums.reshape(maxent.CLASSES, -1).sum(1), 40)
     with np.errstate(divide="ignore"):
         vocab = maxent.Vocabulary(0, 0, names, names, names, np.arange(30), np.maximum(np.log(by_class / by_class.sum()), -1e4).astype(np.float32), np.maximum(np.log(sums.reshape(maxent.CLASSES, -1) / np.maximum(by_class[:-1, None], 1)), -1e4).astype(np.float32), 0, 0)
-    model = maxent.Weights()
+    model = maxent.Weights.zero(0)
     learner = maxent.Learner(model)
     context = maxent.context_rows(names[:20], names[5:25])
     learner.learn(vocab, context, np.arange(20))
@@ -80,7 +80,7 @@ def test_every_counted_token_has_a_place_told_by_context(spark):
     assert len(np.unique(leaf[rare])) > 0.6 * len(rare)  # leaves follow the vocabulary
     a, b = rare[0], rare[np.flatnonzero(leaf[rare] != leaf[rare[0]])[0]]
     context = maxent.context_rows(names[[5, 6]], names[[7, 8]])
-    learner = maxent.Learner(maxent.Weights())
+    learner = maxent.Learner(maxent.Weights.zero(0))
     for _ in range(20):
         learner.learn(vocab, context, place[[a, b]], names[[a, b]])
 
@@ -95,3 +95,28 @@ def test_every_counted_token_has_a_place_told_by_context(spark):
     first, second = p(0), p(1)
     assert abs(first.sum() - 1) < 1e-3 and abs(second.sum() - 1) < 1e-3
     assert first[a] > 2 * second[a] and second[b] > 2 * first[b]
+
+
+def test_tables_grow_with_the_training_tokens():
+    sizes = [maxent.table_rows(10**k) for k in range(14)]
+    assert sizes == sorted(sizes) and sizes[0] == (1 << 14, 1 << 15, 1 << 17) and sizes[-1] == tuple(4 * n for n in sizes[0])
+
+
+def test_gradient_sums_equal_adding_row_by_row():
+    dice = np.random.default_rng(5)
+    learner = maxent.Learner(maxent.Weights.zero(0))
+    rows, g = dice.integers(0, 40, (3, 500)), dice.normal(size=(500, maxent.SLOTS)).astype(np.float32)
+    want, square = np.zeros((len(learner.weights.inner), maxent.SLOTS)), learner.squares[1].copy()
+    for r in rows:
+        np.add.at(want, r, g)
+    square += (want * want).mean(axis=1)
+    learner._apply(1, learner.weights.inner, rows, g)
+    assert np.allclose(learner.weights.inner, -maxent.RATE * want / np.sqrt(square)[:, None], atol=1e-5)
+    assert learner.steps[1].sum() == 1500
+
+
+def test_a_token_frequent_in_held_out_texts_alone_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(maxent.vocabulary, "__defaults__", (5,))
+    rows = [(i, "only here " + f"w{i % 3} x{i}") for i in range(400)] + [(1000 + i, f"w{i % 3} train y{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told(maxent.score(df, F.col("doc_id") < 1000)) == brute(rows, lambda i: i < 1000)
