@@ -16,8 +16,13 @@ With similarity 0.75 a pair meets in 13 of 32 independent first nodes on average
 Compared pairs are first estimated from SIGNS minwise tokens of 16 bits, rejecting only what lies MARGIN (over five
 standard deviations) below the threshold, then confirmed on the full sets. Components come from distributed star rounds.
 
+Keys that hold many rows (a set's copies, a pivot's pairs, a node's members) are split over tasks by common.split_join.
+
 Null text: empty. Documents without words: empty set, linked with nothing. Null doc_id: linked with nothing, component
-null, kept. Rows that repeat a doc_id are one document: with other texts too, they are linked. Empty tables give no rows.
+null, kept. Very long texts: one row's set is one task's work, at memory in proportion to it. Ties: the smallest doc_id
+stands for a group. Rows that repeat a doc_id are one document: with other texts too, they are all linked, but for rows
+without words. keep_one keeps one row of such a document, that of the least digest. Empty tables give no rows. Other
+columns are dropped by near_duplicates() and kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, id_text, materialize, mix, run_names, word_names
+from .common import buffers, discard, id_text, materialize, mix, run_names, split_join, word_names
 from .components import components
 
 WIDTH, SIGNS, FIRST, PATH, BRANCHES, LEAST, BLOCK, DEPTH, MARGIN = 5, 128, 32, 3, 4, 256, 1024, 5, 0.2
@@ -64,7 +69,7 @@ def minwise(names: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print (16 bytes for the set, null if empty), signs (16-bit tokens), nodes (first nodes)."""
+    """doc_id, n_shingles, print (16 bytes for the set, null if empty), signs (16-bit tokens), nodes (first nodes), digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(FIRST, dtype=np.uint64) << np.uint64(32)
@@ -88,16 +93,21 @@ def sketch(docs: DataFrame) -> DataFrame:
                     with np.errstate(over="ignore"):
                         node = mix(node * odd + step)
                 nodes.append(node.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "signs", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), batch.column("digest")], ["doc_id", "n_shingles", "print", "signs", "nodes", "digest"])
+
+    return id_text(docs).withColumn("digest", digest()).mapInArrow(work, "doc_id long, n_shingles long, print binary, signs binary, nodes array<long>, digest binary")
+
 
-    return id_text(docs).mapInArrow(work, "doc_id long, n_shingles long, print binary, signs binary, nodes array<long>")
+def digest() -> Column:
+    """16 bytes for a row's doc_id and text (not null)."""
+    return F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")).cast("binary")))
 
 
-def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id may be among ids, by a bitmap of at most 2**FILTER_BITS bits: a bound for what is broadcast."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1
-    maps = ids.select(spot("id").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    told = rows.withColumn("_x", spot("doc_id"))
+def thinned(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose digest may be among those wanted, by a bitmap of at most 2**FILTER_BITS bits: a bound for what is broadcast."""
+    spot = F.pmod(F.xxhash64("digest"), F.lit(1 << FILTER_BITS)) + 1
+    maps = wanted.select(spot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    told = rows.withColumn("_x", spot)
     place = F.bitmap_bit_position("_x")
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_x) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     met = told.join(F.broadcast(maps), F.bitmap_bucket_number("_x") == F.col("bucket")).where(F.getbit(byte, (place % 8).cast("int")) == 1)
@@ -120,15 +130,18 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
                 keep = pa.array((x == y).mean(axis=1) >= share - MARGIN)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    met = split_join(pairs.join(side("b"), "b"), side("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), F.col("b"))
     sized = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(share - 1e-9))
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids (id), written."""
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the classes ids (id): one text of each, written."""
+    wanted = ids.join(classes.select("id", "digest"), "id")
+    # rows that repeat a document meet before the shuffle
+    one = thinned(id_text(docs).withColumn("digest", digest()), wanted).groupBy("digest").agg(F.first("text").alias("text"))
     # an inner join: a semi-join would be pushed below the bitmap and shuffle all texts
-    return materialize(thinned(id_text(docs), ids).join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "text"), "texts")
+    return materialize(one.join(wanted, "digest").select("id", "text"), "texts")
 
 
 def similar(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
@@ -136,37 +149,37 @@ def similar(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
     return shared > 0 and den * shared >= num * (len(one) + len(other) - shared)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * |intersection| >= num * |union| of their full sets; pairs: a written table."""
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs)
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), classes, docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            a_ids, a_keys, (data, at) = batch.column("a"), batch.column("h_a"), buffers(batch.column("t_a"))
+            a_ids, (data, at) = batch.column("a"), buffers(batch.column("t_a"))
             for row, mine in shingle_sets(*buffers(batch.column("t_b"))):
-                key = (a_ids[row].as_py(), a_keys[row].as_py())
+                key = a_ids[row].as_py()
                 if key != last:
                     last, held = key, next(s for _, s in shingle_sets(data, at[row : row + 2]))
                 keep.append(similar(mine, held, num, den))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.xxhash64("t_a").alias("h_a"), "t_a", "t_b")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}"))
+    met = split_join(pairs.join(side("b"), "b"), side("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), F.col("b")).select("a", "b", "t_a", "t_b")
     edges = materialize(met.mapInArrow(work, "a long, b long"), "links")
     discard(texts)
     return edges
 
 
-def exhaustive(leaves: DataFrame, reps: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def exhaustive(leaves: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between components of leaf nodes; leaves (node, id, root, major, minor, n): a written table.
 
     The members outside the major component (the few) are dealt to chunks of about LEAST, all members to blocks of
     about BLOCK. A task holds one chunk of a node and streams one block past it.
     """
-    texts = texts_of(leaves.select("id").distinct(), docs)
+    texts = texts_of(leaves.select("id").distinct(), classes, docs)
     chunks, blocks = F.ceil(F.col("minor") / LEAST).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = leaves.withColumn("few", F.col("root") != F.col("major")).withColumn("_c", F.pmod(F.xxhash64("id", "node"), chunks).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node", "id"), blocks).cast("int"))
     goal = lambda c, b, held: F.struct(c.cast("int").alias("c"), b.cast("int").alias("b"), F.lit(held).alias("held"))
@@ -175,7 +188,7 @@ def exhaustive(leaves: DataFrame, reps: DataFrame, docs: DataFrame, num: int, de
     # within a chunk the few meet each other as they come, so they pass as members only by other chunks
     others = F.when(~F.col("few"), as_member).otherwise(F.filter(as_member, lambda g: g["c"] != F.col("_c")))
     sent = dealt.select("node", "id", "root", F.explode(F.when(F.col("few"), F.concat(as_few, others)).otherwise(others)).alias("g"))
-    rows = sent.join(reps.select("id", "signs"), "id").join(texts, F.col("id") == F.col("doc_id")).select("node", "g.c", "g.b", "g.held", "id", "root", "signs", "text")
+    rows = sent.join(classes.select("id", "signs"), "id").join(texts, "id").select("node", "g.c", "g.b", "g.held", "id", "root", "signs", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, roots, signs, sets = None, [], [], [], []
@@ -237,25 +250,39 @@ def children(members: DataFrame, reps: DataFrame, level: int) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Members (node, id) of nodes of two members at least, with the node's pivot."""
-    met = members.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    return members.join(met.select("node", "pivot"), "node")
-
-
-def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest linked doc_id, itself included), kept (it is that one)."""
+    """Members (node, id) of nodes of two members at least, with the node's pivot; written."""
+    met = materialize(members.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"), "nodes")
+    out = materialize(split_join(members, met.select("node", "pivot"), "node", met.select("node", "n"), F.col("id")), "members")
+    discard(met)
+    return out
+
+
+def same_documents(known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of documents that have several sets; None if there is no such document."""
+    sizes = known.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q"), F.count("*").alias("n")).where("p != q").select("doc_id", "n")
+    if sizes.isEmpty():
+        return None
+    sizes = materialize(sizes, "several")
+    met = split_join(known.select("doc_id", "print").distinct(), sizes.select("doc_id"), "doc_id", sizes, F.col("print"))
+    met = materialize(split_join(met, classes.select("print", "id"), "print", classes.select("print", "n"), F.col("doc_id")), "several")
+    hub = met.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return split_join(met, hub, "doc_id", sizes, F.col("id")).where("a != id").select("a", F.col("id").alias("b"))
+
+
+def grouped(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, digest, print (null without words), component_id of every row."""
     share = num / den
-    rows = materialize(sketch(docs), "sketches")
+    # a number for each row, written, by which the copies of one set are dealt
+    rows = materialize(sketch(docs).withColumn("number", F.monotonically_increasing_id()), "sketches")
     known = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    classes = known.groupBy("print").agg(F.min("doc_id").alias("id"))
-    reps = materialize(known.join(classes.withColumnRenamed("id", "doc_id"), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "signs", "nodes"), "classes")
-    members = materialize(crowded(reps.select(F.explode("nodes").alias("node"), "id").distinct()), "members")
-    stars = materialize(likely(members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, share), "pairs")
-    # rows that repeat an id with other texts
-    same = known.join(classes, "print").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b")
-    same = same.select("a", "b").union(same.select("doc_id", "a"))
-    links = confirm(stars, docs, num, den).union(same)
-    found = materialize(components(links), "components")
+    one = F.min_by(F.struct("n_shingles", "signs", "nodes", "digest"), "doc_id").alias("one")
+    classes = known.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), one)
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "print", "least", "n", "one.*"), "classes")
+    members = crowded(classes.select(F.explode("nodes").alias("node"), "id"))
+    stars = materialize(likely(members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), classes, share), "pairs")
+    links = confirm(stars, classes, docs, num, den)
+    same = same_documents(known, classes)
+    found = materialize(components(links if same is None else links.union(same)), "components")
     spent = [members, stars]
 
     # pairs between components that the stars did not compare
@@ -264,29 +291,54 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame
         labelled = now.join(found, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
         sizes = labelled.groupBy("node", "root").agg(F.count("*").alias("n"))
         nodes = sizes.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-        mixed = materialize(labelled.join(nodes.select("node", "major", "n", (F.col("n") - F.col("most")).alias("minor")), "node"), "mixed")
-        spent.append(mixed)
+        nodes = materialize(nodes.select("node", "major", "n", (F.col("n") - F.col("most")).alias("minor")), "nodes")
+        mixed = materialize(split_join(labelled, nodes, "node", nodes.select("node", "n"), F.col("id")), "mixed")
+        spent += [nodes, mixed]
         leaf = mixed if level == DEPTH else mixed.where(F.col("minor") <= LEAST)
         leaves = leaf if leaves is None else leaves.union(leaf)
         deep = mixed.where(F.col("minor") > LEAST)
         if level == DEPTH or deep.isEmpty():
             break
         level += 1
-        now = materialize(crowded(children(deep, reps, level).distinct()).select("node", "id"), "children")
-        spent.append(now)
+        spent.append(crowded(children(deep, classes, level).distinct()))
+        now = spent[-1].select("node", "id")
     if not leaves.isEmpty():
-        more = exhaustive(leaves, reps, docs, num, den)
+        more = exhaustive(leaves, classes, docs, num, den)
         if not more.isEmpty():
             found = materialize(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "components")
-    for table in [*spent, reps]:
-        discard(table)  # the result reads the sketches and the components alone
-    roots = classes.join(found, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "print").join(roots, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose document stands for its group."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    # the smallest doc_id of each component
+    linked = materialize(classes.select("id", "least").join(found, "id"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    told = split_join(linked.select("id", "root"), least.select("root", "component_id"), "root", least.select("root", "n"), F.col("id")).select("id", "component_id")
+    told = materialize(classes.select("id", "print", "least", "n").join(told, "id", "left").select("print", "n", F.coalesce("component_id", "least").alias("component_id")), "groups")
+    for table in [*spent, classes, linked, least]:
+        discard(table)  # the result reads the sketches and the groups alone
+    rows = rows.select("doc_id", "n_shingles", "digest", "print", "number")
+    met = split_join(rows.where("print is not null and doc_id is not null"), told.select("print", "component_id"), "print", told.select("print", "n"), F.col("number"))
+    # rows without words, as many as they may be, need no join
+    alone = rows.where("print is null or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    return met.select(*(columns := ["doc_id", "n_shingles", "digest", "print", "component_id"])).union(alone.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest linked doc_id, itself included), kept (it is that one)."""
+    return grouped(docs, num, den).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """One row of docs for each group, with all its columns; rows without words or doc_id stay."""
+    told = materialize(grouped(docs, num, den), "grouped")
+    own = told.where("doc_id = component_id and print is not null")
+    # a document with several texts, or several times with one, is one document
+    one = own.groupBy("doc_id").agg(F.min("digest").alias("digest")).select("digest")
+    sizes = told.groupBy("digest").agg(F.count("*").alias("n"))
+    all_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    wordy = F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = all_rows.withColumn("digest", digest()).withColumn("number", F.monotonically_increasing_id()).where(wordy).select("all", "digest", "number")
+    sizes = materialize(one.join(sizes, "digest"), "kept")
+    met = split_join(rows, sizes, "digest", sizes, F.col("number"))
+    rest = all_rows.where(~wordy).select("all.*")
+    if sizes.where("n > 1").isEmpty():
+        return met.select("all.*").union(rest)
+    several = met.where("n > 1").select("digest", "all").dropDuplicates(["digest"])
+    return met.where("n = 1").select("all.*").union(several.select("all.*")).union(rest)
