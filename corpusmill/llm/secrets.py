@@ -2,17 +2,23 @@
 
 Every version of a text is content-addressed by its SHA-256. The ledger is a folder of two Parquet tables: `seen` (blob,
 rules) and `findings` (blob, rules, spans). A scan takes the blobs that the ledger lacks for this version of the rules,
-scans one version of each, appends both tables, and joins the findings back to all versions.
+scans one version of each, appends both tables, and joins the findings back to all versions. A rule set's version is a digest
+of its rules, so another set never meets the findings of this one. A ledger that already holds the table is not scanned again.
 
 Only one version of a blob crosses the shuffle with its text; the join is on (key, blob), so a blob with very many
 versions meets in no task. Findings go back by a join that Spark may split.
 
-Null text: empty. Spans are 0-based code points, end exclusive, by start and then rule. Repeated rows stay. Ties (many
+Places are added up in blocks of BLOCK matches, so that the time for a text is in proportion to it, whatever it holds.
+
+Null text: empty. Very long texts: one row is one task's work. Spans are 0-based code points, end exclusive, by start and then rule. Repeated rows stay. Ties (many
 versions of one blob): all of them get the same spans. An empty table gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder
 
+BLOCK, CHARS, SALTS = 512, 4096, 16
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -45,7 +52,38 @@ MORE = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 RULES = BASE + MORE
-RULES_VERSION = "2"
+
+
+def rules_version(rules: list[Rule]) -> str:
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """(state, out) after all items, as a struct: step gives the next state and an element (of type kind) for each item.
+
+    Elements are gathered in blocks of BLOCK: one long array that grows by one would be copied for each of them.
+    """
+
+    def one(done: Column, item: Column) -> Column:
+        state, element = step(done["state"], item)
+        return F.struct(state.alias("state"), F.concat(done["out"], F.array(element)).alias("out"))
+
+    def folded(items: Column) -> Column:
+        def block(done: Column, number: Column) -> Column:
+            fresh = F.struct(done["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+            own = F.aggregate(F.slice(items, number * BLOCK + 1, F.lit(BLOCK)), fresh, one)
+            return bound(own, lambda b: F.struct(b["state"].alias("state"), F.concat(done["blocks"], F.array(b["out"])).alias("blocks")))
+
+        numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
+        return F.aggregate(numbers, start, block, lambda done: F.struct(done["state"].alias("state"), F.flatten(done["blocks"]).alias("out")))
+
+    return bound(items, folded)
 
 
 def spans_of(text: Column, number: int, rule: Rule) -> Column:
@@ -55,15 +93,14 @@ def spans_of(text: Column, number: int, rule: Rule) -> Column:
     wanted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     between = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), wanted.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def take(done: Column, step: Column) -> Column:
-        low = done["at"] + F.length(step["gap"])
-        high = low + F.length(step["hit"])
-        span = F.array(F.struct(low.alias("start"), F.lit(number).alias("kind"), high.alias("end")))
-        return F.struct(high.alias("at"), F.when(F.length(step["part"]) >= rule.least, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+    def step(at: Column, match: Column) -> tuple[Column, Column]:
+        low = at + F.length(match["gap"])
+        high = low + F.length(match["hit"])
+        return high, F.struct(low.alias("start"), F.lit(number).alias("kind"), F.when(F.length(match["part"]) >= rule.least, high).alias("end"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, start, take, lambda done: done["spans"])).otherwise(F.array().cast(SPANS))
+    spans = running(steps, F.lit(0), step, "struct<start:int,kind:int,end:int>")["out"]
+    return F.when(text.rlike(rule.pattern), F.filter(spans, lambda s: s["end"].isNotNull())).otherwise(F.array().cast(SPANS))
 
 
 def all_spans(text: Column, rules: list[Rule] = RULES) -> Column:
@@ -76,12 +113,14 @@ def listed(spans: Column, rules: list[Rule] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, rules: list[Rule] = RULES, version: str = RULES_VERSION) -> DataFrame:
+def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, rules: list[Rule] = RULES) -> DataFrame:
     """key, blob (binary), spans of every version; ledger: the folder that earlier scans have filled, or None for a new one."""
     spark = versions.sparkSession
-    ledger = ledger or f"{shared_folder(spark)}/ledger-{__import__('uuid').uuid4().hex}"
+    ledger, version = ledger or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", rules_version(rules)
     own = versions.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    unseen = own.groupBy("blob").agg(F.min("key").alias("key"), F.count("*").alias("versions"))
+    # a blob that many tasks hold is counted in two steps, by groups of tasks first
+    counted = own.groupBy("blob", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("part")).agg(F.min("key").alias("key"), F.count("*").alias("versions"))
+    unseen = counted.groupBy("blob").agg(F.min("key").alias("key"), F.sum("versions").alias("versions"))
     schema = f"blob binary, rules string, spans {SPANS}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/seen")
     if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
@@ -97,15 +136,27 @@ def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, ru
     return own.select("key", "blob").join(findings, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def between(chunks: Column, low: Column, high: Column) -> Column:
+    """The characters [low, high) of a text that is given in chunks of CHARS: only the chunks they lie in are read."""
+    first = F.floor(low / CHARS).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, F.floor(high / CHARS).cast("int") - first + 1), "")
+    return F.when(high > low, F.substring(near, low - first * CHARS + 1, high - low)).otherwise(F.lit(""))
+
+
 def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(done: Column, s: Column) -> Column:
-        apart = s["start"] >= done["at"]
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(apart, F.concat(done["out"], text.substr(done["at"] + 1, s["start"] - done["at"]), F.lit(mark))).otherwise(done["out"]).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(at, s["end"]), F.struct(at.alias("low"), F.when(s["start"] >= at, s["start"]).alias("high"))
+
+    def whole(made: Column) -> Column:
+        gaps = F.filter(made["out"], lambda g: g["high"].isNotNull())
+        every = F.concat(gaps, F.array(F.struct(made["state"].alias("low"), F.length(text).alias("high"))))
+        chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
+        pieces = lambda x: F.array_join(F.transform(x["gaps"], lambda g: between(x["chunks"], g["low"], g["high"])), mark)
+        return bound(F.struct(every.alias("gaps"), chunks.alias("chunks")), pieces)
 
-    return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    return bound(running(spans, F.lit(0), step, "struct<low:int,high:int>"), whole)
 
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

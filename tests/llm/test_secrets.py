@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from pathlib import Path
 
 from corpusmill.llm import queries, secrets
@@ -57,11 +58,26 @@ def test_second_scan_reads_only_unseen(spark, tmp_path):
     assert again.count() == len(first) + 1
     assert spark.read.parquet(f"{ledger}/seen").count() == n + 1
     assert spark.read.parquet(f"{ledger}/findings").count() == len({t for t in TEXTS if t and (brute(t) or "BEGIN" in t)}) + 1
-    assert secrets.scan(frame(spark, TEXTS), ledger=ledger, version="other").count() == len(first)
+    only = [secrets.Rule("word", "tail")]
+    other = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(frame(spark, TEXTS), ledger=ledger, rules=only).collect()}
+    assert other == {i: [(m.start(), 0, m.end()) for m in re.finditer("tail", t or "")] for i, t in enumerate(TEXTS)}
     assert spark.read.parquet(f"{ledger}/seen").count() == 2 * n + 1
+    again = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] < 3] for r in secrets.scan(frame(spark, TEXTS), ledger=ledger).collect()}
+    assert again == {i: brute(t) for i, t in enumerate(TEXTS)}
     assert Path(tmp_path, "ledger", "seen").exists()
 
 
+def test_many_secrets_in_one_text_take_time_in_proportion(spark):
+    n = 30_000
+    text = "é 😀 " + "token=abcdef%06d x " * n % tuple(range(n)) + "end"
+    df = frame(spark, [text])
+    began = time.perf_counter()
+    spans = secrets.scan(df).first()["spans"]
+    assert [tuple(s) for s in spans] == brute(text)
+    assert secrets.redact(df).first()["text"] == "é 😀 " + "[secret] x " * n + "end"
+    assert time.perf_counter() - began < 120
+
+
 def test_redact(spark):
     out = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, TEXTS)).collect()}
     assert out[0] is None and out[1] == ""
