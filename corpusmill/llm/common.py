@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # bytes of text handled at once by the vectorised code
-ROWS = 500
+BATCH = 2 << 20  # bytes of a batch of rows
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEQ = 0xD6E8FEB86659FD93 | 1
@@ -82,16 +82,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_text(docs: DataFrame) -> DataFrame:
-    """Only doc_id (long) and text (null: empty); extra or clashing columns go no further.
-
-    Texts reach Python in Arrow batches of at most ROWS rows, which bounds a worker's memory.
-    """
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    """Only doc_id (long) and text (null: empty); extra or clashing columns go no further."""
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Rows reach Python in batches of about BATCH bytes, which bounds a worker's memory; no result depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying; nulls count as empty."""
     if column.null_count:
@@ -148,6 +150,22 @@ def _hash_piece(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.n
     return names, starts, ends
 
 
+def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """Names of the byte ranges [starts, ends) of data, as words have them; starts must not fall."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(starts, starts[at] + CHUNK)), at + 1)
+        low, high = int(starts[at]), int(ends[at:to].max())
+        piece = data[low:high]
+        up, down = _Powers.to(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(((_LOWER[piece] if lower else piece).astype(np.uint64) + U64(1)) * up[: len(piece)], out=sums[1:])
+            out[at:to] = mix((sums[ends[at:to] - low] - sums[starts[at:to] - low]) * down[starts[at:to] - low])
+        at = to
+    return out
+
+
 def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool, places: bool = False) -> Iterator[tuple]:
     """For runs of rows of about CHUNK bytes: (first row, counts of words, names[, starts, ends as bytes of data]).
 

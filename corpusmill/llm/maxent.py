@@ -1,19 +1,17 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are lower-cased (A-Z) words and one end per document. The CLASSES * SLOTS most frequent training tokens form
-classes by rank; all others share one more class, a tree of at most 2**FAN branches a node whose depth follows the number
-of these tokens. The first bits of a token's name are its way down, with a softmax given the context at every node, so each
-counted token has a class and a slot. Tokens that meet in a leaf (there are 2**MOST_BITS at most) have their add-one shares
-of it. So a token's probability is that of its class given the context times that of the token within its class, and sums
-to one with one place, in a leaf of its own name, for all unknown tokens.
+Tokens are lower-cased (A-Z) words and one end per document. The CLASSES * SLOTS most frequent training tokens form CLASSES
+classes by rank, and each class a tree of nodes with 2**FAN branches; all others share one more class, a tree whose depth
+follows the number of these tokens, where the first bits of a token's name are its way down. There is a softmax given the
+context over the classes and at every node, so each counted token has a class and a slot. Tokens that meet in a leaf (there
+are 2**MOST_BITS at most) have their add-one shares of it. So a token's probability is that of its class given the context
+times those on its way, and sums to one with one place, in a leaf of its own name, for all unknown tokens.
 
 Features of a context are the previous token, the previous two, and the one before the previous (a skip), hashed into rows
-of class weights, with the class into rows of token weights and with the node into rows of branch weights. The tables of
-2**14, 2**15 and 2**17 rows grow with the fourth root of the training tokens up to four times as many (table_rows), which
-bounds what is broadcast: 76 MB. Biases start at the logarithms of the training shares. Training passes over all training tokens once, in ROUNDS disjoint parts: each task makes gradient
-steps on its share from the common weights and sends what has changed, in half precision with the number of its steps
-on each row; rows are averaged by these numbers, block by block, and the sums (a few MB, whatever the data) make the
-next weights.
+of class weights and with the node into rows of branch weights. The tables of 2**16 and 2**18 rows grow with the fourth root
+of the training tokens up to four times as many (table_rows), which bounds what is broadcast: 77 MB. Biases start at the logarithms of the training shares. Training passes over all training tokens once, in ROUNDS disjoint parts: each task makes gradient steps on its share (of
+about SHARE bytes, more for larger tables) from the common weights and sends what has changed, in half precision with the
+number of its steps on each row; rows are averaged by these numbers, block by block, and make the next weights.
 
 Counts cover every training token. The most frequent ones, at most HEAD of them by a cut on the count, go to every task;
 all others are joined by their names (64 bits). Null text: empty (one end token). Null doc_id: in training.
@@ -33,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import buffers, id_text, materialize, mix, split_join, word_names
 
-CLASSES, SLOTS, ROUNDS, RATE = 32, 64, 2, 0.1
-FAN, MOST_BITS, MOST_MORE = 4, 20, 2
+CLASSES, FAN, MOST_BITS, MOST_MORE, ROUNDS, RATE = 8, 4, 12, 2, 2, 0.1
+SLOTS = 1 << 2 * FAN  # of a class: two levels of nodes
+NODES = CLASSES + (CLASSES << FAN)  # of all classes' trees; those of the tree of all others come after them
+SHARE = 32 << 20
 HEAD, FLUSH, STEP, ROWS_SENT = 1 << 20, 1_000_000, 16_384, 1024
 END, START, UNKNOWN = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA9ABCDEF01), np.uint64(0x7A3C59E1D2B48F60)
 
@@ -116,7 +116,7 @@ class Tree:
 
 @dataclass
 class Vocabulary:
-    """Training totals, the head's counts (sorted by name) and the modelled tokens with their class and slot."""
+    """Training totals, the head's counts (sorted by name) and the modelled tokens with their places (class and slot)."""
 
     total: int
     distinct: int
@@ -125,9 +125,7 @@ class Vocabulary:
     modelled: np.ndarray
     place: np.ndarray
     class_bias: np.ndarray
-    slot_bias: np.ndarray
-    rare_total: int
-    rare_distinct: int
+    node_bias: np.ndarray
     tree: Tree | None = None
     _table: np.ndarray | None = None
     _factor: np.uint64 = np.uint64(1)
@@ -181,10 +179,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     sums = np.zeros(CLASSES * SLOTS)
     sums[: len(rank)] = n[rank]
     rare = total - int(sums.sum())
-    by_class = np.append(sums.reshape(CLASSES, SLOTS).sum(1), rare + distinct - len(rank) + 1)
-    with np.errstate(divide="ignore"):
-        class_bias = np.maximum(np.log(by_class / by_class.sum()), -1e4).astype(np.float32)
-        slot_bias = np.maximum(np.log(sums.reshape(CLASSES, SLOTS) / np.maximum(by_class[:CLASSES, None], 1)), -1e4).astype(np.float32)
+    class_bias, node_bias = biases(sums, rare + distinct - len(rank) + 1)
     by_name = np.argsort(names[rank])
     bits = min((distinct - len(rank)).bit_length(), MOST_BITS)
     tree = Tree(bits, np.zeros(1 << bits), np.zeros(0))
@@ -193,7 +188,22 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     tree.size[told["leaf"].to_numpy()] = told["n"].to_numpy()
     np.subtract.at(tree.size, tree.leaf_of(names[rank]), n[rank] + 1)
     tree.size[tree.leaf_of(np.array([UNKNOWN]))] += 1
-    return Vocabulary(total, distinct, names, n, names[rank][by_name], by_name.astype(np.int64), class_bias, slot_bias, rare, distinct - len(rank), Tree.of(tree.size))
+    return Vocabulary(total, distinct, names, n, names[rank][by_name], by_name.astype(np.int64), class_bias, node_bias, Tree.of(tree.size))
+
+
+def biases(sums: np.ndarray, others: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the classes' shares, and of those of each node's branches, by the counts of all places."""
+    by_class = np.append(sums.reshape(CLASSES, -1).sum(1), others)
+    wide = sums.reshape(-1, 1 << FAN)
+    nodes = np.concatenate([wide.sum(1).reshape(CLASSES, -1), wide])
+    with np.errstate(divide="ignore"):
+        return np.maximum(np.log(by_class / by_class.sum()), -1e4).astype(np.float32), np.maximum(np.log(nodes / np.maximum(nodes.sum(1, keepdims=True), 1)), -1e4).astype(np.float32)
+
+
+def class_way(place: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """(node, branch) on the way from its class to each modelled place."""
+    low = (1 << FAN) - 1
+    return (place >> 2 * FAN, place >> FAN & low), (CLASSES + (place >> FAN), place & low)
 
 
 def context_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -224,53 +234,44 @@ def added(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return out
 
 
-def table_rows(total: int) -> tuple[int, int, int]:
-    """Rows of the class, token and branch weights for so many training tokens: the fourth root's growth, within bounds."""
+def table_rows(total: int) -> tuple[int, int]:
+    """Rows of the class and branch weights for so many training tokens: the fourth root's growth, within bounds."""
     more = min(max((max(total, 1).bit_length() - 23) // 4, 0), MOST_MORE)
-    return 1 << 14 + more, 1 << 15 + more, 1 << 17 + more
+    return 1 << 16 + more, 1 << 18 + more
 
 
 class Weights:
-    """outer: rows x (CLASSES + 1), inner: rows x SLOTS, deep: rows x 2**FAN."""
+    """outer: rows x (CLASSES + 1), deep: rows x 2**FAN."""
 
-    def __init__(self, outer: np.ndarray, inner: np.ndarray, deep: np.ndarray) -> None:
-        self.outer, self.inner, self.deep = outer, inner, deep
+    def __init__(self, outer: np.ndarray, deep: np.ndarray) -> None:
+        self.outer, self.deep = outer, deep
 
     @classmethod
     def zero(cls, total: int) -> Weights:
-        return cls(*(np.zeros(shape, np.float32) for shape in zip(table_rows(total), (CLASSES + 1, SLOTS, 1 << FAN), strict=True)))
+        return cls(*(np.zeros(shape, np.float32) for shape in zip(table_rows(total), (CLASSES + 1, 1 << FAN), strict=True)))
 
     def copy(self) -> Weights:
-        return Weights(self.outer.copy(), self.inner.copy(), self.deep.copy())
+        return Weights(self.outer.copy(), self.deep.copy())
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.outer, self.inner, self.deep
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.outer, self.deep
 
-    def rows(self, context: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-        if group is None:
-            return (context & np.uint64(len(self.outer) - 1)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            return (mix(context + (group + 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(len(self.inner) - 1)).astype(np.int64)
+    def rows(self, context: np.ndarray) -> np.ndarray:
+        return (context & np.uint64(len(self.outer) - 1)).astype(np.int64)
 
     def node_rows(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (mix(context ^ (node + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(len(self.deep) - 1)).astype(np.int64)
 
-    def class_logits(self, vocab: Vocabulary, rows: np.ndarray) -> np.ndarray:
-        return added(self.outer, rows, vocab.class_bias)
-
-    def slot_logits(self, vocab: Vocabulary, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-        return added(self.inner, rows, vocab.slot_bias[group])
-
     def log_place(self, vocab: Vocabulary, context: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each class and slot (of the class alone for the rare ones)."""
+        """Natural log-probability of each place (of the class alone for all others)."""
         out = np.empty(len(place))
         for i in range(0, len(place), STEP):
             c, p = context[:, i : i + STEP], place[i : i + STEP]
-            group, slot = p // SLOTS, p % SLOTS
-            found = log_of(self.class_logits(vocab, self.rows(c)), group)
-            on = np.flatnonzero(group < CLASSES)
-            found[on] += log_of(self.slot_logits(vocab, self.rows(c[:, on], group[on]), group[on]), slot[on])
+            found = log_of(added(self.outer, self.rows(c), vocab.class_bias), p // SLOTS)
+            on = np.flatnonzero(p < CLASSES * SLOTS)
+            for node, branch in class_way(p[on]):
+                found[on] += log_of(added(self.deep, self.node_rows(c[:, on], node), vocab.node_bias[node]), branch)
             out[i : i + STEP] = found
         return out
 
@@ -280,7 +281,7 @@ class Weights:
         for i in range(0, len(leaf), STEP):
             c = context[:, i : i + STEP]
             for node, branch in zip(*tree.way(leaf[i : i + STEP]), strict=True):
-                out[i : i + STEP] += log_of(added(self.deep, self.node_rows(c, node), tree.bias[node]), branch)
+                out[i : i + STEP] += log_of(added(self.deep, self.node_rows(c, NODES + node), tree.bias[node]), branch)
         return out
 
 
@@ -304,31 +305,34 @@ class Learner:
         for j, column in enumerate(np.ascontiguousarray(gradient.T, dtype=np.float64)):
             sums[j] = sum(np.bincount(one, column, len(hit)) for one in spots)
         self.squares[k][hit] += np.einsum("ij,ij->j", sums, sums) / len(sums)
-        table[hit] -= (sums * (RATE / np.sqrt(self.squares[k][hit]))).T
+        sums *= RATE / np.sqrt(self.squares[k][hit])
+        fresh = table.take(hit, axis=0)
+        fresh -= np.ascontiguousarray(sums.T, dtype=np.float32)
+        whole = np.dtype((np.void, table.itemsize * table.shape[1]))  # rows are put back as single items
+        table.view(whole).ravel()[hit] = fresh.view(whole).ravel()
         self.steps[k][hit] += np.bincount(spots.ravel(), minlength=len(hit))
 
+    def _node(self, context: np.ndarray, node: np.ndarray, bias: np.ndarray, branch: np.ndarray) -> None:
+        rows = self.weights.node_rows(context, node)
+        g = softmax(added(self.weights.deep, rows, bias))
+        g[np.arange(len(branch)), branch] -= 1
+        self._apply(1, self.weights.deep, rows, g)
+
     def learn(self, vocab: Vocabulary, context: np.ndarray, place: np.ndarray, tokens: np.ndarray | None = None) -> None:
         """tokens: the names, by which tokens outside the classes find their leaves."""
         for i in range(0, len(place), STEP):
             c, p = context[:, i : i + STEP], place[i : i + STEP]
-            group, slot = p // SLOTS, p % SLOTS
             rows = self.weights.rows(c)
-            g = softmax(self.weights.class_logits(vocab, rows))
-            g[np.arange(len(p)), group] -= 1
+            g = softmax(added(self.weights.outer, rows, vocab.class_bias))
+            g[np.arange(len(p)), p // SLOTS] -= 1
             self._apply(0, self.weights.outer, rows, g)
-            on = np.flatnonzero(group < CLASSES)
+            on, off = np.flatnonzero(p < CLASSES * SLOTS), np.flatnonzero(p == CLASSES * SLOTS)
             if len(on):
-                rows = self.weights.rows(c[:, on], group[on])
-                g = softmax(self.weights.slot_logits(vocab, rows, group[on]))
-                g[np.arange(len(on)), slot[on]] -= 1
-                self._apply(1, self.weights.inner, rows, g)
-            off = np.flatnonzero(group == CLASSES)
+                for node, branch in class_way(p[on]):
+                    self._node(c[:, on], node, vocab.node_bias[node], branch)
             if tokens is not None and len(off):
                 for node, branch in zip(*vocab.tree.way(vocab.tree.leaf_of(tokens[i + off])), strict=True):
-                    rows = self.weights.node_rows(c[:, off], node)
-                    g = softmax(added(self.weights.deep, rows, vocab.tree.bias[node]))
-                    g[np.arange(len(off)), branch] -= 1
-                    self._apply(2, self.weights.deep, rows, g)
+                    self._node(c[:, off], NODES + node, vocab.tree.bias[node], branch)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
@@ -336,20 +340,23 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     weights = Weights.zero(vocab.total)
     if not len(vocab.modelled):
         return weights
+    # as many tasks as the text asks for, however many partitions it comes in: each sends all it has changed
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(1, -(-size // (SHARE * len(weights.deep) >> 18)))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((*weights.tables(), vocab.modelled, vocab.place, vocab.class_bias, vocab.slot_bias, vocab.tree))
+        sent = spark.sparkContext.broadcast((*weights.tables(), vocab.modelled, vocab.place, vocab.class_bias, vocab.node_bias, vocab.tree))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            outer, inner, deep, modelled, place, class_bias, slot_bias, tree = sent.value  # noqa: B023
+            outer, deep, modelled, place, class_bias, node_bias, tree = sent.value  # noqa: B023
             none = np.zeros(0, np.uint64)
-            known = Vocabulary(0, 0, none, none, modelled, place, class_bias, slot_bias, 0, 0, tree)
-            start = Weights(outer, inner, deep)
+            known = Vocabulary(0, 0, none, none, modelled, place, class_bias, node_bias, tree)
+            start = Weights(outer, deep)
             learner = Learner(start)
             for batch in batches:
                 for _, counts, names in word_names(*buffers(batch.column("text")), lower=True):
                     tokens, _, one, two = stream(names, counts)
                     learner.learn(known, context_rows(one, two), known.place_of(tokens), tokens)
-            for k, (new, old) in enumerate(((learner.weights.outer, outer), (learner.weights.inner, inner), (learner.weights.deep, deep))):
+            for k, (new, old) in enumerate(zip(learner.weights.tables(), (outer, deep), strict=True)):
                 for b in range(0, len(new), ROWS_SENT):
                     n = learner.steps[k][b : b + ROWS_SENT]
                     if n.any():
@@ -378,7 +385,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
                 yield told()
 
         part = docs.where(F.pmod(F.shiftright(F.xxhash64("doc_id", "text"), 8), F.lit(rounds)) == turn)
-        changes = part.mapInArrow(work, "block long, n binary, change binary").repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(average, "block long, change binary")
+        changes = part.coalesce(tasks).mapInArrow(work, "block long, n binary, change binary").repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(average, "block long, change binary")
         weights = weights.copy()
         told = changes.toArrow()  # the tables once, whatever the data
         for block, packed in zip(told["block"].to_pylist(), told["change"], strict=True):
@@ -401,8 +408,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     base_size = vocab.total + vocab.distinct + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, outer, inner, deep = sent.value
-        model = Weights(outer, inner, deep)
+        known, *tables = sent.value
+        model = Weights(*tables)
         unknown = known.tree.leaf_of(np.array([UNKNOWN]))
         for batch in batches:
             for row, counts, names in word_names(*buffers(batch.column("text")), lower=True):

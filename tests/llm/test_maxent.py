@@ -34,7 +34,7 @@ def test_query_and_held_out_gain(spark):
     out = queries.op8_maxent(spark, sf).cache()
     assert told(out) == brute(rows, crc)
     held = out.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert held[0] - held[1] > 0.02 * held[2]
+    assert held[0] - held[1] > 0.05 * held[2]
 
 
 @pytest.mark.parametrize("head", [1 << 20, 5])
@@ -55,9 +55,7 @@ def test_probabilities_sum_to_one():
     n = maxent.CLASSES * maxent.SLOTS
     sums = np.zeros(n)
     sums[:30] = dice.integers(1, 50, 30)
-    by_class = np.append(sums.reshape(maxent.CLASSES, -1).sum(1), 40)
-    with np.errstate(divide="ignore"):
-        vocab = maxent.Vocabulary(0, 0, names, names, names, np.arange(30), np.maximum(np.log(by_class / by_class.sum()), -1e4).astype(np.float32), np.maximum(np.log(sums.reshape(maxent.CLASSES, -1) / np.maximum(by_class[:-1, None], 1)), -1e4).astype(np.float32), 0, 0)
+    vocab = maxent.Vocabulary(0, 0, names, names, names, np.arange(30), *maxent.biases(sums, 40))
     model = maxent.Weights.zero(0)
     learner = maxent.Learner(model)
     context = maxent.context_rows(names[:20], names[5:25])
@@ -77,7 +75,7 @@ def test_every_counted_token_has_a_place_told_by_context(spark):
     vocab = maxent.vocabulary(spark.createDataFrame(list(zip(names.view(np.int64).tolist(), n.tolist(), strict=True)), "name long, n long"))
     place, leaf = vocab.place_of(names), vocab.tree.leaf_of(names)
     rare = np.flatnonzero(place == maxent.CLASSES * maxent.SLOTS)
-    assert len(np.unique(leaf[rare])) > 0.6 * len(rare)  # leaves follow the vocabulary
+    assert len(np.unique(leaf[rare])) > 0.5 * min(len(rare), 1 << maxent.MOST_BITS)  # leaves follow the vocabulary
     a, b = rare[0], rare[np.flatnonzero(leaf[rare] != leaf[rare[0]])[0]]
     context = maxent.context_rows(names[[5, 6]], names[[7, 8]])
     learner = maxent.Learner(maxent.Weights.zero(0))
@@ -99,19 +97,20 @@ def test_every_counted_token_has_a_place_told_by_context(spark):
 
 def test_tables_grow_with_the_training_tokens():
     sizes = [maxent.table_rows(10**k) for k in range(14)]
-    assert sizes == sorted(sizes) and sizes[0] == (1 << 14, 1 << 15, 1 << 17) and sizes[-1] == tuple(4 * n for n in sizes[0])
+    assert sizes == sorted(sizes) and sizes[0] == (1 << 16, 1 << 18) and sizes[-1] == tuple(4 * n for n in sizes[0])
 
 
 def test_gradient_sums_equal_adding_row_by_row():
     dice = np.random.default_rng(5)
     learner = maxent.Learner(maxent.Weights.zero(0))
-    rows, g = dice.integers(0, 40, (3, 500)), dice.normal(size=(500, maxent.SLOTS)).astype(np.float32)
-    want, square = np.zeros((len(learner.weights.inner), maxent.SLOTS)), learner.squares[1].copy()
+    width = 1 << maxent.FAN
+    rows, g = dice.integers(0, 40, (3, 500)), dice.normal(size=(500, width)).astype(np.float32)
+    want, square = np.zeros((len(learner.weights.deep), width)), learner.squares[1].copy()
     for r in rows:
         np.add.at(want, r, g)
     square += (want * want).mean(axis=1)
-    learner._apply(1, learner.weights.inner, rows, g)
-    assert np.allclose(learner.weights.inner, -maxent.RATE * want / np.sqrt(square)[:, None], atol=1e-5)
+    learner._apply(1, learner.weights.deep, rows, g)
+    assert np.allclose(learner.weights.deep, -maxent.RATE * want / np.sqrt(square)[:, None], atol=1e-5)
     assert learner.steps[1].sum() == 1500
 
 
