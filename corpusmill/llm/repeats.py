@@ -11,10 +11,11 @@ Anchors reveal repeats: each task sends, to the bucket of the anchor, short runs
 (a tag of the anchor and 48 bits for each window), each distinct window once for FLUSH words. What repeats within these words
 is known at once. A bucket verifies which windows meet an equal one and returns intervals. Anchors that are frequent in a
 sample of documents are spread over buckets by window as well, so that no bucket grows with one passage. Documents meet
-their intervals by (hash of row) joins; documents that surely have none stay where they are.
+their intervals by joins on 128 bits of their doc_id and text; documents that surely have none stay where they are.
 
 Null text: no words. Repeated rows repeat all their windows. Documents of fewer than WIDTH words lose nothing. Windows
-don't cross documents. Empty tables give no rows. Other columns are dropped by find(), kept by remove().
+don't cross documents. Very long texts and runs of any length of one word: places and counts are 64 bits wide. Ties can't
+be: what repeats goes everywhere. Empty tables give no rows. Other columns are dropped by find(), kept by remove().
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, materialize, mix, word_names
+from .common import bounded, buffers, id_text, materialize, mix, word_names
 
 WIDTH, ROUNDS, FLUSH, BUCKET, LEAST_BUCKETS = 35, 6, 500_000, 16 << 20, 64
-SAMPLE, SPREAD, FILTER_BITS = 64, 64, 24
+SAMPLE, SPREAD, FILTER_BITS, MOST_TASKS = 64, 64, 24, 1 << 15
 _STEP = 0xD6E8FEB86659FD93 | 1
 _CODE = np.uint64((1 << 48) - 1)
 
@@ -96,10 +97,10 @@ def anchors(names: np.ndarray, owner: np.ndarray, starts: np.ndarray, codes: np.
 
 
 def located(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For runs of texts: (row key, word, window name, anchor, anchor's word) of each window, words counted in the row."""
+    """For runs of texts: (row key: two longs, word, window name, anchor, anchor's word) of each window, words counted in the row."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            keys = batch.column("row").to_numpy(zero_copy_only=False)
+            one, two = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "row2"))
             for row, counts, names in word_names(*buffers(batch.column("text")), lower=False):
                 if len(names) < width:
                     continue
@@ -111,14 +112,14 @@ def located(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
                     continue
                 anchor, place = anchors(names, owner, inside, codes[inside], width)
                 who = owner[inside]
-                yield keys[row + who], inside - base[who], codes[inside], anchor, place - base[who]
+                yield one[row + who], two[row + who], inside - base[who], codes[inside], anchor, place - base[who]
 
 
 def frequent(rows: DataFrame, width: int) -> np.ndarray:
     """Anchors that more than a fiftieth of a part of the documents hold: where windows go, not what is found."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, anchor, place in located(batches, width):
+        for *_, anchor, place in located(batches, width):
             new = np.ones(len(anchor), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1])
             names, n = np.unique(anchor[new], return_counts=True)
@@ -130,25 +131,28 @@ def frequent(rows: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r["anchor"] for r in found.collect()], dtype=np.int64).view(np.uint64))
 
 
-def intervals(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, count) of the runs of consecutive places of one key."""
-    order = np.lexsort((at, key))
-    key, at = key[order], at[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (at[1:] - at[:-1] > 1)
+def intervals(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key: two longs, first, count) of the runs of consecutive places of one key."""
+    order = np.lexsort((at, two, one))
+    one, two, at = one[order], two[order], at[order]
+    new = np.ones(len(one), dtype=bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (at[1:] - at[:-1] > 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1 if len(key) else first
-    return key[first], at[first], at[last] - at[first] + 1
+    last = np.append(first[1:], len(one)) - 1 if len(one) else first
+    return one[first], two[first], at[first], at[last] - at[first] + 1
+
+
+SENT = {"keys": "<i8", "keys2": "<i8", "firsts": "<i8", "counts": "<u4", "tags": "<u2", "codes": "u1", "known": "<i8"}
 
 
 def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(row, spans): of rows (row, text), the runs first << 24 | count of windows that occur elsewhere as well."""
+    """(row, row2, spans): of rows (row, row2, text), the runs (first, count) of windows that occur elsewhere as well."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET))
     hot = frequent(rows, width)
 
     def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, at, code, anchor, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, key2, at, code, anchor, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(code, kind="stable")
         sorted_code = code[order]
         new = np.ones(len(code), dtype=bool)
@@ -158,33 +162,26 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         double, one = np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
         double[order] = many[group]
         one[order[new]] = True
-        known = intervals(key[double], at[double])
-        key, at, code, anchor, place, double = key[one], at[one], code[one], anchor[one], place[one], double[one]
+        known = np.stack(intervals(key[double], key2[double], at[double]), axis=1)
+        key, key2, at, code, anchor, place = key[one], key2[one], at[one], code[one], anchor[one], place[one]
         spread = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), dtype=bool)
         route = anchor.copy()
         route[spread] = mix(route[spread] + code[spread] % np.uint64(SPREAD))
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (at[1:] - at[:-1] != 1) | (place[1:] != place[:-1]) | (route[1:] != route[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1]) | (at[1:] - at[:-1] != 1) | (place[1:] != place[:-1]) | (route[1:] != route[:-1])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(key)))
         goal = (mix(route[first]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(goal, kind="stable")
-        cut = np.searchsorted(goal[order], np.arange(buckets + 1))
+        live, cut = np.unique(goal[order], return_index=True)
         packed = ((anchor & ~_CODE) | (code & _CODE)).view(np.uint8).reshape(-1, 8)[:, :6]
-        share = np.array_split(np.arange(len(known[0])), buckets)
-        for b in range(buckets):
-            runs = order[cut[b] : cut[b + 1]]
-            mine = share[b]
-            if not len(runs) and not len(mine):
-                continue
+        for b, runs, mine in zip(live, np.split(order, cut[1:]), np.array_split(known, len(live)), strict=True):
             n = count[runs]
             # the windows of the runs, one run after the other
-            windows = np.repeat(first[runs] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(runs) else first[runs], n) + np.arange(n.sum())
-            tag = (anchor[first[runs]] >> np.uint64(48)).astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in (key[first[runs]].astype("<i8"), at[first[runs]].astype("<i4"), n.astype("<u2"), tag, packed[windows], known[0][mine].astype("<i8"), (known[1][mine] << 24 | known[2][mine]).astype("<i8"))],
-                ["bucket", "keys", "firsts", "counts", "tags", "codes", "known_keys", "known"],
-            )
+            windows = np.repeat(first[runs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            tag = anchor[first[runs]] >> np.uint64(48)
+            told = dict(zip(SENT, (key[first[runs]], key2[first[runs]], at[first[runs]], n, tag, packed[windows], mine), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.astype(SENT[c]).tobytes()], pa.binary()) for c, x in told.items())], ["bucket", *SENT])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -200,17 +197,17 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts = None, []
 
-        def told(key: np.ndarray, span: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(span[i : i + 100_000])], ["row", "span"])
+        def told(*spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(spans[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + 100_000])) for x in spans], ["row", "row2", "first", "count"])
 
         def bucket(parts: list[dict]) -> Iterator[pa.RecordBatch]:
-            whole = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in parts])
-            yield from told(whole("known_keys", "<i8"), whole("known", "<i8"))
-            n = whole("counts", "<u2").astype(np.int64)
+            whole = lambda name: np.concatenate([np.frombuffer(p[name], SENT[name]) for p in parts])
+            yield from told(*whole("known").reshape(-1, 4).T)
+            n = whole("counts").astype(np.int64)
             raw = np.zeros((int(n.sum()), 8), np.uint8)
-            raw[:, :6] = whole("codes", np.uint8).reshape(-1, 6)
-            code = raw.view("<u8").ravel() | np.repeat(whole("tags", "<u2").astype(np.uint64) << np.uint64(48), n)
+            raw[:, :6] = whole("codes").reshape(-1, 6)
+            code = raw.view("<u8").ravel() | np.repeat(whole("tags").astype(np.uint64) << np.uint64(48), n)
             order = np.argsort(code)
             code = code[order]
             same = np.zeros(len(code), dtype=bool)
@@ -220,8 +217,7 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             hit = np.sort(order[same])
             run = np.searchsorted(np.cumsum(n), hit, side="right")
             base = np.concatenate([[0], np.cumsum(n)])[run]
-            key, first, count = intervals(whole("keys", "<i8")[run], whole("firsts", "<i4").astype(np.int64)[run] + hit - base)
-            yield from told(key, first << 24 | count)
+            yield from told(*intervals(whole("keys")[run], whole("keys2")[run], whole("firsts")[run] + hit - base))
 
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
@@ -233,14 +229,15 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         if parts:
             yield from bucket(parts)
 
-    sent = rows.mapInArrow(gather, "bucket long, keys binary, firsts binary, counts binary, tags binary, codes binary, known_keys binary, known binary")
-    found = sent.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(verify, "row long, span long")
-    return materialize(found.groupBy("row").agg(F.collect_set("span").alias("spans")), "repeats")
+    sent = rows.mapInArrow(gather, "bucket long, " + ", ".join(f"{c} binary" for c in SENT))
+    # as many tasks as buckets, so that a task's share doesn't grow with the input
+    found = sent.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(verify, "row long, row2 long, first long, count long")
+    return materialize(found.groupBy("row", "row2").agg(F.collect_set(F.struct("first", "count")).alias("spans")), "repeats")
 
 
 def flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows with `maybe`: whether row may be among ids, by a bitmap of at most 2**FILTER_BITS bits."""
-    spot = F.pmod(F.xxhash64("row"), F.lit(1 << FILTER_BITS)) + 1
+    spot = F.pmod(F.xxhash64("row", "row2"), F.lit(1 << FILTER_BITS)) + 1
     maps = ids.select(spot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_x) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     met = rows.withColumn("_x", spot).join(F.broadcast(maps), F.bitmap_bucket_number("_x") == F.col("bucket"), "left")
@@ -248,29 +245,31 @@ def flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return met.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("_x", "bucket", "bits")
 
 
-def kept_words(text: bytes, spans: list[int] | None, width: int) -> tuple[int, int, bytes | None]:
+def kept_words(text: bytes, spans: list[dict] | None, width: int) -> tuple[int, int, bytes | None]:
     """(words, removed, the kept ones joined by a space, or None if all are kept)."""
     words = text.split()
-    if not spans:
+    if spans is None or not len(spans):
         return len(words), 0, None
-    edge = np.zeros(len(words) + 1, np.int32)
-    for span in spans:
-        first, count = span >> 24, span & 0xFFFFFF
-        edge[first] += 1
-        edge[first + count - 1 + width] -= 1
+    edge = np.zeros(len(words) + 1, np.int64)
+    first, count = (np.array([s[c] for s in spans], dtype=np.int64) for c in ("first", "count"))
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + count - 1 + width, -1)
     keep = np.cumsum(edge[:-1]) == 0
     return len(words), int(len(words) - keep.sum()), b" ".join(compress(words, keep))
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def row_key(rows: DataFrame) -> DataFrame:
+    """rows with row and row2, 128 bits of doc_id and text: at very many rows 64 would be shared."""
+    both = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+    half = lambda low: F.conv(F.substring(both, low, 16), 16, -10).cast("long")
+    return rows.withColumns({"row": half(1), "row2": half(17)})
 
 
 def met(rows: DataFrame, width: int) -> list[DataFrame]:
-    """rows (with row, text) and their spans, in two parts: by a join, and those that surely have none."""
-    spans = repeated(rows.select("row", "text"), width)
-    told = flagged(rows, spans.select("row"))
-    return [told.where("maybe").drop("maybe").join(spans, "row", "left"), told.where("not maybe").drop("maybe").withColumn("spans", F.lit(None).cast("array<long>"))]
+    """rows (with row, row2, text) and their spans, in two parts: by a join, and those that surely have none."""
+    spans = repeated(rows.select("row", "row2", "text"), width)
+    told = flagged(rows, spans.select("row", "row2"))
+    return [told.where("maybe").drop("maybe").join(spans, ["row", "row2"], "left"), told.where("not maybe").drop("maybe").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))]
 
 
 def find(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -286,20 +285,21 @@ def find(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept"])
 
-    one, other = (x.select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string") for x in met(id_text(docs).withColumn("row", row_key()), width))
+    one, other = (x.select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string") for x in met(row_key(id_text(docs)), width))
     return one.union(other)
 
 
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs with all their columns; texts that lose words are their kept words joined by one space."""
     columns = docs.columns
+    bounded(docs.sparkSession)
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or not len(s) else kept_words(t.encode(), [int(x) for x in s], width)[2].decode() for t, s in zip(text, spans, strict=True)])
+        kept = (kept_words(t.encode(), s, width)[2] for t, s in zip(text, spans, strict=True))
+        return pd.Series([t if k is None else k.decode() for t, k in zip(text, kept, strict=True)])
 
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_key()).drop("doc_id")
-    id_text(docs)  # sets the batch size
+    own = row_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).drop("doc_id")
     one, other = met(own, width)
     changed = one.withColumn("now", F.when(F.col("spans").isNotNull(), left("text", "spans")).otherwise(F.col("all.text")))
     pick = lambda x, text: x.select(*[(text.alias(c) if c == "text" else F.col("all")[c].alias(c)) for c in columns])

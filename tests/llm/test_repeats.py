@@ -54,6 +54,18 @@ def test_edges(spark, monkeypatch, sample, flush):
     assert left[0] is None and left[3] == texts[3] and left[7] == "" and left[5] == texts[5]
 
 
+def test_places_and_counts_are_wide():
+    one = np.zeros(3, np.int64)
+    first = np.array([1 << 40, (1 << 40) + 1, 5])
+    assert [x.tolist() for x in repeats.intervals(one, one, first)] == [[0, 0], [0, 0], [5, 1 << 40], [1, 2]]
+
+
+def test_a_run_of_more_windows_than_24_bits():
+    n = (1 << 24) + 40
+    words, removed, kept = repeats.kept_words(b"a " * n + b"tail end", [{"first": 0, "count": n - 34}], 35)
+    assert (words, removed, kept) == (n + 2, n, b"tail end")
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.find(df).count() == 0
