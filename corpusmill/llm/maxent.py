@@ -432,10 +432,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 logs[rare] += own
                 base = (share - np.log10(base_size))[inverse]
                 tail = np.flatnonzero(count[inverse] < 0)
-                pair, which, again = np.unique(np.stack([owner[tail], inverse[tail]]), axis=1, return_inverse=True, return_counts=True) if len(tail) else (np.zeros((2, 0), np.int64), *np.zeros((2, 0), np.int64))
-                lead = np.bincount(which.ravel(), lead, len(again))
-                cut = np.searchsorted(pair[0], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), x) for x in (pa.array(distinct[pair[1]].view(np.int64)), pa.array(again.astype(np.int32)), pa.array(lead))]
+                pair, which, again = np.unique(owner[tail] * len(distinct) + inverse[tail], return_inverse=True, return_counts=True)
+                lead = np.bincount(which, lead, len(again)).astype(np.float64)  # without any token, numpy counts in integers
+                cut = np.searchsorted(pair, np.arange(n + 1) * len(distinct)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cut), x) for x in (pa.array(distinct[pair % max(len(distinct), 1)].view(np.int64)), pa.array(again.astype(np.int32)), pa.array(lead))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, n), batch.column("held_out").slice(row, n), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, count[inverse] > 0, n).astype(np.int64)), pa.array(np.bincount(owner, base, n)), pa.array(np.bincount(owner, logs, n)), *lists],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "names", "again", "lead"],

@@ -114,6 +114,17 @@ def test_gradient_sums_equal_adding_row_by_row():
     assert learner.steps[1].sum() == 1500
 
 
+def test_batches_with_and_without_unknown_tokens_are_of_one_kind(spark):
+    rows = [(i, "a b c") for i in range(40)] + [(100, "quite unknown words"), (101, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert told(maxent.score(df, F.col("doc_id") >= 100)) == brute(rows, lambda i: i >= 100)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_a_token_frequent_in_held_out_texts_alone_is_dealt_to_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(maxent.vocabulary, "__defaults__", (5,))
     rows = [(i, "only here " + f"w{i % 3} x{i}") for i in range(400)] + [(1000 + i, f"w{i % 3} train y{i}") for i in range(30)]
