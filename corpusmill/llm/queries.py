@@ -40,6 +40,9 @@ PATTERN_LIST = """
 """
 PATTERNS = url_rules.pattern_rules(PATTERN_LIST.splitlines())
 
+# Fixed value: the added token of byte_bpe_50k.json, which tokenizers takes as one id even without special tokens.
+SPECIAL = {"<|endoftext|>": 50256}
+
 # The chain's categories over `labels`, in order; the last decides.
 CHAIN = {"low_quality": "quality = 0", "toxic": "toxic"}
 
@@ -57,7 +60,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=SPECIAL)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
