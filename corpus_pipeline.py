@@ -44,7 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), special=queries.SPECIAL)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dups", drop_near_dups), ("repeats", cut_repeats), ("secrets", mask_secrets), ("packing", pack)]
