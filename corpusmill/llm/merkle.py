@@ -1,16 +1,18 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs, cut after sentence ends so that long ones have several leaves (at most LEAF code points each);
-runs of leaves form sections that end at blank lines or after a leaf whose digest is divisible by SPAN, so that an edit
-moves no later section border; the root is over the sections. Equal roots mean equal texts; differing sections, then
-leaves, locate edits. A fingerprint reads `root:section(leaf leaf ...)section(...)`, all in hex.
+A paragraph ends after line feeds; its leaves end after sentences, so that an edit within a long paragraph is located as
+well (at most LEAF code points each). Runs of paragraphs form sections that end at blank lines or after a paragraph whose
+digest is divisible by SPAN, so that an edit moves no later section border; the root is over the sections. All digests have
+128 bits, and every one above the leaves is made of the digests of its branches alone, so a fingerprint can be checked from
+itself. Equal roots mean equal texts; differing sections, then paragraphs, then leaves, locate edits. A fingerprint reads
+`root:section[paragraph(leaf leaf ...)paragraph(...)]section[...]`, all in hex.
 
 Likeness of two fingerprints: 1 for equal roots, else the leaves that both hold (with multiplicity) over the leaves of
-the larger; sections that both hold are compared by their digest alone. An empty text has no leaf and likeness 0 to any
-other.
+the larger; sections, then paragraphs, that both hold are compared by their digests alone. An empty text has no leaf and
+likeness 0 to any other.
 
 Null text: empty. Next document: ascending doc_id (null first), ties by text; after the last comes the first, which
-for a single row is itself. Repeated rows stay. An empty table gives no rows. Other columns are dropped.
+for a single row is itself. Very long texts: one row and its next are held by one task at a time. Repeated rows stay. An empty table gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .common import id_text
 
 LEAF, SPAN, MAX_PARTS = 512, 8, 1 << 16
 _CUT = re.compile(r"[^\n.!?]*(?:[.!?]+[ \t]*|\n+|\Z)\n*")
+_SECTION, _PARAGRAPH = re.compile(r"([0-9a-f]{32})\[(.*?)\]"), re.compile(r"([0-9a-f]{32})\(([0-9a-f ]*)\)")
 
 
 def leaves(text: str) -> list[str]:
@@ -44,62 +47,102 @@ def leaves(text: str) -> list[str]:
     return out
 
 
+def digest(level: bytes, parts: bytes) -> bytes:
+    """16 bytes; the level keeps a leaf's text from passing for a list of digests."""
+    return hashlib.blake2b(parts, digest_size=16, person=level).digest()
+
+
 def fingerprint(text: str) -> str:
-    sections, own = [], []
-    for leaf in leaves(text):
-        digest = hashlib.blake2b(leaf.encode(), digest_size=5).digest()
-        own.append(digest)
-        if digest[0] % SPAN == 0 or leaf.endswith("\n\n"):
-            sections.append(own)
+    sections: list[tuple[bytes, str]] = []
+    names, told, own = [], [], []
+    cut = leaves(text)
+    for i, leaf in enumerate(cut):
+        own.append(digest(b"leaf", leaf.encode()))
+        last = i == len(cut) - 1
+        if last or leaf[-1] == "\n":
+            name = digest(b"paragraph", b"".join(own))
+            names.append(name)
+            told.append(f"{name.hex()}({' '.join(d.hex() for d in own)})")
             own = []
-    if own:
-        sections.append(own)
-    names = [hashlib.blake2b(b"".join(s), digest_size=8).digest() for s in sections]
-    # leaf digests are short, so the root binds the whole text as well as its branches
-    root = hashlib.blake2b(b"".join(names) + hashlib.blake2b(text.encode(), digest_size=16).digest(), digest_size=16).hexdigest()
-    return root + ":" + "".join(f"{n.hex()}({' '.join(d.hex() for d in s)})" for n, s in zip(names, sections, strict=True))
+            if last or name[0] % SPAN == 0 or leaf.endswith("\n\n"):
+                sections.append((digest(b"section", b"".join(names)), "".join(told)))
+                names, told = [], []
+    root = digest(b"root", b"".join(name for name, _ in sections))
+    return root.hex() + ":" + "".join(f"{name.hex()}[{inside}]" for name, inside in sections)
+
+
+def branches(print_: str) -> list[tuple[str, list[tuple[str, list[str]]]]]:
+    """Sections with their paragraphs with their leaves."""
+    return [(name, [(p, own.split()) for p, own in _PARAGRAPH.findall(inside)]) for name, inside in _SECTION.findall(print_)]
+
+
+def holds(print_: str) -> bool:
+    """Whether every digest of a fingerprint follows from its branches."""
+    own = branches(print_)
+    over = lambda level, names: digest(level, bytes.fromhex("".join(names))).hex()
+    return print_[:32] == over(b"root", [s for s, _ in own]) and all(s == over(b"section", [p for p, _ in ps]) and all(p == over(b"paragraph", own) for p, own in ps) for s, ps in own)
 
 
-def branches(print_: str) -> list[tuple[str, list[str]]]:
-    return [(s.partition("(")[0], s.partition("(")[2].split()) for s in print_.partition(":")[2].split(")") if s]
+def unshared(one: list, other: list) -> tuple[list, list, list]:
+    """(branches that both hold by their digests, those of one alone, those of other alone), with multiplicity."""
+    left, met, rest = Counter(name for name, _ in one), [], []
+    for branch in other:
+        if left[branch[0]] > 0:
+            left[branch[0]] -= 1
+            met.append(branch)
+        else:
+            rest.append(branch)
+    mine = []
+    for branch in reversed(one):
+        if left[branch[0]] > 0:
+            left[branch[0]] -= 1
+            mine.append(branch)
+    return met, mine[::-1], rest
 
 
 def likeness(one: str, other: str) -> float:
     if one[:32] == other[:32]:
         return 1.0
     a, b = branches(one), branches(other)
-    total = max(sum(len(s) for _, s in a), sum(len(s) for _, s in b))
+    count = lambda sections: sum(len(own) for _, ps in sections for _, own in ps)
+    total = max(count(a), count(b))
     if not total:
         return 0.0
-    named, shared = Counter(n for n, _ in a), 0
-    rest_b = []
-    for name, own in b:
-        if named[name] > 0:
-            named[name] -= 1
-            shared += len(own)
-        else:
-            rest_b += own
-    rest_a = []
-    for name, own in a:
-        if named[name] > 0:
-            named[name] -= 1
-            rest_a += own
-    return (shared + (Counter(rest_a) & Counter(rest_b)).total()) / total
-
-
-def edits(one: str, other: str) -> list[tuple[int, int]]:
-    """(section, leaf) of the leaves of one that other lacks; branches with equal digests aren't opened."""
-    known = {n for n, _ in branches(other)}
-    left = Counter(d for n, s in branches(other) for d in s)
+    met, a, b = unshared(a, b)
+    shared = count(met)
+    met, a, b = unshared([p for _, ps in a for p in ps], [p for _, ps in b for p in ps])
+    shared += sum(len(own) for _, own in met)
+    return (shared + (Counter(d for _, own in a for d in own) & Counter(d for _, own in b for d in own)).total()) / total
+
+
+def edits(one: str, other: str) -> list[tuple[int, int, int]]:
+    """(section, paragraph, leaf) of the leaves of one that other lacks; branches that both hold aren't opened."""
+    a, b = branches(one), branches(other)
+    known, parts = Counter(name for name, _ in b), Counter(name for _, ps in b for name, _ in ps)
+    left = Counter(d for _, ps in b for _, own in ps for d in own)
+    shut: list[str] = []
     out = []
-    for i, (name, own) in enumerate(branches(one)):
-        if name in known:
+    for name, ps in a:
+        if known[name] > 0:
+            known[name] -= 1
+            shut += [p for p, _ in ps]
+            left.subtract(d for _, own in ps for d in own)
+    parts.subtract(shut)
+    known = Counter(name for name, _ in b)
+    for i, (name, ps) in enumerate(a):
+        if known[name] > 0:
+            known[name] -= 1
             continue
-        for j, leaf in enumerate(own):
-            if left[leaf] > 0:
-                left[leaf] -= 1
-            else:
-                out.append((i, j))
+        for j, (p, own) in enumerate(ps):
+            if parts[p] > 0:
+                parts[p] -= 1
+                left.subtract(own)
+                continue
+            for k, leaf in enumerate(own):
+                if left[leaf] > 0:
+                    left[leaf] -= 1
+                else:
+                    out.append((i, j, k))
     return out
 
 

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -21,6 +22,46 @@ def test_likeness():
     assert merkle.likeness(merkle.fingerprint(""), a) == 0 and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1
 
 
+def brute_tree(text):
+    """Sections of paragraphs of leaves, as lists of texts."""
+    paragraphs, own = [], []
+    for leaf in merkle.leaves(text):
+        own.append(leaf)
+        if leaf.endswith("\n"):
+            paragraphs.append(own)
+            own = []
+    paragraphs += [own] if own else []
+    return paragraphs
+
+
+@given(st.text(alphabet="ab.! \n\té", max_size=600), st.text(alphabet="ab.! \n\té", max_size=600))
+def test_roots_tell_texts_apart_and_follow_from_their_branches(one, other):
+    a, b = merkle.fingerprint(one), merkle.fingerprint(other)
+    assert merkle.holds(a) and merkle.holds(b)
+    assert (a == b) == (one == other) == (a[:32] == b[:32])
+    leaf = lambda t: hashlib.blake2b(t.encode(), digest_size=16, person=b"leaf").hexdigest()
+    assert [own for _, ps in merkle.branches(a) for _, own in ps] == [[leaf(t) for t in p] for p in brute_tree(one)]
+    x, y = Counter(merkle.leaves(one)), Counter(merkle.leaves(other))
+    most = max(x.total(), y.total())
+    near = merkle.likeness(a, b)
+    assert near == merkle.likeness(b, a) and 0 <= near <= 1
+    assert one == other or near == ((x & y).total() / most if most else 0.0)
+    assert one != other or merkle.edits(a, b) == []
+
+
+def test_a_tampered_fingerprint_does_not_hold():
+    own = merkle.fingerprint("One. Two.\n\nThree. " * 5)
+    assert not merkle.holds(own[:40] + ("0" if own[40] != "0" else "1") + own[41:])
+
+
+def test_edits_are_located_in_section_paragraph_and_leaf():
+    one = "Alpha one. Alpha two.\nBeta one. Beta two. Beta three.\n\nGamma.\n"
+    a, b = merkle.fingerprint(one), merkle.fingerprint(one.replace("Beta two", "Beta 2"))
+    (section, paragraph, leaf), = merkle.edits(a, b)
+    assert merkle.branches(a)[section][1][paragraph][1][leaf] == merkle.digest(b"leaf", b"Beta two. ").hex()
+    assert leaf == 1
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = []
