@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fold import bound, norm, norm_label
@@ -13,8 +13,23 @@ PROTOCOL = r"31\.\d{6,10}(?:[_\-/]?\d{4})-\d{2}"
 LAW = r"(?iu)\bLEI\s+\d+[./]\d+"
 SUBJECT = r"(?isu)Assunto\s*[:\-]\s*(.+?)(?=\n[ \t]*\n|\n[ \t]*(?:CPF|CNPJ|LOCAL|Relat[oó]rio|Data\b|Ref\.\s|Senhor|RELAT)|\z)"
 DECISION = r"(?iu)DISPOSITIVO DA DECIS[AÃ]O"
-ACT_HEAD = r"(?iu)ATO OU FATO CONSTITUTIVO DA INFRA[^\n]*\n"
-ACT_STOPS = ("DESCRIÇÃO COMPLEMENTAR", "DISPOSITIVO LEGAL", "MEDIDA AFERIDA", "ENQUADRAMENTO")
+ACT_HEAD = r"(?iu)ATO\s+OU\s+FATO\s+CONSTITUTIVO\s+DA\s+INFRA\w*[^\n]*\n"
+ACT_STOPS = (r"DESCRI[ÇC][ÃA]O\s+COMPLEMENTAR", r"DISPOSITIVO\s+LEGAL", r"MEDIDA\s+AFERIDA", "ENQUADRAMENTO")
+# Labels of table cells, folded as by norm_label.
+CELL_LABELS = {
+    "autuado": "nome razao social ou pessoa fisica",
+    "infracao": "ato ou fato constitutivo da infracao",
+    "dispositivo_legal_transgredido": "dispositivo legal transgredido",
+    "local_constatacao": "local da constatacao da infracao endereco completo",
+}
+DISTRICT = "bairro"
+# Labels in running text, and those that end what follows them.
+TEXT_LABELS = {
+    "autuado": (r"NOME\s*\(RAZ[ÃA]O\s+SOCIAL\s+OU\s+PESSOA\s+F[ÍI]SICA\)", ("NOME FANTASIA", "CNPJ/CPF", "CPF/CNPJ", "DML", "ATIVIDADE EXERCIDA")),
+    "infracao": (r"ATO\s+OU\s+FATO\s+CONSTITUTIVO\s+DA\s+INFRA[ÇC][ÃA]O", ("DESCRI[ÇC][ÃA]O COMPLEMENTAR", "DISPOSITIVO LEGAL TRANSGREDIDO")),
+    "dispositivo_legal_transgredido": (r"DISPOSITIVO\s+LEGAL\s+TRANSGREDIDO", ("DATA DE VISTORIA", "DADOS DO VE[ÍI]CULO", "PELO PRESENTE", "PRAZO PARA CUMPRIMENTO", "LOCAL DA CONSTATA[ÇC][ÃA]O")),
+    "local_constatacao": (r"LOCAL\s+DA\s+CONSTATA[ÇC][ÃA]O\s+DA\s+INFRA[ÇC][ÃA]O\s*\(ENDERE[ÇC]O\s+COMPLETO\)", ("PENALIDADE", "VALOR BASE", "DETALHAMENTO DA MULTA", "NA REINCID[ÊE]NCIA")),
+}
 
 
 def _squeeze(text: Column) -> Column:
@@ -70,6 +85,41 @@ def cell_value(cell: Column, label: str) -> Column:
     return F.when(F.contains(norm_label(first), F.lit(label)), F.when(rest != "", rest).otherwise(after))
 
 
+def text_field(text: Column, field: str) -> Column:
+    """What follows a field's label, up to a line that starts with a stop label and a colon, or with `nn -`, or the end."""
+    label, stops = TEXT_LABELS[field]
+    pattern = rf"(?isu){label}\s*:?\s*(.+?)(?=\n\s*(?:{'|'.join(stops)})\s*:|\n\s*\d{{2}}\s+-|\z)"
+    return once(F.regexp_extract(text, pattern, 1))
+
+
+def table_fields(cells: DataFrame, doc: str = "doc") -> DataFrame:
+    """doc and a column for each field, of cells (doc, page, tbl, row, col, value).
+
+    A field is the first non-empty value over pages, tables, rows and cells. The place comes with the district of its row:
+    the row's last place, and its first district from the first place on, unless that is part of it already.
+    """
+    found = cells.select(doc, "page", "tbl", "row", "col", *[F.nullif(cell_value(F.col("value"), label), F.lit("")).alias(f) for f, label in [*CELL_LABELS.items(), ("_district", DISTRICT)]])
+    order = F.struct("page", "tbl", "row", "col")
+    plain = [f for f in CELL_LABELS if f != "local_constatacao"]
+    first = found.groupBy(doc).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in plain])
+    place = F.col("local_constatacao").isNotNull()
+    rows = found.groupBy(doc, "page", "tbl", "row").agg(
+        F.max_by("local_constatacao", F.when(place, F.col("col"))).alias("place"),
+        F.min(F.when(place, F.col("col"))).alias("start"),
+        F.array_sort(F.collect_list(F.when(F.col("_district").isNotNull(), F.struct("col", "_district")))).alias("districts"),  # of one row
+    )
+    district = F.get(F.filter("districts", lambda d: d["col"] >= F.col("start")), F.lit(0))["_district"]
+    whole = F.when(district.isNotNull() & ~F.contains("place", district), F.concat_ws(" - ", "place", district)).otherwise(F.col("place"))
+    places = rows.where("place is not null").groupBy(doc).agg(F.min_by(whole, F.struct("page", "tbl", "row")).alias("local_constatacao"))
+    return first.join(places, doc, "left").select(doc, *[F.coalesce(f, F.lit("")).alias(f) for f in CELL_LABELS])
+
+
+def pdf_part(content: Column) -> Column:
+    """The bytes of an answer from `%PDF` on; null if it holds none, which means that there is no such citation."""
+    at = F.instr(F.decode(content, "ISO-8859-1"), "%PDF")  # one character for each byte
+    return F.when(at > 0, F.substring(content, at, F.length(content)))
+
+
 def rejection(name: Column, text: Column) -> Column:
     """Why a document is no decision, or null: ordered rules, the first that fits."""
     stem = F.regexp_replace(F.regexp_replace(norm(F.regexp_extract(name, "([^/]*)$", 1)), "^[^0-9a-z]+", ""), "^copia\\s+de\\s+", "")

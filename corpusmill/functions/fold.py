@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound
 
-def _plain(form: str) -> tuple[str, str]:
-    """Precomposed Latin letters and what they fold to, by the Unicode decomposition rule."""
-    pairs = []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
+
+def _plain(form: str) -> dict[str, str]:
+    """Every letter that decomposes into one letter and accents, in all scripts, and that letter."""
+    pairs = {}
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         base = "".join(c for c in unicodedata.normalize(form, char) if not unicodedata.combining(c))
         if len(base) == 1 and base != char:
-            pairs.append((char, base.lower()))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+            pairs[char] = base.lower()
+    return pairs
 
 
 _CANONICAL, _COMPATIBLE = _plain("NFD"), _plain("NFKD")
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value made once, however often the body uses it, branches and lambdas included."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _translated(text: Column, table: dict[str, str]) -> Column:
+    return F.translate(text, "".join(table), "".join(table.values()))
+
+
+def folded(text: str) -> str:
+    """What fold() makes of a text, for a query's words."""
+    return re.sub("[\u0300-\u036f]", "", text.lower().translate(str.maketrans(_CANONICAL)))
 
 
 def fold(text: Column) -> Column:
     """Search fold: accents off, lower case; white space stays."""
-    return F.regexp_replace(F.translate(F.lower(text), *_CANONICAL), "[\\u0300-\\u036F]", "")
+    return F.regexp_replace(_translated(F.lower(text), _CANONICAL), "[\\u0300-\\u036F]", "")
 
 
 def _strong(text: Column) -> Column:
-    return F.replace(F.regexp_replace(F.translate(F.lower(text), *_COMPATIBLE), "\\p{M}", ""), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.regexp_replace(_translated(F.lower(text), _COMPATIBLE), "\\p{M}", ""), F.lit("ß"), F.lit("ss"))
 
 
 def norm(text: Column) -> Column:
@@ -65,3 +72,6 @@ def safe_file(name: Column, fallback: str = "sem_nome") -> Column:
 
 def safe_folder(name: Column) -> Column:
     return F.regexp_replace(name, '[\\\\/:*?"<>|]', "_")
+
+
+__all__ = ["bound", "fold", "folded", "norm", "norm_label", "query_words", "safe_file", "safe_folder", "terms"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .fold import norm, safe_file, safe_folder
 
 # Words that may not end an act's folder name.
-LOOSE_WORDS = "A O AS OS E DE DA DO DAS DOS EM NA NO NAS NOS AO AOS OU COM SEM POR".split()
+LOOSE_WORDS = ("A", "O", "AS", "OS", "E", "DE", "DA", "DO", "DAS", "DOS", "EM", "NA", "NO", "NAS", "NOS", "AO", "AOS", "OU", "COM", "SEM", "POR")
 # File types and their extensions.
 TYPES = {"pdf": ".pdf", "gdoc": ".txt", "docx": ".docx", "doc": ".doc"}
 # Folder names of the second level, folded.

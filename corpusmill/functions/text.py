@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import bound, fold
+from .arrays import between, bound, chunked, running
+from .fold import fold
 
 BEFORE, WINDOW, PLAIN = 130, 420, 360
 
@@ -39,29 +40,31 @@ def snippet(source: Column, needles: list[str]) -> Column:
     return bound(start, lambda at: F.concat(F.when(at > 0, F.lit("...")).otherwise(F.lit("")), F.substring(source, at + 1, F.lit(WINDOW))))
 
 
+RANGES = "struct<low:int,high:int>"
+
+
 def hit_ranges(folded: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a needle as structs (low, high), 0-based, end exclusive."""
     parts = F.split(folded, "\\Q" + needle + "\\E", -1)
-    gaps = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    size = len(needle)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<low:int,high:int>>").alias("out"))
+    gaps = bound(parts, lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))))
 
-    def step(done: Column, gap: Column) -> Column:
-        low = done["at"] + F.length(gap)
-        return F.struct((low + size).alias("at"), F.concat(done["out"], F.array(F.struct(low.alias("low"), (low + size).alias("high")))).alias("out"))
+    def step(at: Column, gap: Column) -> tuple[Column, Column]:
+        low = at + F.length(gap)
+        return low + len(needle), F.struct(low.alias("low"), (low + len(needle)).alias("high"))
 
-    return F.aggregate(gaps, start, step, lambda done: done["out"])
+    return running(gaps, F.lit(0), step, RANGES)["out"]
 
 
 def merge_ranges(ranges: Column) -> Column:
-    """Ranges sorted, with those that touch or overlap merged."""
+    """Ranges of one row sorted, with those that touch or overlap merged; of many rows: operators.state.islands."""
 
-    def step(out: Column, r: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))))
-        return F.when(F.size(out) == 0, F.array(r)).when(r["low"] <= last["high"], joined).otherwise(F.concat(out, F.array(r)))
+    def step(last: Column, r: Column) -> tuple[Column, Column]:
+        apart = last.isNull() | (r["low"] > last["high"])
+        grown = F.struct(last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))
+        return F.when(apart, r).otherwise(grown), F.when(apart, last)
 
-    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<low:int,high:int>>"), step)
+    ended = running(F.array_sort(ranges), F.lit(None).cast(RANGES), step, RANGES)
+    return bound(ended, lambda e: F.filter(F.concat(e["out"], F.array(e["state"])), lambda r: r.isNotNull()))
 
 
 def highlight(raw: Column, needles: list[str]) -> Column:
@@ -73,14 +76,13 @@ def highlight(raw: Column, needles: list[str]) -> Column:
 
 
 def _marked(raw: Column, ranges: Column) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, r: Column) -> Column:
-        before = escape_html(F.substring(raw, done["at"] + 1, r["low"] - done["at"]))
-        hit = escape_html(F.substring(raw, r["low"] + 1, r["high"] - r["low"]))
-        return F.struct(r["high"].alias("at"), F.concat(done["out"], before, F.lit("<mark>"), hit, F.lit("</mark>")).alias("out"))
+    def pieces(x: Column) -> Column:
+        part = lambda low, high: escape_html(between(x["chunks"], low, high))
+        step = lambda at, r: (r["high"], F.concat(part(at, r["low"]), F.lit("<mark>"), part(r["low"], r["high"]), F.lit("</mark>")))
+        made = running(x["ranges"], F.lit(0), step, "string")
+        return bound(made, lambda m: F.concat(F.array_join(m["out"], ""), part(m["state"], F.length(raw))))
 
-    return F.aggregate(ranges, start, step, lambda done: F.concat(done["out"], escape_html(F.substring(raw, done["at"] + 1, F.length(raw)))))
+    return bound(F.struct(chunked(raw).alias("chunks"), ranges.alias("ranges")), pieces)
 
 
 def url_part(value: Column) -> Column:
@@ -116,7 +118,8 @@ TOKENS = 42
 def token_snippet(source: Column, words: list[str], size: int = TOKENS) -> Column:
     """The run of size tokens with most different query words (prefixes; the earliest such run), its hits marked.
 
-    Ellipses stand for what is cut off. An Arrow function: a window's best start depends on all hits of the text.
+    Ellipses stand for what is cut off. An Arrow function over each token in turn, for the rows of a page: a window's best
+    start depends on all hits of the text.
     """
     token = re.compile(r"[^\W_]+")
 

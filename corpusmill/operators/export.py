@@ -14,9 +14,16 @@ def nested(parents: DataFrame, children: DataFrame, key: str, order: list[str],
 
 
 def distinct_joined(df: DataFrame, key: str, value: str, order: str, separator: str = " | ") -> DataFrame:
-    """Distinct values of each key in the order they are first seen."""
-    seen = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
-    return df.groupBy(key).agg(F.array_join(F.array_distinct(seen), separator).alias("joined"))
+    """Distinct values of each key in the order they are first seen (ties by value); only distinct ones are collected."""
+    first = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_o"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("v")))), lambda x: x["v"])
+    return first.groupBy(key).agg(F.array_join(seen, separator).alias("joined"))
+
+
+def with_links(decisions: DataFrame, kept: DataFrame, key: str, links: list[str], order: str) -> DataFrame:
+    """Decisions with the links an earlier export gave them, the last one of each id; null where there is none."""
+    latest = kept.groupBy(key).agg(F.max_by(F.struct(*links), order).alias("_links")).select(key, "_links.*")
+    return decisions.drop(*links).join(latest, key, "left")
 
 
 def top(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -34,6 +41,23 @@ def progress(done: Column, total: Column, seconds: Column) -> dict[str, Column]:
     return {"rate": rate, "percent": F.coalesce(F.try_divide(done * 100.0, F.nullif(total, F.lit(0))), F.lit(0.0)), "left_s": F.try_divide((total - done).cast("double"), F.nullif(rate, F.lit(0.0)))}
 
 
+def expected_total(done: Column, folders_done: Column, folders: Column, complete: Column) -> Column:
+    """While folders are still being listed, the total that their share so far leads to expect."""
+    return F.when(complete | (folders_done == 0), done).otherwise(F.ceil(done * folders / folders_done))
+
+
+def clock(time: Column) -> Column:
+    """`dd/mm hh:mm` of a time; a dash if there is none."""
+    return F.coalesce(F.date_format(time, "dd/MM HH:mm"), F.lit("-"))
+
+
+def counters(df: DataFrame, status: str) -> DataFrame:
+    """How many rows have each status, most first, and their percentage."""
+    by = df.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n")).scalar()
+    return by.select("status", "n", F.coalesce(F.try_divide(F.col("n") * 100.0, F.nullif(total, F.lit(0))), F.lit(0.0)).alias("percent")).orderBy(F.desc("n"), "status")
+
+
 def duration(seconds: Column) -> Column:
     """`1h02m03s`, `2m03s` or `3s`, truncated."""
     s = F.floor(seconds).cast("long")

@@ -10,21 +10,16 @@ array functions within one scan, and only its hits and length leave the scan. Co
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fold import fold, terms
+from ..functions.fold import fold, folded, terms
 
 LIMIT, MOST = 50, 100
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def folded(query: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", query) if not "\u0300" <= c <= "\u036f").lower()
-
-
 def query_terms(query: str) -> list[str]:
     return re.findall(r"[^\W_]+", folded(query))
 
@@ -39,7 +34,7 @@ def page(df: DataFrame, order: list[Column], limit: int = LIMIT, offset: int = 0
     return df.orderBy(*order).offset(skip).limit(n)
 
 
-# Points for a hit in a field: (whole phrase, one term of a phrase, one term of words).
+# Points for a hit in a field: (whole phrase, one term of a phrase, one term of words).
 DECISION_POINTS = {"title": (30, 2, 10), "subject": (22, 2, 7), "citations": (16, 1, 5)}
 OPINION_POINTS = {"title": (30, 2, 10), "folder": (16, 1, 4)}
 

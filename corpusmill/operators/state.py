@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order (which must be total for a defined result)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], by: list[str], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by columns that must order its rows wholly: one partial aggregation."""
+    rest = [c for c in df.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*by)).alias("_row")).select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in df.columns])
 
 
 def insert_if_absent(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,9 +18,9 @@ def insert_if_absent(state: DataFrame, changes: DataFrame, keys: list[str]) -> D
     return state.unionByName(changes.join(state.select(*keys), keys, "left_anti"))
 
 
-def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def upsert(state: DataFrame, changes: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """The latest change of each key replaces its row."""
-    latest = first_by(changes, keys, order)
+    latest = first_by(changes, keys, by, last=True)
     return state.join(latest.select(*keys), keys, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
@@ -62,6 +63,38 @@ def kept_count(now: Column, before: Column) -> Column:
     return F.when(F.coalesce(now, F.lit(0)) == 0, F.coalesce(before, F.lit(0))).otherwise(now)
 
 
+def cleared(state: DataFrame) -> DataFrame:
+    """The state without rows, to be written over it."""
+    return state.limit(0)
+
+
+def resume_empty(items: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:
+    """Items that were not stored, or whose stored text is empty."""
+    whole = stored.where(F.coalesce(text, F.lit("")) != "").select(key).distinct()
+    return items.join(whole, key, "left_anti")
+
+
+def islands(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """Ranges of each key, with those that touch or overlap merged: gaps and islands by windows, which spill."""
+    w = Window.partitionBy(*keys).orderBy(low, high)
+    before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    told = df.withColumn("_new", (before.isNull() | (F.col(low) > before)).cast("int"))
+    numbered = told.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
+
+
+def scheduled(calls: DataFrame, lanes: list[str], order: list[str], at: str, interval: Column) -> DataFrame:
+    """calls with `start`: each as soon as it may, but no two of a lane nearer than interval (a number, as `at`).
+
+    The k-th call starts at the greatest of (at of the j-th + (k - j) * interval) for all j up to k, so a running maximum
+    says what a limiter that all callers share would do.
+    """
+    w = Window.partitionBy(*lanes).orderBy(*order)
+    numbered = calls.withColumn("_k", F.row_number().over(w))
+    free = F.max(F.col(at) - F.col("_k") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("start", free + F.col("_k") * interval).drop("_k")
+
+
 def resume(items: DataFrame, done: DataFrame, pending: DataFrame, key: str) -> DataFrame:
     """Items that are not done, or are pending again."""
     told = items.join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left").join(pending.select(key).distinct().withColumn("_pending", F.lit(True)), key, "left")

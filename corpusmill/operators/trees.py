@@ -1,43 +1,80 @@
-"""Folder trees as edge tables, walked by recursive queries."""
+"""Folder trees as edge tables, walked level by level.
+
+Each level is one join of the frontier with the edges, written to the shared folder, so that a lost executor costs no
+earlier level and no depth is too great; the walk ends when a frontier is empty. A folder on its own path is not entered
+again.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..session import shared_folder
 
 
-def _view(df: DataFrame) -> str:
-    name = f"v_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def _levels(start: DataFrame, after: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """All frontiers with their `depth`: start, then after() of each until one is empty."""
+    spark, base, depth, kind = start.sparkSession, shared_folder(start.sparkSession, name), 0, start.schema
+    while True:
+        start.write.parquet(f"{base}/depth={depth}")
+        level = spark.read.schema(kind).parquet(f"{base}/depth={depth}")
+        if level.isEmpty():
+            break
+        start, depth = after(level), depth + 1
+    return spark.read.schema(StructType([*kind.fields, StructField("depth", IntegerType())])).option("basePath", base).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)])
 
 
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id, path) of everything below roots (id, name); edges (parent, id, name). A folder on its own path is not entered again."""
-    e, r = _view(edges), _view(roots)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE t(root, id, path, names, depth) AS (
-          SELECT id, id, array(id), cast(array() AS array<string>), 0 FROM {r}
-          UNION ALL
-          SELECT t.root, e.id, array_append(t.path, e.id), array_append(t.names, e.name), t.depth + 1
-          FROM t JOIN {e} e ON e.parent = t.id WHERE NOT array_contains(t.path, e.id)
-        ) SELECT root, id, names, depth FROM t WHERE depth > 0""")
-
-
-def ancestors(edges: DataFrame, starts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, root, depth) of the nearest root above each start; ties go to the least root; null if there is none."""
-    e, s, r = _view(edges), _view(starts), _view(roots)
-    up = edges.sparkSession.sql(f"""
-        WITH RECURSIVE t(id, at, path, depth) AS (
-          SELECT id, id, array(id), 0 FROM {s}
-          UNION ALL
-          SELECT t.id, e.parent, array_append(t.path, e.parent), t.depth + 1
-          FROM t JOIN {e} e ON e.id = t.at WHERE NOT array_contains(t.path, e.parent)
-        ) SELECT t.id, min(struct(t.depth, t.at)) AS best FROM t JOIN {r} r ON r.id = t.at GROUP BY t.id""")
-    return starts.select("id").join(up, "id", "left").select("id", F.col("best.at").alias("root"), F.col("best.depth").alias("depth"))
+    """(root, id, names, depth) of everything below roots (id); edges (parent, id, name)."""
+    e = edges.select(F.col("parent").alias("_parent"), F.col("id").alias("_id"), F.col("name").alias("_name"))
+
+    def after(level: DataFrame) -> DataFrame:
+        met = level.join(e, F.col("id") == F.col("_parent")).where(~F.array_contains("path", F.col("_id")))
+        return met.select("root", F.col("_id").alias("id"), F.array_append("path", F.col("_id")).alias("path"), F.array_append("names", F.col("_name")).alias("names"))
+
+    start = roots.select(F.col("id").alias("root"), "id", F.array("id").alias("path"), F.array().cast("array<string>").alias("names"))
+    return _levels(start, after, "walk").where("depth > 0").select("root", "id", "names", "depth")
+
+
+def ancestors(edges: DataFrame, starts: DataFrame, roots: DataFrame, recognised: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, root, depth) of the nearest root above each start; ties go to the least root; null if there is none.
+
+    A root is one of roots (id), or a folder whose name is recognised. A start that found its root climbs no further.
+    """
+    named = edges.select("id", "name").groupBy("id").agg(F.min("name").alias("name"))
+    known = roots.select(F.col("id").alias("at"))
+    if recognised is not None:
+        known = known.union(named.where(recognised(F.col("name"))).select(F.col("id").alias("at")))
+    known = known.distinct().withColumn("hit", F.lit(True))
+    e = edges.select(F.col("parent").alias("_parent"), F.col("id").alias("_id")).distinct()
+    kind = starts.schema["id"].dataType
+
+    def told(frontier: DataFrame) -> DataFrame:
+        """The frontier with whether each start stands on a root."""
+        return frontier.drop("hit").join(known, "at", "left").select("id", "at", "path", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def after(level: DataFrame) -> DataFrame:
+        ended = level.where("hit").select("id").distinct()
+        open_ = level.join(ended, "id", "left_anti")
+        met = open_.join(e, F.col("at") == F.col("_id")).where(~F.array_contains("path", F.col("_parent")))
+        return told(met.select("id", F.col("_parent").alias("at"), F.array_append("path", F.col("_parent")).alias("path")))
+
+    start = told(starts.select("id", F.col("id").cast(kind).alias("at"), F.array("id").alias("path")))
+    found = _levels(start, after, "ancestors").where("hit").groupBy("id").agg(F.min(F.struct("depth", "at")).alias("best"))
+    return starts.select("id").join(found, "id", "left").select("id", F.col("best.at").alias("root"), F.col("best.depth").alias("depth"))
+
+
+def subtree_ok(edges: DataFrame, listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, ok, folders) of roots: whether every folder below was listed without an error, itself included.
+
+    listed: (id, ok) of folders; one that is missing was not listed, so it is no success.
+    """
+    below = walk(edges, roots).select("root", "id").union(roots.select(F.col("id").alias("root"), "id")).distinct()
+    return below.join(listed.select("id", "ok"), "id", "left").groupBy(F.col("root").alias("id")).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.count("*").alias("folders"))
 
 
 def category(names: Column, root: str = "Raiz") -> Column:
@@ -48,3 +85,9 @@ def category(names: Column, root: str = "Raiz") -> Column:
 
 def folder_path(names: Column) -> Column:
     return F.array_join(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), " / ")
+
+
+def by_name(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name, ids) of everything below roots: the multimap that later matches are made against."""
+    below = walk(edges, roots).select("id", F.element_at("names", -1).alias("name")).distinct()
+    return below.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids"))

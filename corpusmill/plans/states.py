@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import naming, text
+from ..functions import extract, naming
 from ..operators import export, state, trees
 from ..sources.tables import load
 from ..streaming import feed as feeds
@@ -36,9 +36,8 @@ i AS (SELECT *, sum(CASE WHEN before IS NULL OR low > before THEN 1 ELSE 0 END)
 SELECT g AS user_id, min(low) AS low, max(high) AS high FROM i GROUP BY g, island""")
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.floor(F.col("value") * 10).cast("int")
-    ranges = F.collect_list(F.struct(low.alias("low"), (low + 25).alias("high")))
-    merged = load(spark, sf_dir, "events").groupBy("user_id").agg(text.merge_ranges(ranges).alias("m"))
-    return merged.select("user_id", F.explode("m").alias("r")).select("user_id", "r.low", "r.high")
+    ranges = load(spark, sf_dir, "events").select("user_id", low.alias("low"), (low + 25).alias("high"))
+    return state.islands(ranges, ["user_id"], "low", "high")
 
 
 @query("""SELECT o_orderkey, o_orderstatus, coalesce(c.items, '') AS items FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM lineitem GROUP BY l_orderkey) c ON l_orderkey = o_orderkey""")
@@ -49,10 +48,9 @@ def export_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "o_orderstatus", told.alias("items"))
 
 
-@query("SELECT source AS category, lang AS folder, doc_id::varchar AS name, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 1000) ELSE '' END AS body FROM documents ORDER BY 1, 2, 3")
+@query("SELECT source AS category, lang AS folder, doc_id::varchar AS name, coalesce(text, '') AS body FROM documents ORDER BY 1, 2, 3")
 def opinions_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 1000))
-    return load(spark, sf_dir, "documents").select(F.col("source").alias("category"), F.col("lang").alias("folder"), F.col("doc_id").cast("string").alias("name"), F.coalesce(body, F.lit("")).alias("body")).orderBy("category", "folder", "name")
+    return load(spark, sf_dir, "documents").select(F.col("source").alias("category"), F.col("lang").alias("folder"), F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("body")).orderBy("category", "folder", "name")
 
 
 @query("SELECT DISTINCT p_brand AS protocol, p_type AS subject, p_name AS act FROM part WHERE p_brand <> 'Brand#1'")
@@ -111,8 +109,8 @@ SELECT id, event_id FROM l UNION ALL SELECT id, event_id FROM s WHERE id NOT IN
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _feed(spark, sf_dir)
     changes = f.where("event_type = 'click'").select("id", "event_id", "modified")
-    latest = state.first_by(changes, ["id"], [F.desc("modified"), F.desc("event_id")]).select("id", "event_id")
-    return state.upsert(f.groupBy("id").agg(F.min("event_id").alias("event_id")), latest, ["id"], [F.desc("event_id")])
+    latest = state.first_by(changes, ["id"], ["modified", "event_id"], last=True).select("id", "event_id")
+    return state.upsert(f.groupBy("id").agg(F.min("event_id").alias("event_id")), latest, ["id"], ["event_id"])
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 <> 0
@@ -174,7 +172,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.first_by(load(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+    return state.first_by(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -183,13 +181,13 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.resume(load(spark, sf_dir, "documents").select("doc_id"), labels, labels.where("toxic = 1"), "doc_id")
 
 
-@query("""WITH c AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS side FROM documents WHERE doc_id % 3 = 0),
-p AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'accepted' ELSE 'rejected' END AS side FROM documents WHERE doc_id % 5 = 0)
+@query("""WITH c AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS side FROM documents WHERE lang = 'en'),
+p AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'accepted' ELSE 'rejected' END AS side FROM documents)
 SELECT * FROM c UNION SELECT * FROM p WHERE id NOT IN (SELECT id FROM c)""")
 def checkpoint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    ids = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     side = lambda n: F.when(F.col("id") % n == 0, "accepted").otherwise("rejected").alias("side")
-    return state.merge_checkpoint(ids.where("id % 3 = 0").select("id", side(2)), ids.where("id % 5 = 0").select("id", side(4)))
+    return state.merge_checkpoint(ids.where("lang = 'en'").select("id", side(2)), ids.select("id", side(4)))
 
 
 @query("SELECT (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) = 0 AS complete, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) AS missing")
@@ -198,9 +196,9 @@ def index_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.agg((F.count("*") == 0).alias("complete"), F.count("*").alias("missing"))
 
 
-@query("SELECT DISTINCT l_returnflag AS level, 'LEI ' || l_suppkey || '_19' AS law, p_type AS act, l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0")
+@query("SELECT DISTINCT l_returnflag AS level, 'LEI ' || l_suppkey || '_19' AS law, p_type AS act, l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey")
 def fanout_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return export.fanout(lines, F.col("l_returnflag"), naming.law_folder(F.concat(F.lit("LEI "), F.col("l_suppkey").cast("string"), F.lit("/19"))), F.col("p_type"), F.col("l_orderkey"))
 
 
@@ -296,7 +294,76 @@ def year_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.expr("sequence(2099L, 2022L, -1L)")).alias("year"))
 
 
-@query("SELECT doc_id, lang, NULL::int AS quality FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, quality FROM labels WHERE doc_id % 2 = 1")
+@query("SELECT doc_id, lang, NULL::int AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
 def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = load(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang")
-    return old.unionByName(load(spark, sf_dir, "labels").where("doc_id % 2 = 1").select("doc_id", "quality"), allowMissingColumns=True)
+    old = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    return old.unionByName(load(spark, sf_dir, "labels").select("doc_id", "quality"), allowMissingColumns=True)
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), t(root, id) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT t.root, e.id FROM t JOIN e ON e.parent = t.id),
+l AS (SELECT id, (ascii(right(id, 1)) + length(id)) % 17 <> 3 AS ok FROM e UNION SELECT 'r' || r_regionkey, true FROM region)
+SELECT t.root AS id, bool_and(coalesce(g.ok, false)) AS ok, count(*) AS folders FROM t LEFT JOIN (SELECT id, bool_and(ok) AS ok FROM l GROUP BY id) g ON g.id = t.id GROUP BY t.root""")
+def subtree_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = load(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
+    edges = _edges(spark, sf_dir)
+    told = edges.select("id", ((F.ascii(F.right("id", F.lit(1))) + F.length("id")) % 17 != 3).alias("ok")).union(roots.withColumn("ok", F.lit(True)))
+    return trees.subtree_ok(edges, told.groupBy("id").agg(F.bool_and("ok").alias("ok")), roots)
+
+
+@query("""SELECT 's' || s_suppkey AS id, CASE WHEN n_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) THEN 'n' || n_nationkey WHEN n_regionkey = 1 THEN 'r1' END AS root,
+CASE WHEN n_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) THEN 1 WHEN n_regionkey = 1 THEN 2 END AS depth FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def ancestor_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest folder above that is a known root or is recognised by its name."""
+    starts = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    names = [r["n_name"] for r in load(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").collect()]  # 13 rules, part of the question
+    edges = _edges(spark, sf_dir).where("name <> 'loop'")
+    return trees.ancestors(edges, starts, spark.createDataFrame([("r1",)], "id string"), lambda name: name.isin(*names))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), t(id, name, path) AS (SELECT 'r' || r_regionkey, '', ['r' || r_regionkey] FROM region UNION ALL SELECT e.id, e.name, list_append(t.path, e.id) FROM t JOIN e ON e.parent = t.id WHERE NOT list_contains(t.path, e.id))
+SELECT name, array_to_string(list_sort(list_distinct(list(id))), ',') AS ids FROM t WHERE len(path) > 1 GROUP BY name""")
+def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = load(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
+    return trees.by_name(_edges(spark, sf_dir), roots).select("name", F.array_join("ids", ",").alias("ids"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) AS t0, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s(user_id, k, start) AS (SELECT user_id, k, t0 FROM c WHERE k = 1 UNION ALL SELECT c.user_id, c.k, greatest(c.t0, s.start + 3600000000) FROM s JOIN c ON c.user_id = s.user_id AND c.k = s.k + 1)
+SELECT c.event_id, s.start FROM s JOIN c USING (user_id, k)""")
+def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each call of a user could start, an hour apart: the oracle steps from call to call."""
+    calls = load(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return state.scheduled(calls, ["user_id"], ["ts", "event_id"], "at", F.lit(3_600_000_000)).select("event_id", "start")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_empty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, F.lit("text")).otherwise(F.lit("")).alias("body"))
+    return state.resume_empty(load(spark, sf_dir, "documents").select("doc_id"), stored, "doc_id", "body")
+
+
+@query("""SELECT status, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM (SELECT o_orderstatus || o_orderpriority AS status, count(*) AS n FROM orders GROUP BY 1)""")
+def status_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").select(F.concat("o_orderstatus", "o_orderpriority").alias("s"))
+    return export.counters(rows, "s").withColumn("percent", F.round("percent", 6))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'l' || max_line END AS link FROM (SELECT o_orderkey, (SELECT max(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS max_line FROM orders) WHERE true""")
+def preserved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that an earlier export gave, the last of each order; a third of the orders had none."""
+    kept = load(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("link"), "l_linenumber")
+    return export.with_links(load(spark, sf_dir, "orders").select("o_orderkey", F.lit("old").alias("link")), kept, "o_orderkey", ["link"], "l_linenumber").select("o_orderkey", "link")
+
+
+@query("""WITH c AS (SELECT conv_id, min_by(role, turn) FILTER (WHERE turn % 3 = 1) AS subject, arg_max(role, turn) FILTER (WHERE turn % 3 = 2) AS x FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, turn // 4 AS r, max_by(role, turn) FILTER (WHERE turn % 4 = 1) AS place, min(turn) FILTER (WHERE turn % 4 = 1) AS s, min_by('D' || turn, turn) FILTER (WHERE turn % 4 = 2) AS d FROM conversations GROUP BY ALL)
+SELECT k.conv_id, coalesce(a.v, '') AS autuado, coalesce(l.v, '') AS local_constatacao FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN (SELECT conv_id, min_by(role || turn, turn) AS v FROM conversations WHERE turn % 4 = 0 GROUP BY conv_id) a USING (conv_id)
+LEFT JOIN (SELECT conv_id, min_by(CASE WHEN d IS NULL THEN place || s ELSE place || s || ' - ' || d END, r) AS v FROM p WHERE place IS NOT NULL GROUP BY conv_id) l USING (conv_id)""")
+def table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of tables whose cells are made from turns: rows of four cells, a name, a place, its district and another label."""
+    turn, role = F.col("turn"), F.col("role")
+    label = F.when(turn % 4 == 0, F.lit("NOME (RAZÃO SOCIAL OU PESSOA FÍSICA)")).when(turn % 4 == 1, F.lit("LOCAL DA CONSTATAÇÃO DA INFRAÇÃO (ENDEREÇO COMPLETO)")).when(turn % 4 == 2, F.lit("BAIRRO")).otherwise(F.lit("OUTRO"))
+    value = F.when(turn % 4 == 2, F.concat(F.lit("D"), turn.cast("string"))).otherwise(F.concat(role, turn.cast("string")))
+    cells = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("tbl"), F.floor(turn / 4).alias("row"), (turn % 4).alias("col"), F.concat(label, F.lit("\n"), value).alias("value"))
+    return extract.table_fields(cells).select(F.col("doc").alias("conv_id"), "autuado", "local_constatacao")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, fold, naming, text
+from ..functions import arrays, extract, fold, naming, text
 from ..sources.tables import load
 from .registry import query
 
@@ -167,9 +167,11 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS token FROM documents) GROUP BY token HAVING count(*) >= 5""")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = load(spark, sf_dir, "documents").select("doc_id", F.explode(fold.terms(F.col("text"))).alias("token"))
-    by_doc = words.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
-    return by_doc.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 5")
+    """Tokens and, once for each document, its distinct ones go into one partial aggregation by token."""
+    one = lambda n, docs: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(docs).alias("docs"))
+    both = arrays.bound(fold.terms(F.col("text")), lambda t: F.concat(F.transform(t, one(1, 0)), F.transform(F.array_distinct(t), one(0, 1))))
+    words = load(spark, sf_dir, "documents").select(F.inline(both))
+    return words.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("n >= 5")
 
 
 @query("SELECT doc_id, md5(lower(strip_accents(concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(text, ''))))) AS blob_md5 FROM documents")
@@ -205,3 +207,20 @@ lower(regexp_extract(url, '(\.[^./]+)$', 1)) AS extension FROM pages""")
 def file_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     return load(spark, sf_dir, "pages").select("page_id", text.disposition(url).alias("disposition"), text.preview_kind(url).alias("preview"), naming.extension(url).alias("extension"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'), ' :-') AS v FROM documents)
+SELECT doc_id, v AS infracao, CASE WHEN doc_id % 2 = 0 THEN 'LEI 1/19' ELSE 'LEI 1/19 x' END AS dispositivo FROM d""".replace("\\\\", "\\"))
+def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of running text, ended by a stop label with a colon or by a numbered line."""
+    line = F.substring_index("text", "\n", 1)
+    law = F.when(F.col("doc_id") % 2 == 0, F.lit("LEI 1/19\n 12 - y")).otherwise(F.lit("LEI 1/19\nx\nPRAZO PARA CUMPRIMENTO : 3"))
+    full = F.concat(F.lit("x\nATO OU FATO CONSTITUTIVO DA INFRACAO: "), line, F.lit("\n DESCRIÇÃO COMPLEMENTAR: z\nDISPOSITIVO LEGAL  TRANSGREDIDO\n"), law)
+    return load(spark, sf_dir, "documents").select("doc_id", extract.text_field(full, "infracao").alias("infracao"), extract.text_field(full, "dispositivo_legal_transgredido").alias("dispositivo"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE md5('%PDF-1.' || page_id || '%PDF' || url) END AS pdf_md5 FROM pages""")
+def citation_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.when(F.col("page_id") % 3 == 0, F.lit("not found ")).otherwise(F.concat(F.lit("ação: header%PD\n%PDF-1."), F.col("page_id").cast("string"), F.lit("%PDF")))
+    answer = F.concat(head, "url").cast("binary")
+    return load(spark, sf_dir, "pages").select("page_id", F.md5(extract.pdf_part(answer)).alias("pdf_md5"))

@@ -71,6 +71,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+MAX_CHARS = 120_000  # of a text; 0: no limit
 Extractor = Callable[[bytes], str | None]
 #: By extension. Formats that need other programs (PDF, word processors, OCR) plug in here.
 EXTRACTORS: dict[str, Extractor] = {".txt": lambda data: data.decode("utf-8", errors="ignore")}
@@ -80,7 +81,7 @@ def register(extension: str, extractor: Extractor) -> None:
     EXTRACTORS[extension.lower()] = extractor
 
 
-def extracted(spark: SparkSession, path: str, max_chars: int = 0, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+def extracted(spark: SparkSession, path: str, max_chars: int = MAX_CHARS, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """(path, text, error) of all files below a folder. An extractor's failure is its row's error; max_chars 0: no limit."""
     known = dict(EXTRACTORS if extractors is None else extractors)
 

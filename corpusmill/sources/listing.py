@@ -10,7 +10,7 @@ import time
 from collections.abc import Iterator
 from importlib import import_module
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, StringContains
 from pyspark.sql.types import StructType
 
 SCHEMA = "id string, name string, mimeType string, size string, parents array<string>, modifiedTime string"
@@ -35,6 +35,21 @@ def retried(call, tries: int = 20, first: float = 2.0, most: float = 60.0, sleep
     raise last or OSError("no try was made")
 
 
+def request(folder: str, pushed: dict) -> str:
+    """The listing query a client of this kind of store would send."""
+    quoted = lambda x: "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    parts = [f"({quoted(folder)} in parents)", "trashed=false"]
+    if "after" in pushed:
+        parts.append(f"modifiedTime > {quoted(pushed['after'])}")
+    if "from" in pushed:
+        parts.append(f"modifiedTime >= {quoted(pushed['from'])}")
+    if "types" in pushed:
+        parts.append("(" + " or ".join(f"mimeType={quoted(t)}" for t in sorted(pushed["types"])) + ")")
+    if "name" in pushed:
+        parts.append(f"name contains {quoted(pushed['name'])}")
+    return " and ".join(parts)
+
+
 class Folder(InputPartition):
     def __init__(self, folder: str) -> None:
         self.folder = folder
@@ -43,15 +58,24 @@ class Folder(InputPartition):
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
-        self.pushed: dict[str, str] = {}
+        self.pushed: dict[str, object] = {}
 
     def pushFilters(self, filters):  # noqa: ANN001, ANN201, N802
-        """Equality on type and a lower bound on time go to the client; all others stay with Spark."""
+        """Type (one or a list), a lower bound on time and a part of the name go to the client; all others stay with Spark.
+
+        The folder is the partition's own, and clients list nothing that is in the bin.
+        """
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("mimeType",):
-                self.pushed["type"] = f.value
+                self.pushed["types"] = [f.value]
+            elif isinstance(f, In) and f.attribute == ("mimeType",):
+                self.pushed["types"] = list(f.value)
+            elif isinstance(f, StringContains) and f.attribute == ("name",):
+                self.pushed["name"] = f.value
             elif isinstance(f, GreaterThan) and f.attribute == ("modifiedTime",):
                 self.pushed["after"] = f.value
+            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("modifiedTime",):
+                self.pushed["from"] = f.value
             yield f  # a client may ignore them, so Spark checks again
 
     def partitions(self) -> list[Folder]:

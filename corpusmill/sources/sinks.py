@@ -22,24 +22,39 @@ def csv_rows(df: DataFrame, path: str, known: DataFrame | None = None) -> None:
     fresh.write.mode("append").option("header", True).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def fan_out(df: DataFrame, path: str) -> None:
-    """One folder for each level, law and act; rows of a folder are dealt to several tasks if Spark finds it large."""
-    df.hint("rebalance", "level", "law", "act").write.mode("overwrite").partitionBy("level", "law", "act").parquet(path)
+    """One folder for each level, law and act. What is there (by level, law, act and id) stays; only what is absent comes.
+
+    Rows of a folder are dealt to several tasks if Spark finds it large.
+    """
+    parts = ["level", "law", "act"]
+    if exists(df.sparkSession, path):
+        there = df.sparkSession.read.schema(df.schema).parquet(path).select(*parts, "id")
+        df = df.join(there, [*parts, "id"], "left_anti")
+    df.dropDuplicates([*parts, "id"]).hint("rebalance", *parts).write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def checkpoint_object(row: dict, path: str, spark: SparkSession) -> None:
     """One JSON object with sorted keys, written beside and renamed, so readers see the old one or the new one."""
     jvm = spark._jvm
     target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    fs = target.getFileSystem(conf)
     out = fs.create(beside, True)
     try:
         out.write(bytearray(json.dumps(row, ensure_ascii=False, sort_keys=True, indent=2).encode()))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(beside, target)
+    # the new one takes the old one's place in one step
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(beside), fs.makeQualified(target), how)
 
 
 def patch_checkpoint(old: dict, counts: dict, public: dict, description: str) -> dict:

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-LATE = "5 minutes"
-
+from ..session import shared_folder
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only in local mode."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-    return f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}"
+LATE = "5 minutes"
 
 
 def read(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:  # noqa: ANN001
@@ -44,7 +33,7 @@ def upsert_batches(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
 
 def dedup_events(spark: SparkSession, path: str) -> DataFrame:
     """The events, fed twice, without the second time."""
-    base = folder(spark)
+    base = shared_folder(spark, "feed")
     events = spark.read.parquet(path)
     for _ in range(2):
         events.write.mode("append").parquet(f"{base}/in")

@@ -81,8 +81,8 @@ class FakeClient:
             raise OSError("try again")
         number = int(token or 0)
         items = [{"id": f"{folder}{number}{k}", "name": f"n{k}", "mimeType": "pdf" if k else "doc", "modifiedTime": f"2099-01-0{k + 1}"} for k in range(2)]
-        if "type" in pushed:
-            items = [i for i in items if i["mimeType"] == pushed["type"]]
+        if "types" in pushed:
+            items = [i for i in items if i["mimeType"] in pushed["types"]]
         return items, str(number + 1) if number < 1 else None
 
 
