@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, maxent, merkle, near_dups, packing, repeats, secrets, topk, toxicity, url_rules
+from . import bpe, maxent, merkle, near_dups, oracles, packing, repeats, secrets, topk, toxicity, url_rules
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
@@ -131,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_rules": OP9_SQL}
+    return {"op5_near_dups": oracles.OP5_SQL, "op6_top_k": oracles.OP6_SQL, "op7_repeats": oracles.OP7_SQL, "op9_url_rules": OP9_SQL}

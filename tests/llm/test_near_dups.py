@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from corpusmill.llm import near_dups, queries
+from corpusmill.llm import near_dups
 
 
 def shingles(text):
@@ -55,11 +55,6 @@ def told(df):
     return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if r["component_id"] is not None else -1, r["kept"]) for r in df.collect())
 
 
-def test_query_equals_brute_force(spark):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    assert told(queries.op5_near_dups(spark, "/root/testdata/sf0.01")) == brute(rows)
-
-
 def group(dice, n, words, edits, base):
     text = [f"w{base}x{dice.randrange(10**6)}" for _ in range(words)]
     out = []

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import queries
@@ -6,13 +7,15 @@ from corpusmill.llm import queries
 SF = "/root/testdata/sf0.01"
 
 
-def test_url_query_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    df = queries.op9_url_rules(spark, SF)
+    for table in ("pages", "documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
-    got = {tuple(r) for r in df.select(*columns).collect()}
-    assert got == set(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op9_url_rules']})").fetchall())
+    got = sorted(map(repr, map(tuple, df.select(*columns).collect())))
+    assert got == sorted(map(repr, con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()))
 
 
 def test_result_columns(spark):
