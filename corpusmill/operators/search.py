@@ -3,8 +3,8 @@
 Static: terms are folded runs of letters and digits; a phrase is a folded substring. Full-text: tokens of the same fold,
 every query word is a prefix, all must match, or the words form a phrase of consecutive tokens; ranked by BM25.
 
-Postings are never materialised for the whole corpus: query terms are few, so each document's tokens are matched by
-array functions within one scan, and only its hits and length leave the scan. Corpus statistics are one aggregate row.
+operators.index keeps postings for corpora that are asked often. search_full_text() here is for those that aren't: it reads
+every text, matches its tokens by array functions, and only hits and lengths leave the scan.
 """
 
 from __future__ import annotations
@@ -109,10 +109,15 @@ def search_full_text(docs: DataFrame, key: str, text: Column, query: str, mode:
 
     # the condition sits inside the generator: a filter would be pushed below and make the tokens again
     found = own.select(F.col(key), F.explode(F.filter(measure, matches)).alias("_m")).select(key, F.col("_m.d").alias("_d"), *[F.col(f"_m.f{i}").alias(f"_f{i}") for i in range(n_parts)]).withColumn("_s", stats)
+    rank = bm25([F.col(f"_f{i}") for i in range(n_parts)], [F.col(f"_s._n{i}") for i in range(n_parts)], F.col("_d"), F.col("_s._n"), F.col("_s._avg"))
+    return found.select(key, rank.alias("rank"))
+
+
+def bm25(hits: list[Column], holders: list[Column], length: Column, docs: Column, mean: Column) -> Column:
+    """Lower is better. Of each part of a query: its hits in the document and how many documents hold it."""
     rank = F.lit(0.0)
-    for i in range(n_parts):
-        f, n = F.col(f"_f{i}"), F.col(f"_s._n{i}")
-        idf = F.log((F.col("_s._n") - n + 0.5) / (n + 0.5))
+    for f, n in zip(hits, holders, strict=True):
+        idf = F.log((docs - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_s._avg")))
-    return found.select(key, rank.alias("rank"))
+        rank = rank - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+    return rank
