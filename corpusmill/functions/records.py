@@ -51,6 +51,12 @@ def public_id(*keys: Column) -> Column:
     return F.coalesce(*[F.nullif(k, F.lit("")) for k in keys])
 
 
+def decorated(path: Column, own_id: Column, *public: Column) -> dict[str, Column]:
+    """What a result shows of its file: extension, the id under which it is public, whether there is one."""
+    key = public_id(*public)
+    return {"ext": F.lower(F.regexp_extract(path, "(\\.[^./]+)$", 1)), "public_id": key, "id": own_id, "available": key.isNotNull()}
+
+
 def chips(labels: Column, n: int = CHIPS) -> Column:
     """The first labels joined, and how many more there are."""
     more = F.size(labels) - n

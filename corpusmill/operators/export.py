@@ -20,6 +20,17 @@ def distinct_joined(df: DataFrame, key: str, value: str, order: str, separator:
     return first.groupBy(key).agg(F.array_join(seen, separator).alias("joined"))
 
 
+def with_targets(items: DataFrame, id: str = "id", target: str = "target_id", shown: tuple[str, ...] = ("name", "modified")) -> DataFrame:
+    """Items with what a shortcut's target says in place of their own (`target_` columns are null for other items)."""
+    theirs = items.groupBy(F.col(id).alias(target)).agg(*[F.max(c).alias(f"target_{c}") for c in shown])
+    return items.join(theirs, target, "left")
+
+
+def in_locale(name: Column, locale: str = "pt") -> Column:
+    """A name to order by: accents and case matter only between names that are equal without them."""
+    return F.collate(name, locale)
+
+
 def with_links(decisions: DataFrame, kept: DataFrame, key: str, links: list[str], order: str) -> DataFrame:
     """Decisions with the links an earlier export gave them, the last one of each id; null where there is none."""
     latest = kept.groupBy(key).agg(F.max_by(F.struct(*links), order).alias("_links")).select(key, "_links.*")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import extract, naming
 from ..operators import export, state, trees
 from ..sources.tables import load
+from ..session import shared_folder
 from ..streaming import feed as feeds
+from ..streaming import incremental
 from .registry import query
 
 
@@ -367,3 +369,23 @@ def table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(turn % 4 == 2, F.concat(F.lit("D"), turn.cast("string"))).otherwise(F.concat(role, turn.cast("string")))
     cells = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("tbl"), F.floor(turn / 4).alias("row"), (turn % 4).alias("col"), F.concat(label, F.lit("\n"), value).alias("value"))
     return extract.table_fields(cells).select(F.col("doc").alias("conv_id"), "autuado", "local_constatacao")
+
+
+@query("""WITH c AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS modified, value < 10 AS bad FROM events WHERE event_type <> 'error' AND event_id % 4 <> 0 AND (event_id % 50 = 0 OR event_id % 10 <> 3))
+SELECT id, modified, 'pending' AS state FROM c WHERE bad UNION ALL SELECT id, modified, 'revision' FROM c WHERE NOT bad
+UNION ALL SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'revision' FROM events WHERE event_id % 4 = 0""")
+def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of the feed against versioned state; files whose handling fails stay pending."""
+    base, events = shared_folder(spark, "incremental"), load(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "event_type")
+    incremental.begin(base, known=rows.where("id % 50 = 0"), revisions=rows.where("id % 4 = 0"), pending=rows.limit(0))
+    for part in range(3):
+        rows.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    failing = events.where("value < 10").select(F.col("event_id").alias("id"), F.lit("unreadable").alias("error"))
+    handle = lambda todo: todo.join(failing, "id", "left").select("id", "error")
+    stream = feeds.read(spark, f"{base}/in", rows.schema, per_trigger=1)
+    query = incremental.run(stream, base, handle, F.col("id") % 10 != 3, F.col("event_type") != "error", f"{base}/checkpoint")
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    told = lambda name, word: incremental.version(spark, base, name, last).withColumn("state", F.lit(word))
+    return told("pending", "pending").union(told("revisions", "revision"))

@@ -53,6 +53,12 @@ def subjects_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*names)
 
 
+def subjects_ready(spark: SparkSession, path: str) -> bool:
+    """Whether rows may be appended to the subject file; if its header is another, the file is to be written anew."""
+    first = spark.read.text(path).limit(1).collect()
+    return bool(first) and first[0]["value"].lstrip("\ufeff").rstrip("\r") == ",".join(SUBJECTS)
+
+
 def json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object as one row; a missing or bad file, or another kind of value, gives a row of nulls."""
     empty = spark.range(1).select(F.from_json(F.lit("{}"), schema).alias("o")).select("o.*")

@@ -1,10 +1,17 @@
-import pytest
-
 from corpusmill.operators import trees
 
 
-def test_folders_too_deep_are_an_error(spark):
-    names = [(f"f{i}", f"f{i + 1}", f"n{i + 1}") for i in range(120)]
+def test_trees_deeper_than_a_hundred_levels_are_whole(spark):
+    names = [(f"f{i}", f"f{i + 1}", f"n{i + 1}") for i in range(150)] + [("f150", "f3", "loop")]
     edges = spark.createDataFrame(names, "parent string, id string, name string").coalesce(1)
-    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
-        trees.walk(edges, spark.createDataFrame([("f0",)], "id string").coalesce(1)).collect()
+    found = {r["id"]: r["depth"] for r in trees.walk(edges, spark.createDataFrame([("f0",)], "id string").coalesce(1)).collect()}
+    assert found == {f"f{i}": i for i in range(1, 151)}
+
+
+def test_ancestors(spark):
+    edges = spark.createDataFrame([("a", "b", "B"), ("b", "c", "Sessão 1"), ("z", "c", "Sessão 1"), ("c", "d", "D"), ("x", "y", "Y"), ("y", "x", "X")], "parent string, id string, name string")
+    starts = spark.createDataFrame([("d",), ("c",), ("y",), ("a",)], "id string")
+    roots = spark.createDataFrame([("a",), ("z",)], "id string")
+    told = lambda *more: {r["id"]: (r["root"], r["depth"]) for r in trees.ancestors(edges, starts, roots, *more).collect()}
+    assert told() == {"d": ("z", 2), "c": ("z", 1), "y": (None, None), "a": ("a", 0)}
+    assert told(lambda name: name.startswith("Sess")) == {"d": ("c", 1), "c": ("c", 0), "y": (None, None), "a": ("a", 0)}
