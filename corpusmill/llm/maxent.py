@@ -34,7 +34,7 @@ from .common import buffers, id_text, materialize, mix, split_join, word_names
 CLASSES, FAN, MOST_BITS, MOST_MORE, ROUNDS, RATE = 8, 4, 12, 2, 2, 0.1
 SLOTS = 1 << 2 * FAN  # of a class: two levels of nodes
 NODES = CLASSES + (CLASSES << FAN)  # of all classes' trees; those of the tree of all others come after them
-SHARE = 32 << 20
+SHARE, MOST = 32 << 20, np.float32(80)
 HEAD, FLUSH, STEP, ROWS_SENT = 1 << 20, 1_000_000, 16_384, 1024
 END, START, UNKNOWN = np.uint64(0x1234567887654321), np.uint64(0x0FEDCBA9ABCDEF01), np.uint64(0x7A3C59E1D2B48F60)
 
@@ -212,18 +212,22 @@ def context_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return np.stack([mix(one + np.uint64(1)), mix(one * np.uint64(31) + mix(two + np.uint64(2))), mix(two + np.uint64(3))])
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """z becomes its exponentials; their sums by row come back. Logits are far from MOST, and one in a row is near its bias."""
+    np.minimum(z, MOST, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return np.maximum(z @ np.ones(z.shape[1], z.dtype), np.finfo(z.dtype).tiny)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z /= exponentials(z)[:, None]
     return z
 
 
 def log_of(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     """The logarithm of each row's softmax at one column."""
-    z -= z.max(axis=1, keepdims=True)
-    picked = z[np.arange(len(z)), column].astype(np.float64)
-    return picked - np.log(np.exp(z, out=z).sum(axis=1))
+    picked = np.minimum(z[np.arange(len(z)), column], MOST).astype(np.float64)
+    return picked - np.log(exponentials(z).astype(np.float64))
 
 
 def added(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
