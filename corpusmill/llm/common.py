@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 CHUNK = 1 << 20  # bytes of text handled at once by the vectorised code
 BATCH = 2 << 20  # bytes of a batch of rows
 U64 = np.uint64
@@ -88,7 +90,11 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Rows reach Python in batches of about BATCH bytes, which bounds a worker's memory; no result depends on it."""
+    """Rows reach Python in batches of about BATCH bytes, which bounds a worker's memory; no result depends on it.
+
+    Executors get the package as well, however the operator was called.
+    """
+    ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH:
         spark.conf.set(name, str(BATCH))

@@ -8,7 +8,7 @@ of its rules, so another set never meets the findings of this one. A ledger that
 Only one version of a blob crosses the shuffle with its text; the join is on (key, blob), so a blob with very many
 versions meets in no task. Findings go back by a join that Spark may split.
 
-Places are added up in blocks of BLOCK matches, so that the time for a text is in proportion to it, whatever it holds.
+Places are added up in blocks of matches, so that the time for a text is in proportion to it, whatever it holds.
 
 Null text: empty. Very long texts: one row is one task's work. Spans are 0-based code points, end exclusive, by start and then rule. Repeated rows stay. Ties (many
 versions of one blob): all of them get the same spans. An empty table gives no rows. Other columns are dropped.
@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import between, bound, chunked, running
 from .common import shared_folder
 
-BLOCK, CHARS, SALTS = 512, 4096, 16
+SALTS = 16
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -58,34 +58,6 @@ def rules_version(rules: list[Rule]) -> str:
     return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value made once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def running(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
-    """(state, out) after all items, as a struct: step gives the next state and an element (of type kind) for each item.
-
-    Elements are gathered in blocks of BLOCK: one long array that grows by one would be copied for each of them.
-    """
-
-    def one(done: Column, item: Column) -> Column:
-        state, element = step(done["state"], item)
-        return F.struct(state.alias("state"), F.concat(done["out"], F.array(element)).alias("out"))
-
-    def folded(items: Column) -> Column:
-        def block(done: Column, number: Column) -> Column:
-            fresh = F.struct(done["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
-            own = F.aggregate(F.slice(items, number * BLOCK + 1, F.lit(BLOCK)), fresh, one)
-            return bound(own, lambda b: F.struct(b["state"].alias("state"), F.concat(done["blocks"], F.array(b["out"])).alias("blocks")))
-
-        numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-        start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
-        return F.aggregate(numbers, start, block, lambda done: F.struct(done["state"].alias("state"), F.flatten(done["blocks"]).alias("out")))
-
-    return bound(items, folded)
-
-
 def spans_of(text: Column, number: int, rule: Rule) -> Column:
     """The spans of one rule: what lies between matches is text split by the pattern, so lengths add up to places."""
     pattern = F.lit(rule.pattern)
@@ -136,13 +108,6 @@ def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, ru
     return own.select("key", "blob").join(findings, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def between(chunks: Column, low: Column, high: Column) -> Column:
-    """The characters [low, high) of a text that is given in chunks of CHARS: only the chunks they lie in are read."""
-    first = F.floor(low / CHARS).cast("int")
-    near = F.array_join(F.slice(chunks, first + 1, F.floor(high / CHARS).cast("int") - first + 1), "")
-    return F.when(high > low, F.substring(near, low - first * CHARS + 1, high - low)).otherwise(F.lit(""))
-
-
 def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by mark."""
 
@@ -152,9 +117,8 @@ def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     def whole(made: Column) -> Column:
         gaps = F.filter(made["out"], lambda g: g["high"].isNotNull())
         every = F.concat(gaps, F.array(F.struct(made["state"].alias("low"), F.length(text).alias("high"))))
-        chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
         pieces = lambda x: F.array_join(F.transform(x["gaps"], lambda g: between(x["chunks"], g["low"], g["high"])), mark)
-        return bound(F.struct(every.alias("gaps"), chunks.alias("chunks")), pieces)
+        return bound(F.struct(every.alias("gaps"), chunked(text).alias("chunks")), pieces)
 
     return bound(running(spans, F.lit(0), step, "struct<low:int,high:int>"), whole)
 

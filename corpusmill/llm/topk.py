@@ -11,6 +11,8 @@ covered by SLACK; scores themselves are sums of integers and exact.
 Components are floor(scale * x). Queries meet candidates block by block: a block pair is one row, never a vector pair.
 The driver sees one row for each block of candidates (norms only) and the dim x dim matrix.
 
+Blocks that many groups ask for are dealt to several tasks.
+
 Vectors that are null, hold a null or a non-finite component, or differ from the most common length in components take
 no part, as a query or as a candidate. Ties go to the smaller vec_id. Repeated vec_id: each row is a candidate, other
 than the query's own vec_id. Fewer than k candidates: all of them. Empty tables give no rows. Other columns are dropped.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize, split_join
 
 BLOCK, QUERIES, HEAD = 2048, 1024, 16
 MAX_BLOCKS = 1 << 16
@@ -128,6 +130,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each row for which queries holds, against all other rows."""
     spark = vectors.sparkSession
+    bounded(spark)
     own = materialize(integral(vectors, scale), "vectors")
     n = own.count()
     if not n:
@@ -171,7 +174,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
                 counts = np.array([len(s) for s, _ in best], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([r["group"]], pa.int64()), pa.array([r["q_ids"]], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([np.concatenate([i for _, i in best]).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate([s for s, _ in best]).astype("<i8").tobytes()], pa.binary())], ["group", "q_ids", "counts", "ids", "scores"])
 
-    pairs = opened.select("group", "q_ids", "q_vectors", "floor", F.explode("more").alias("block")).join(blocks.select("block", "ids", "vectors"), "block")
+    asked = opened.select("group", "q_ids", "q_vectors", "floor", F.explode("more").alias("block"))
+    # every group asks for the blocks of the longest vectors
+    sizes = opened.select(F.explode("more").alias("block")).groupBy("block").agg(F.count("*").alias("n"))
+    pairs = split_join(asked, blocks.select("block", "ids", "vectors"), "block", sizes, F.col("group"))
     partial = pairs.mapInArrow(search, "group long, q_ids binary, counts binary, ids binary, scores binary")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 MAX_RULES = 200_000
 SITE, EXCEPTION, PATTERN = 2, 1, 0  # ranks
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -150,6 +152,7 @@ class Index:
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """page_id, url, host, path, rule (name of the rule that decided, or null), rank of it, verdict."""
+    bounded(pages.sparkSession)
     wanted = sorted({t for r in rules for t in r.tokens})
     counts = token_counts(pages, wanted) if wanted else {}
 

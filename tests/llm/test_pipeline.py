@@ -59,6 +59,27 @@ def test_stages_against_brute_force(spark):
     assert {i: sum((p for _, p in sorted(x)), []) for i, x in pieces.items()} == {i: [*tool.encode(t), 0] for i, t in state.items()}
 
 
+def test_edge_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and other columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, digest string, row long, spans string, number int, all string, key0 int, blob string"
+    fill = lambda i, t: (i, t, None, "s", 7, "d", 1, "x", 2, "y", 3, "z")
+    secret = "my token=abcdef123456 " + " ".join(f"w{k}" for k in range(40))
+    rows = [fill(*r) for r in [(1, None), (None, None), (None, "no id at all here"), (2, ""), (3, " \n "), (4, "word " * 60_000), (5, secret), (5, secret), (6, secret + " tail"), (7, "x" * 300_000), (8, "short"), (8, "other text of the same id")]]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None, 0, "t"), (None, 1, 1, "t"), (5, 1, 0, "t"), (5, 1, 0, "t"), (99, 0, 1, "t")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()]
+    assert sorted((i or 0) for i, *_ in got) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
+    told = {i: (t, n) for i, t, n in got}
+    # a text that repeats itself goes whole, a near copy went before its words could repeat
+    assert told[4] == ("", 0) and told[5][0].startswith("my [secret] w0") and told[1] == (None, None) and told[7][1] == 300_000
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {i for i, *_ in got}
+
+
 def test_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
