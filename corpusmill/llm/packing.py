@@ -3,8 +3,8 @@
 Documents are encoded once. Document frequencies of all terms (token ids) and the mean length cover all documents. Documents
 that share their rarer terms are dealt to the same shard: a document's keys are the least of its terms in KEYS fixed random
 orders in which a term comes the earlier the rarer it is (exponential clocks at the rate idf**RATE), so two documents have a
-key in common as often as they share weight. Documents are sorted by their keys over all tasks and cut into shards of about
-SHARD ids. A shard's task builds a BM25 inverted index over its documents. The first unused document is the seed of a window;
+key in common as often as they share weight. Keys are dealt to tasks by the ids of their documents, a key with very many to
+several; a task's documents are sorted by their keys and cut into shards of about SHARD ids. A shard's task builds a BM25 inverted index over its documents. The first unused document is the seed of a window;
 while the window has room, the index returns the seed's best unused neighbours by its TERMS heaviest terms, then by all its
 others, which fill it greedily. What a document leaves over opens the next window and its document is that window's seed. If
 no document shares a term with the seed, the next unused one in order follows. So only the last window of a shard is shorter
@@ -15,7 +15,7 @@ document. They are made by tiktoken from the same vocabulary's ranks, several ti
 other. As in that call, a special token's own text within a document is its one id (`special`: text to id).
 
 Null text: empty, which is packed as its end id. Equal scores: the document that comes first in the shard's order (by keys,
-then as they were written). Repeated rows are packed each; keys that very many documents share are split between shards, by
+then as they were written). Repeated rows are packed each; keys that very many documents share are split between tasks, by
 rows. A document longer than a window spans several; very long texts are one row's work. Empty tables give no rows. Other
 columns are dropped.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import id_text, materialize
+from .common import id_text, materialize, mix
 
 SHARD = 1 << 20  # ids in a shard
 MOST_TASKS, SHARDS_A_TASK = 1 << 15, 4
@@ -207,18 +207,37 @@ def pack(docs: DataFrame, ranks: str, window: int = 1024, shard: int = SHARD, sp
     rows = encoded(docs, ranks, special)
     kind, size = kind_of(ranks, special), vocabulary(ranks, special)
     stats = statistics(rows, size, kind)
-    tasks = min(MOST_TASKS, max(1, -(-(stats.ids + stats.docs) // (shard * SHARDS_A_TASK))))
     places = orders(stats)
     names = [f"key{i}" for i in range(KEYS)]
 
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(KEYS x documents, ids of each)."""
+        terms, at = flat(batch.column("ids"), kind)
+        some = np.flatnonzero(np.diff(at))
+        keys = np.full((KEYS, batch.num_rows), size, np.int32)
+        if len(some):
+            keys[:, some] = np.minimum.reduceat(places[:, terms], at[some], axis=1)
+        return keys, np.diff(at)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            keys, n = keys_of(batch)
+            total += np.bincount(keys[0], n + 1, size + 1).astype(np.int64)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["key", "n"])
+
+    told = rows.select("ids").mapInArrow(measured, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # a row for each key, the vocabulary's size at most
+    load = np.zeros(size + 1, np.int64)
+    load[told["key"].to_numpy()] = told["n"].to_numpy()
+    first, copies, tasks = dealt(load, max(shard * SHARDS_A_TASK, -(-int(load.sum()) // MOST_TASKS)))
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, at = flat(batch.column("ids"), kind)
-            some = np.flatnonzero(np.diff(at))
-            keys = np.full((KEYS, batch.num_rows), size, np.int32)
-            if len(some):
-                keys[:, some] = np.minimum.reduceat(places[:, terms], at[some], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys)], [*batch.schema.names, *names])
+            keys, _ = keys_of(batch)
+            number = mix(batch.column("number").to_numpy(zero_copy_only=False).astype(np.uint64))
+            task = first[keys[0]] + (number % copies[keys[0]].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys), pa.array(task)], [*batch.schema.names, *names, "task"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held = TaskContext.get().partitionId() << 32, 0
@@ -248,9 +267,27 @@ def pack(docs: DataFrame, ranks: str, window: int = 1024, shard: int = SHARD, sp
         if ids:
             yield from packed()
 
-    told = rows.mapInArrow(keyed, f"doc_id long, ids binary, number long, {', '.join(f'{n} int' for n in names)}")
-    dealt = told.repartitionByRange(tasks, *names, "number").sortWithinPartitions(*names, "number")
-    return dealt.select("doc_id", "ids").mapInArrow(work, PIECE)
+    told = rows.mapInArrow(keyed, f"doc_id long, ids binary, number long, {', '.join(f'{n} int' for n in names)}, task int")
+    return told.repartitionById(tasks, "task").sortWithinPartitions(*names, "number").select("doc_id", "ids").mapInArrow(work, PIECE)
+
+
+def dealt(load: np.ndarray, goal: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first task of each key, how many tasks it has, tasks in all): neighbouring keys share a task of about goal ids.
+
+    A key with more than goal ids has tasks of its own.
+    """
+    first, copies = np.zeros(len(load), np.int32), np.ones(len(load), np.int32)
+    task, held = 0, 0
+    for key in np.flatnonzero(load):
+        n = int(load[key])
+        if held and held + n > goal:
+            task, held = task + 1, 0
+        first[key], copies[key] = task, -(-n // goal)
+        if n > goal:
+            task, held = task + int(copies[key]), 0
+        else:
+            held += n
+    return first, copies, max(task + (held > 0), 1)
 
 
 def frame(rows: list[tuple]) -> pa.RecordBatch:

@@ -140,3 +140,9 @@ def test_related_documents_are_dealt_to_one_shard(spark):
         by[r["sequence_id"]].append(r["doc_id"] % 40)
     share = np.mean([max(x.count(t) for t in set(x)) / len(x) for x in by.values() if len(x) > 1])
     assert share > 0.5
+
+
+def test_keys_are_dealt_by_size():
+    first, copies, tasks = packing.dealt(np.array([0, 5, 4, 2, 35, 0, 3, 10, 1]), 10)
+    assert (first.tolist(), copies.tolist(), tasks) == ([0, 0, 0, 1, 2, 0, 6, 7, 8], [1, 1, 1, 1, 4, 1, 1, 1, 1], 9)
+    assert packing.dealt(np.zeros(4, np.int64), 10)[2] == 1
