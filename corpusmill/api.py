@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import search as engine
+from .operators.index import TextIndex
 
 #: Legal values of the level filter; others filter nothing.
 LEVELS = ("1a_instancia", "2a_instancia")
@@ -26,13 +27,15 @@ class Corpus:
     citations: DataFrame | None = None
     citation_key: str = "voto_file_id"
     rejected: DataFrame | None = None
+    #: Kept up beside docs over searched_text(); without it every search reads all texts.
+    index: TextIndex | None = None
 
     def stats(self) -> DataFrame:
         """One row: decisions, citations, rejections."""
         count = lambda df: (F.lit(0).cast("long") if df is None else df.agg(F.count("*")).scalar())
         return self.docs.agg(F.count("*").alias("decisions")).select("decisions", count(self.citations).alias("citations"), count(self.rejected).alias("rejections"))
 
-    def _text(self) -> Column:
+    def searched_text(self) -> Column:
         return F.concat_ws("\n", *[F.nullif(F.col(c), F.lit("")) for c in [*self.fields.values(), self.body]])
 
     def search(self, query: str = "", mode: str = "phrase", level: str = "", month: str = "", year: str = "", limit: int = engine.LIMIT, offset: int = 0, newest: str | None = None) -> DataFrame:
@@ -49,7 +52,10 @@ class Corpus:
         parts = [p for p in ((query, "phrase" if mode == "phrase" else "words"), (date, "phrase")) if p[0].strip()]
         ranked = None
         for words, how in parts:
-            one = engine.search_full_text(self.docs, self.key, self._text(), words, how, inside)
+            if self.index is not None:
+                one = self.index.search(words, how, None if inside is None else docs)
+            else:
+                one = engine.search_full_text(self.docs, self.key, self.searched_text(), words, how, inside)
             ranked = one if ranked is None else ranked.join(one.withColumnRenamed("rank", "_more"), self.key).select(self.key, (F.col("rank") + F.col("_more")).alias("rank"))
         top = engine.page(ranked, [F.col("rank"), F.col(self.key)], limit, offset)
         words = [w for p, _ in parts for w in engine.query_terms(p)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,36 +13,37 @@ from pyspark.sql import functions as F
 from .arrays import bound
 
 
+@cache
 def _plain(form: str) -> dict[str, str]:
     """Every letter that decomposes into one letter and accents, in all scripts, and that letter."""
     pairs = {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
+        if not unicodedata.decomposition(char):
+            continue
         base = "".join(c for c in unicodedata.normalize(form, char) if not unicodedata.combining(c))
         if len(base) == 1 and base != char:
             pairs[char] = base.lower()
     return pairs
 
 
-_CANONICAL, _COMPATIBLE = _plain("NFD"), _plain("NFKD")
-
-
-def _translated(text: Column, table: dict[str, str]) -> Column:
+def _translated(text: Column, form: str) -> Column:
+    table = _plain(form)
     return F.translate(text, "".join(table), "".join(table.values()))
 
 
 def folded(text: str) -> str:
     """What fold() makes of a text, for a query's words."""
-    return re.sub("[\u0300-\u036f]", "", text.lower().translate(str.maketrans(_CANONICAL)))
+    return re.sub("[\u0300-\u036f]", "", text.lower().translate(str.maketrans(_plain("NFD"))))
 
 
 def fold(text: Column) -> Column:
     """Search fold: accents off, lower case; white space stays."""
-    return F.regexp_replace(_translated(F.lower(text), _CANONICAL), "[\\u0300-\\u036F]", "")
+    return F.regexp_replace(_translated(F.lower(text), "NFD"), "[\\u0300-\\u036F]", "")
 
 
 def _strong(text: Column) -> Column:
-    return F.replace(F.regexp_replace(_translated(F.lower(text), _COMPATIBLE), "\\p{M}", ""), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.regexp_replace(_translated(F.lower(text), "NFKD"), "\\p{M}", ""), F.lit("ß"), F.lit("ss"))
 
 
 def norm(text: Column) -> Column:

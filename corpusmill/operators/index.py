@@ -122,5 +122,9 @@ def _of_table(application: str, spark: SparkSession, path: str, key: str, column
 
 
 def of_table(spark: SparkSession, path: str, key: str, column: str) -> TextIndex:
-    """The index of a table's column, built once for each application."""
-    return _of_table(spark.sparkContext.applicationId, spark, path, key, column)
+    """The index of a table's column, built once for each application, and again if its folder was cleared."""
+    index = _of_table(spark.sparkContext.applicationId, spark, path, key, column)
+    if not exists(spark, f"{index.folder}/lengths"):
+        _of_table.cache_clear()
+        index = _of_table(spark.sparkContext.applicationId, spark, path, key, column)
+    return index

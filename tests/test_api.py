@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.api import Corpus
 from corpusmill.functions import text
+from corpusmill.operators.index import TextIndex
 
 
 def corpus(spark):
@@ -29,6 +30,15 @@ def test_service(spark):
     assert c.detail("none").count() == 0
 
 
+def test_service_with_an_index_finds_the_same(spark, tmp_path):
+    c = corpus(spark)
+    asked = [dict(query="obra", mode="any"), dict(query="sem LICENCA"), dict(query="obra", mode="words", level="2a_instancia"), dict(query="", month="maio", year="2099")]
+    plain = [[(r["file_id"], round(r["rank"], 9), r["snippet"]) for r in c.search(**a).collect()] for a in asked]
+    c.index = TextIndex(spark, f"file://{tmp_path}/index", "file_id", "string")
+    c.index.put(c.docs, c.searched_text())
+    assert [[(r["file_id"], round(r["rank"], 9), r["snippet"]) for r in c.search(**a).collect()] for a in asked] == plain
+
+
 def test_file(spark):
     docs = spark.createDataFrame([("a", "/r/x.pdf"), ("b", "/r/../x.doc")], "file_id string, p string")
     assert tuple(Corpus(docs).file("a", "p", "/r").first())[2:] == ("inline", True)
