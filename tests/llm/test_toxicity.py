@@ -114,7 +114,7 @@ def brute_chain(rows, labels, picked):
 
 def test_chain_equals_brute_force(spark):
     dice = np.random.default_rng(6)
-    rows = [(i, " ".join(dice.choice(["nice", "day", "vile", "words", "tree", "lake", "mean", "thing"], 6)) + (" vile" if i % 3 == 0 else "")) for i in range(160)]
+    rows = [(i, " ".join(dice.choice(["nice", "day", "vile", "words", "tree", "lake", "mean", "thing"], 6)) + (" vilest" if i % 3 == 0 else "")) for i in range(160)]
     labels = [(i, i % 5 % 2, int(i % 3 == 0)) for i in range(0, 160, 2)]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, known, CHAIN)
@@ -123,6 +123,13 @@ def test_chain_equals_brute_force(spark):
     assert Counter(r["flagged"] for r in toxicity.score(docs.where("doc_id % 2 = 1 and doc_id % 3 = 0"), model).collect()) == {True: 27}
 
 
+def test_without_a_feature_every_document_has_the_share(spark):
+    docs = spark.createDataFrame([(i, "") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels, CHAIN)).collect()
+    assert {round(r["p_toxic"], 3) for r in got} == {0.25} and not any(r["flagged"] for r in got)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "p"), (2, "", "q"), (2, "", "q"), (None, "vile vile word", "r"), (4, "x " * 300_000 + "vile", "s"), (5, "good day", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, flagged string")
