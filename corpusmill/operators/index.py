@@ -62,7 +62,7 @@ class TextIndex:
         words = rows.select(self.key, F.posexplode("t").alias("place", "token"))
         one = words.groupBy(self.key, "token").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))  # of one document
         told = one.withColumn("bucket", bucket(F.col("token")))
-        told.repartition("bucket", F.xxhash64("token") % 8).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={gen}")
+        told.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={gen}")
         rows.select(self.key, F.size("t").cast("long").alias("n")).write.parquet(f"{self.folder}/lengths/gen={gen}/turn={turn}")
 
     def remove(self, keys: DataFrame) -> None:
