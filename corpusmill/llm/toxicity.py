@@ -12,10 +12,12 @@ of chance crowd in: 116 of 144 toxic documents are found in the English half of
 by as many tasks, to which the sample's features are sent. Every document is scored over its whole text.
 
 Null text: empty (the models' intercepts alone). Null labels or doc_id: not used for fitting. Repeated labels of a
-document: the largest counts. Repeated rows of a labelled document: the least text is learnt from; all rows are scored and
-stay. Ties between features go to the smaller number. Very long texts: one row is one task's work. No labels, or no positive
-ones: the share of positives for every document. Empty tables give no rows. Other columns are dropped by score() and kept by
-keep_clean(), whatever their names.
+document: the largest counts. Labels of documents that aren't in the table count nowhere. Repeated rows of a labelled document:
+the least text is learnt from; all rows are scored and stay. Ties between features go to the smaller number. Very long texts: one
+row is one task's work. Without evidence nothing is flagged: if the last category has no labels or only one class of them, if no
+feature tells anything, or if no cut of the held-out probabilities does better than flagging every document, the threshold is
+infinite and the probabilities are the share of positives. Empty tables give no rows. Other columns are dropped by score() and
+kept by keep_clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -124,15 +126,20 @@ def fit_linear(rows: int, owner: np.ndarray, at: np.ndarray, n: int, extra: np.n
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of greatest F1 on out-of-fold probabilities, halfway between neighbours; 0.5 if there are no positives."""
-    if not y.sum():
-        return 0.5
+    """The cut of greatest F1 on out-of-fold probabilities, halfway between neighbours; infinite without evidence for one.
+
+    A cut flags all that have its probability, so it lies where two differ; one that flags every document is no evidence.
+    """
+    if not len(y) or y.min() == y.max():
+        return float("inf")
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][p[order[:-1]] == p[order[1:]]] = -1
     i = int(np.argmax(f1))
-    low = p[order[i + 1]] if i + 1 < len(p) else 0.0
-    return float(min(max((p[order[i]] + low) / 2, 0.05), 0.9))
+    if i == len(y) - 1:
+        return float("inf")
+    return float(min(max((p[order[i]] + p[order[i + 1]]) / 2, 0.05), 0.9))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = MAX_TRAIN) -> Model:
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_trai
             part = on[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(s[part].astype(np.int64)) for s in sums)], ["feature", *[f"y{i}" for i in range(k)], "n"])
 
-    n_rows = sample.agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]).first()
+    n_rows = rows.agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]).first()
     total = n_rows["n"]
     counts = materialize(rows.mapInArrow(tally, f"feature int, {', '.join(f'y{i} long' for i in range(k))}, n long").groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]), "tally")  # a row for each feature, DIMS at most
     picked: set[int] = set()
@@ -192,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_trai
     lists = [np.frombuffer(r["at"], np.uint16).astype(np.int64) for r in got]
     sample = Sample(np.repeat(np.arange(len(got)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), len(chosen), np.array([r["doc_id"] % FOLDS for r in got], dtype=np.int64))
     before = np.zeros((len(got), 0))
-    weights, chain, bias, threshold = np.zeros((k, len(chosen))), np.zeros((k, k)), np.zeros(k), 0.5
+    weights, chain, bias, threshold = np.zeros((k, len(chosen))), np.zeros((k, k)), np.zeros(k), float("inf")
     for i in range(k):
         y = np.array([r[f"y{i}"] for r in got], dtype=float)
         if got:

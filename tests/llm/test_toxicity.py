@@ -154,3 +154,22 @@ def test_one_text_of_a_labelled_document_is_learnt(spark):
 def test_query_rows(spark):
     out = queries.op2_toxicity(spark, "/root/testdata/sf0.01")
     assert out.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+
+
+@pytest.mark.parametrize("told", [[(0, 1), (1, 1)], [(0, 1), (1, 0)], [(0, 0), (1, 0)], [(900, 1), (901, 1), (902, 1), (903, 1), (904, 1), (0, 0)], []])
+def test_without_evidence_nothing_is_flagged(spark, told):
+    """One class, too few features, labels of documents that don't exist, no labels."""
+    docs = spark.createDataFrame([(i, f"clean words number {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, t in told], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, CHAIN)
+    assert toxicity.keep_clean(docs, model).count() == 30
+    assert toxicity.score(docs, model).where("flagged").count() == 0
+
+
+def test_labels_of_absent_documents_count_nowhere(spark):
+    docs = spark.createDataFrame([(i, "awful nasty words" if i % 3 == 0 else "kind good words") for i in range(60)], "doc_id long, text string")
+    own = [(i, 1, int(i % 3 == 0)) for i in range(60)]
+    fit = lambda rows: toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), CHAIN)
+    one, other = fit(own), fit(own + [(1000 + i, 0, 1) for i in range(500)])
+    assert one.threshold == other.threshold and (one.bias == other.bias).all() and (one.picked == other.picked).all()
+    assert {r["doc_id"] for r in toxicity.score(docs, one).where("flagged").collect()} == set(range(0, 60, 3))
