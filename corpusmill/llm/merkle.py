@@ -12,7 +12,9 @@ the larger; sections, then paragraphs, that both hold are compared by their dige
 likeness 0 to any other.
 
 Null text: empty. Next document: ascending doc_id (null first), ties by text; after the last comes the first, which
-for a single row is itself. Very long texts: one row and its next are held by one task at a time. Repeated rows stay. An empty table gives no rows. Other columns are dropped.
+for a single row is itself. Ids are compared as longs throughout, beside nulls as well. A null or repeated id of many rows is cut
+into parts by the first six bytes of its texts; rows that are equal so far are ordered in one task. Very long texts: one row and
+its next are held by one task at a time. Repeated rows stay. An empty table gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
@@ -156,34 +159,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(work, "doc_id long, fingerprint string")
 
 
+def text_key(text: Column) -> Column:
+    """The first six bytes as a number: never falling in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, per: int = 1024) -> DataFrame:
     """Rows (part, place, doc_id, text) in which each document is followed, in order within its part, by the next one.
 
-    Parts are ranges of doc_id of about per rows, at most MAX_PARTS of them. The first document of a part is sent to the
-    part before it as well (place 1), so no text moves twice but these. What the driver sees is one row for each part.
+    Parts are ranges of (doc_id, text) of about per rows, at most MAX_PARTS of them: ranges of doc_id, null apart, and an id
+    (or null) that fills a part by itself is cut on by its texts' beginnings. The first document of a part is sent to the part
+    before it as well (place 1), so no text moves twice but these. What the driver sees is one row for each part.
     """
     own = id_text(docs)
-    parts = min(MAX_PARTS, max(1, -(-own.count() // per)))
-    cuts = np.array(sorted(set(own.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [], dtype=np.int64)
+    rows, nulls = own.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = min(MAX_PARTS, max(1, -(-rows // per)))
+    told = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    cuts = sorted(told or [])
+    # an id that several cuts fall on is a part of its own
+    hot = {a for a, b in pairwise(cuts) if a == b}
+    cuts = np.array(sorted(set(cuts) | {h + 1 for h in hot if h < (1 << 63) - 1}), dtype=np.int64)
+
+    def range_of(name: str) -> Column:
+        """0 for null, else 1 and more: pandas sees longs without a null, so every id is exact."""
+
+        @F.pandas_udf("int")
+        def at(doc: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, doc.to_numpy(np.int64), side="right").astype(np.int32) + 1)
+
+        return F.when(F.col(name).isNotNull(), at(F.coalesce(F.col(name), F.lit(0)))).otherwise(0)
+
+    own = own.withColumn("range", range_of("doc_id"))
+    heavy = sorted({int(np.searchsorted(cuts, h, side="right")) + 1 for h in hot} | ({0} if nulls > per else set()))
+    begins: dict[int, np.ndarray] = {}
+    if heavy:
+        # one row for each such id, with about as many cuts as it has parts
+        rank = [i / 64 for i in range(1, 64)]
+        for r in own.where(F.col("range").isin(heavy)).groupBy("range").agg(F.percentile_approx(text_key(F.col("text")), rank, 10_000).alias("cuts")).collect():
+            begins[r["range"]] = np.array(sorted(set(r["cuts"])), dtype=np.int64)
+    bases = np.concatenate([[0], np.cumsum([1 + len(begins.get(i, ())) for i in range(len(cuts) + 2)])])
 
     @F.pandas_udf("int")
-    def part_of(doc: pd.Series) -> pd.Series:
-        return pd.Series(np.where(doc.isna(), 0, np.searchsorted(cuts, doc.fillna(0).astype("int64"), side="right")).astype(np.int32))
-
-    own = own.withColumn("part", part_of("doc_id"))
-    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))
-    firsts = {r["part"]: r["first"]["doc_id"] for r in own.groupBy("part").agg(least.alias("first")).collect()}
-    order = sorted(firsts)
-    back = {part: order[i - 1] for i, part in enumerate(order)}
-
-    @F.pandas_udf("array<int>")
-    def goals(part: pd.Series, doc: pd.Series) -> pd.Series:
-        """The parts to which a document goes: its own, and the one before if it is a first."""
-        first = part.map(firsts)
-        is_first = (first == doc) | (first.isna() & doc.isna())
-        return pd.Series([[p, back[p]] if f else [p] for p, f in zip(part, is_first, strict=True)])
-
-    return own.select(F.posexplode(goals("part", "doc_id")).alias("place", "part"), "doc_id", "text")
+    def part_of(range_: pd.Series, key: pd.Series) -> pd.Series:
+        where, key = range_.to_numpy(np.int64), key.to_numpy(np.int64)
+        part = bases[where]
+        for i, own_cuts in begins.items():
+            on = where == i
+            part[on] += np.searchsorted(own_cuts, key[on], side="right")
+        return pd.Series(part.astype(np.int32))
+
+    key = F.when(F.col("range").isin(heavy), text_key(F.col("text"))).otherwise(0) if heavy else F.lit(0).cast("long")
+    own = own.withColumn("key", key).select(part_of("range", "key").alias("part"), "doc_id", "text", "key")
+    # of each part its first id and text's beginning, and the part before; rows that tie with them go along
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key"))
+    firsts = sorted(((r["part"], r["first"]["doc_id"], r["first"]["key"]) for r in own.groupBy("part").agg(least.alias("first")).collect()), key=lambda x: x[0])
+    told = [(*one, firsts[i - 1][0]) for i, one in enumerate(firsts)]  # before the first comes the last
+    before = F.broadcast(docs.sparkSession.createDataFrame(told, "part int, first long, begin long, back int"))  # a row for each part
+    is_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("begin"))
+    goals = F.when(is_first, F.array("part", "back")).otherwise(F.array("part"))
+    return own.join(before, "part").select(F.posexplode(goals).alias("place", "part"), "doc_id", "text")
 
 
 def edited_pairs(docs: DataFrame, per: int = 1024) -> DataFrame:

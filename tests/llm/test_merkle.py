@@ -88,6 +88,15 @@ def test_next_document(spark):
     assert told(merkle.edited_pairs(docs.where("doc_id = 200"))) == brute([(200, None)])
 
 
+def test_large_ids_beside_nulls_and_hot_ids(spark):
+    rows = [(2**60 + 300 * i, f"text {i}. more") for i in range(200)] + [(None, f"null {i % 7} {i}") for i in range(40)] + [(7, f"{i:03} repeated") for i in range(60)] + [(2**63 - 1, "last"), (-(2**63), "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for per in (8, 32):
+        assert told(merkle.edited_pairs(docs, per)) == brute(rows)
+    parts = merkle.with_next(docs, 8).where("place = 0").groupBy("part").count().agg({"count": "max"}).first()[0]
+    assert parts <= 40
+
+
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     out = queries.op10_merkle(spark, "/root/testdata/sf0.001").collect()
