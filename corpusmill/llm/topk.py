@@ -6,21 +6,26 @@ starts with the block of the longest vectors, which gives it a threshold: its k-
 Cauchy-Schwarz a block whose longest vector times the query's length stays below the threshold is skipped; in the blocks
 that remain, a partial sum over the first HEAD rotated coordinates plus the product of both residual lengths bounds each
 score, and only candidates whose bound reaches the threshold get their exact integer score. Rounding of the rotation is
-covered by SLACK; scores themselves are sums of integers and exact.
+covered by SLACK. Scores are exact: where the product of both lengths is below 2^53 every partial sum is a whole number that a
+double holds; where it may be more, products are added up as whole numbers of any size, and a score beyond a long is an error.
 
 Components are floor(scale * x). Queries meet candidates block by block: a block pair is one row, never a vector pair.
-The driver sees one row for each block of candidates (norms only) and the dim x dim matrix.
+Blocks hold BLOCK vectors at any size. The driver sees two numbers of each block of candidates (16 bytes for BLOCK vectors: 24 MB
+for 3 * 10^9 vectors) and the dim x dim matrix.
 
 Blocks that many groups ask for are dealt to several tasks.
 
-Vectors that are null, hold a null or a non-finite component, or differ from the most common length in components take
-no part, as a query or as a candidate. Ties go to the smaller vec_id. Repeated vec_id: each row is a candidate, other
-than the query's own vec_id. Fewer than k candidates: all of them. Empty tables give no rows. Other columns are dropped.
+Vectors that are null, or hold a null or a non-finite component, take no part, as a query or as a candidate. Vectors of another
+number of components are searched among their own: each number is a search of its own, one after the other. Vectors without
+components have score 0. Ties go to the smaller vec_id. Null vec_id: no part. Repeated vec_id: each row is a candidate, other
+than the query's own vec_id. Fewer than k candidates: all of them. Very long vectors: the dim x dim matrix bounds them. Empty
+tables give no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,19 +36,23 @@ from pyspark.sql import functions as F
 from .common import bounded, materialize, split_join
 
 BLOCK, QUERIES, HEAD = 2048, 1024, 16
-MAX_BLOCKS = 1 << 16
+EXACT = float(1 << 53)  # whole numbers below it are exact as doubles
 SLACK = 1e-6
-BLOCK_SCHEMA = "block int, n int, longest double, ids binary, vectors binary"
+BLOCK_SCHEMA = "longest double, ids binary, vectors binary"
 
 
 def integral(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id, v: whole vectors of the common length as floor(scale * x)."""
+    """vec_id, dim, v: whole vectors as floor(scale * x); one without components counts as a single 0."""
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
-        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0)
+        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    common = whole.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 1
-    return whole.where(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+    scaled = F.transform("v", lambda x: _floor(x * F.lit(float(scale))))
+    return whole.select("vec_id", F.size("v").alias("dim"), F.when(F.size("v") == 0, F.array(F.lit(0.0))).otherwise(scaled).alias("v"))
+
+
+def _floor(x: Column) -> Column:
+    """floor() as a double; from 2^53 on a double is whole, and a long would end at 2^63."""
+    return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
 
 
 def matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -72,16 +81,14 @@ def rotation(own: DataFrame) -> np.ndarray:
 
 
 def blocked(own: DataFrame, key: Column, size: int) -> DataFrame:
-    """Rows of whole blocks (block, n, longest, ids, vectors): runs of size vectors of each range partition."""
+    """Rows of whole blocks (longest, ids, vectors): runs of size vectors of each range partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, held = [], [], 0
 
         def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             longest = float(np.sqrt((x * x).sum(1)).max())
-            # the number only tells blocks apart: a digest of the least id and the size
-            name = int(np.uint64(ids.min()) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) if len(ids) else 0
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([longest]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["block", "n", "longest", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([longest]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["longest", "ids", "vectors"])
 
         for batch in batches:
             ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False))
@@ -103,6 +110,17 @@ def merge_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return score[order], ids[order]
 
 
+def scores(c: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
+    """Inner products of the rows of c with q as longs; reach: a bound of their sizes by both lengths."""
+    if reach < EXACT:
+        return (c @ q).astype(np.int64)
+    whole = [int(x) for x in q]
+    exact = [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in c]
+    if any(abs(x) >= 1 << 63 for x in exact):
+        raise OverflowError("an inner product is beyond a long; a smaller scale would hold it")
+    return np.array(exact, dtype=np.int64)
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each query's k best of the block at least, leaving out scores below its floor."""
     head = min(HEAD, c.shape[1])
@@ -118,12 +136,12 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         if len(live) > 8 * k:
             # the best bounds first: their exact scores raise the threshold for the others
             first = live[np.argpartition(-bound[i][live], 4 * k)[: 4 * k]]
-            exact = c[first] @ q[i]
+            exact = scores(c[first], q[i], q_all[i] * c_all[first].max())
             exact = exact[c_ids[first] != q_ids[i]]
             if len(exact) >= k:
                 live = live[bound[i][live] >= np.partition(exact, len(exact) - k)[len(exact) - k]]
         live = live[c_ids[live] != q_ids[i]]
-        out.append(merge_best(c[live] @ q[i], c_ids[live], k))
+        out.append(merge_best(scores(c[live], q[i], q_all[i] * c_all[live].max(initial=0.0)), c_ids[live], k))
     return out
 
 
@@ -132,25 +150,30 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0)
     spark = vectors.sparkSession
     bounded(spark)
     own = materialize(integral(vectors, scale), "vectors")
-    n = own.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    size = max(BLOCK, -(-n // MAX_BLOCKS))
+    dims = [(r["dim"], r["count"]) for r in own.groupBy("dim").count().orderBy("dim").collect()]  # numbers of components
+    found = [top_k_of(own.where(F.col("dim") == dim).select("vec_id", "v"), n, queries, k) for dim, n in dims]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def top_k_of(own: DataFrame, n: int, queries: Column, k: int) -> DataFrame:
+    """top_k() of n vectors with the same number of components."""
+    spark, size = own.sparkSession, BLOCK
     parts = max(1, n // (size * 4))
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     turn = rotation(own)
     by_norm = own.withColumn("norm", length).repartitionByRange(parts, F.desc("norm"), F.col("vec_id"))
     blocks = materialize(blocked(by_norm, F.desc("norm"), size).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    norms = blocks.select("block", "n", "longest").orderBy(F.desc("longest"), "block").collect()
+    norms = blocks.select("block", "longest").orderBy(F.desc("longest"), "block").toArrow()
     asked = blocked(own.where(queries).withColumn("norm", length).repartition(max(1, parts), "vec_id"), F.desc("norm"), QUERIES)
     asked = asked.select(F.monotonically_increasing_id().alias("group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     asked = materialize(asked, "queries")
-    first = norms[0]["block"]
     dim = turn.shape[0]
-    names, longest = np.array([r["block"] for r in norms], dtype=np.int64), np.array([r["longest"] for r in norms])
+    sent = spark.sparkContext.broadcast((norms["block"].to_numpy(), norms["longest"].to_numpy()))
+    first = int(sent.value[0][0])
 
     def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The threshold of each query from the block of the longest vectors, and the blocks that may still reach it."""
+        names, longest = sent.value
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vectors"], "<f8").reshape(-1, dim)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import queries, topk
@@ -34,6 +35,29 @@ def test_ties_skew_and_many_blocks(spark, monkeypatch):
     assert told(topk.top_k(df, F.col("vec_id") % 20 == 0, 5)) == brute(rows, 20, 5)
 
 
+def test_scores_are_exact_to_the_limit_of_a_long(spark):
+    """Around 2^53 doubles begin to round; the last scores are those next to 2^63."""
+    big = [(0, [94906265.0, 94906267.0, 1.0]), (1, [94906266.0, 94906265.0, 3.0]), (2, [94906266.0, 94906265.0, 2.0]), (3, [2e9 + 1, 2e9 + 3, 5.0]), (20, [2e9 + 7, 2e9 + 9, 11.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    want = []
+    for i, q in big:
+        if i % 20 == 0:
+            found = sorted((-sum(int(a) * int(b) for a, b in zip(q, c)), j) for j, c in big if j != i)
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    assert told(topk.top_k(df, F.col("vec_id") % 20 == 0, 5, 1.0)) == sorted(want)
+    edge = spark.createDataFrame([(0, [3037000499.0, 1.0]), (1, [3037000499.0, 5.0]), (2, [-3037000499.0, 7.0])], "vec_id long, embedding array<double>")
+    assert told(topk.top_k(edge, F.col("vec_id") == 0, 5, 1.0)) == [(0, 1, 1, 3037000499**2 + 5), (0, 2, 2, 7 - 3037000499**2)]
+    beyond = spark.createDataFrame([(0, [4e9]), (1, [4e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(beyond, F.col("vec_id") == 0, 5, 1.0).collect()
+
+
+def test_lengths_are_searched_among_their_own(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (20, [1.0, 1.0]), (21, [0.5, 1.0]), (22, [3.0, 0.0]), (40, []), (41, []), (None, [1.0]), (60, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert told(topk.top_k(df, F.col("vec_id") % 20 == 0)) == [(0, 1, 1, 8192), (20, 1, 22, 12288), (20, 2, 21, 6144), (40, 1, 41, 0)]
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [-1.0]), (3, [0.5])], "vec_id long, embedding array<float>")
     assert told(topk.top_k(df, F.col("vec_id") % 20 == 0)) == [(0, 1, 3, 2048), (0, 2, 20, -4096), (20, 1, 3, -2048), (20, 2, 0, -4096)]
