@@ -135,11 +135,11 @@ class _Powers:
         return cls.up, cls.down
 
 
-def _hash_piece(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(data: np.ndarray, breaks: np.ndarray, lower: bool, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, starts, ends) of the words of data; breaks: positions at which a document starts."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = breaks[(breaks > 0) & (breaks < len(data))]
@@ -172,10 +172,10 @@ def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out
 
 
-def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool, places: bool = False) -> Iterator[tuple]:
+def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool, places: bool = False, space: np.ndarray = _SPACE) -> Iterator[tuple]:
     """For runs of rows of about CHUNK bytes: (first row, counts of words, names[, starts, ends as bytes of data]).
 
-    A row longer than CHUNK is handled alone, in pieces cut at white space.
+    space: which bytes separate words. A row longer than CHUNK is handled alone, in pieces cut at such bytes.
     """
     n, row = len(offsets) - 1, 0
     while row < n:
@@ -187,19 +187,19 @@ def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool, places: bool
             while at < high:
                 cut = min(at + CHUNK, high)
                 if cut < high:
-                    back = np.flatnonzero(_SPACE[data[at:cut]])
+                    back = np.flatnonzero(space[data[at:cut]])
                     if len(back):
                         cut = at + int(back[-1]) + 1
                     else:
-                        while cut < high and not _SPACE[data[cut]]:
+                        while cut < high and not space[data[cut]]:
                             cut += 1
-                names, starts, ends = _hash_piece(data[at:cut], np.zeros(0, np.int64), lower)
+                names, starts, ends = _hash_piece(data[at:cut], np.zeros(0, np.int64), lower, space)
                 parts.append((names, starts + at, ends + at))
                 at = cut
             names, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
             counts = np.array([len(names)])
         else:
-            names, starts, ends = _hash_piece(data[low:high], offsets[row:to] - low, lower)
+            names, starts, ends = _hash_piece(data[low:high], offsets[row:to] - low, lower, space)
             starts, ends = starts + low, ends + low
             counts = np.diff(np.searchsorted(starts, offsets[row : to + 1]))
         yield (row, counts, names, starts, ends) if places else (row, counts, names)

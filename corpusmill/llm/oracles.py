@@ -31,3 +31,16 @@ u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
 l AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.i) FILTER (WHERE c.i IS NULL) AS kept, count(*) AS n, count(c.i) AS gone FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.i = u.i GROUP BY u.doc_id)
 SELECT w.doc_id, CAST(coalesce(n, 0) AS bigint) AS n_words, CAST(coalesce(gone, 0) AS bigint) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN l USING (doc_id)
 """
+
+# Every window of an item against every run of as many words of a document.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+q AS (SELECT item_id, least(len(ws), 10) AS k, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i, ws FROM b WHERE len(ws) > 0),
+w AS MATERIALIZED (SELECT DISTINCT item_id, k, md5(array_to_string(ws[i:i + k - 1], ' ')) AS h FROM q),
+g AS (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM w) WHERE len(ws) >= k),
+m AS MATERIALIZED (SELECT doc_id, g.k, i, item_id FROM (SELECT doc_id, k, i, md5(array_to_string(ws[i:i + k - 1], ' ')) AS h FROM g) g JOIN w ON w.k = g.k AND w.h = g.h),
+c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, maxent, merkle, near_dups, oracles, packing, repeats, secrets, topk, toxicity, url_rules
+from . import bpe, decontaminate, maxent, merkle, near_dups, oracles, packing, repeats, secrets, topk, toxicity, url_rules
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
@@ -97,6 +97,11 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def pattern_verdict(text: str) -> str:
     """SQL for the verdict of PATTERNS on an expression: all of them run, in the order of precedence."""
     text = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,8 +132,8 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op7_repeats, op8_maxent, op9_url_rules, op10_merkle)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op7_repeats, op8_maxent, op9_url_rules, op10_merkle, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dups": oracles.OP5_SQL, "op6_top_k": oracles.OP6_SQL, "op7_repeats": oracles.OP7_SQL, "op9_url_rules": OP9_SQL}
+    return {"op5_near_dups": oracles.OP5_SQL, "op6_top_k": oracles.OP6_SQL, "op7_repeats": oracles.OP7_SQL, "op9_url_rules": OP9_SQL, "op13_decontaminate": oracles.OP13_SQL}

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("pages", "documents", "embeddings"):
+    for table in ("pages", "documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
