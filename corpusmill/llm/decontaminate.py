@@ -184,16 +184,22 @@ class Shard:
         return doc, place - self.begins[doc], on[which]
 
 
-def shards(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def shards(data: np.ndarray, offsets: np.ndarray, width: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, whole documents' counts of words, shard documents' rows, first words, names) of runs of rows."""
     for row, counts, names in word_names(data, offsets, lower=True, space=_BETWEEN):
-        if len(names) <= SHARD + width:
-            yield row, counts, np.arange(len(counts)), np.zeros(len(counts), np.int64), counts, names
-        else:
-            # one long document
-            for at in range(0, len(names), SHARD):
-                piece = names[at : at + SHARD + width - 1]
-                yield row, counts if not at else counts * 0, np.zeros(1, np.int64), np.array([at]), np.array([len(piece)]), piece
+        base = np.concatenate([[0], np.cumsum(counts)])
+        doc = 0
+        while doc < len(counts):
+            # as many documents as a shard holds; one at least, and that in pieces if it is longer
+            to = max(int(np.searchsorted(base, base[doc] + size, side="right")) - 1, doc + 1)
+            own, whole = names[base[doc] : base[to]], counts[doc:to]
+            if len(own) <= size:
+                yield row + doc, whole, np.arange(to - doc), np.zeros(to - doc, np.int64), whole, own
+            else:
+                for at in range(0, len(own), size):
+                    piece = own[at : at + size + width - 1]
+                    yield row + doc, whole if not at else whole * 0, np.zeros(1, np.int64), np.array([at]), np.array([len(piece)]), piece
+            doc = to
 
 
 def diagonals(doc: np.ndarray, word: np.ndarray, place: np.ndarray, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
@@ -218,7 +224,7 @@ def covered(matches: list[dict]) -> int:
     return n
 
 
-def matched(rows: DataFrame, block: Block, width: int) -> DataFrame:
+def matched(rows: DataFrame, block: Block, width: int, size: int) -> DataFrame:
     """(doc_id, text, n_words, n_hit, matches) of rows (doc_id, text, matches), with the matches of one more block."""
     sent = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK words at most, or one item
 
@@ -228,7 +234,7 @@ def matched(rows: DataFrame, block: Block, width: int) -> DataFrame:
             matches = [x or [] for x in batch.column("matches").to_pylist()]
             words = np.zeros(batch.num_rows, np.int64)
             found: list[tuple[np.ndarray, ...]] = []
-            for row, counts, docs, at, sizes, names in shards(*buffers(batch.column("text")), width):
+            for row, counts, docs, at, sizes, names in shards(*buffers(batch.column("text")), width, size):
                 words[row : row + len(counts)] += counts
                 if len(names):
                     doc, word, place = Shard(names, sizes).occurrences(block)
@@ -242,17 +248,18 @@ def matched(rows: DataFrame, block: Block, width: int) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id long, text string, n_words long, n_hit long, matches {MATCHES}")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK, size: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_hit, items, matches of every document.
 
     matches: (item, its first word, the document's first word, words) of every longest verbatim match of a window or more;
-    items: their distinct ids, sorted as strings; n_hit: words of the document inside any match.
+    items: their distinct ids, sorted as strings; n_hit: words of the document inside any match. most: words of a block of items;
+    size: words of a shard; neither changes a result.
     """
     rows = id_text(docs).withColumn("matches", F.array().cast(MATCHES))
     made = blocks(benchmark, width, most)
     written, block = None, next(made, None) or Block([], width)  # without items words are counted all the same
     while block is not None:
-        rows, block = matched(rows, block, width), next(made, None)
+        rows, block = matched(rows, block, width, size), next(made, None)
         if block is not None:
             rows = materialize(rows, "matches")
             if written is not None:
@@ -290,7 +297,7 @@ def holds(block: Block, width: int):  # noqa: ANN201
         import pandas as pd
 
         hit = np.zeros(len(text), dtype=bool)
-        for row, _, docs, _, sizes, names in shards(*buffers(pa.array(text, pa.string())), width):
+        for row, _, docs, _, sizes, names in shards(*buffers(pa.array(text, pa.string())), width, SHARD):
             if len(names):
                 hit[docs[Shard(names, sizes).occurrences(block)[0]] + row] = True
         return pd.Series(hit)

@@ -44,3 +44,19 @@ c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i,
 t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+# All runs of one to three words of the pieces, counted and cut in 128-bit numbers.
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::hugeint AS n FROM g GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, sum(len(ws))::bigint AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT lang, k, phrase, a, 1 AS cut, ws[1] AS lp, array_to_string(ws[2:], ' ') AS rp FROM c UNION ALL SELECT lang, k, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE k = 3),
+s AS (SELECT u.lang, u.k, u.phrase, a, cut, x.n AS l, y.n AS r, (1000000 * a * a) // (x.n * y.n) AS score FROM u JOIN f x ON x.lang = u.lang AND x.phrase = lp JOIN f y ON y.lang = u.lang AND y.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM c WHERE k = 3),
+d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.phrase = b.phrase AND 100 * o.a >= 50 * b.a))
+SELECT d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, t.n AS n, score::bigint AS score FROM d JOIN t ON t.lang = d.lang QUALIFY rank <= 2000
+"""

@@ -66,15 +66,14 @@ def test_edge_rows(spark, tmp_path, most):
     assert decontaminate.find(docs.limit(0), items, 3).count() == 0 and decontaminate.remove(docs, items.limit(0), 3).count() == len(DOCS)
 
 
-def test_random_texts_long_documents_and_small_shards(spark, monkeypatch):
+def test_random_texts_long_documents_and_small_shards(spark):
     dice = random.Random(7)
     text = lambda n, k: " ".join(dice.choice("abcdefgh"[:k]) for _ in range(n))
     docs = [(i, text(dice.randrange(40), 3)) for i in range(30)] + [(100, text(400, 2)), (101, "a " * 300), (102, text(200, 8))]
     docs += [(200 + i, docs[30][1]) for i in range(3)]
     items = [(i, text(dice.randrange(12), 3)) for i in range(12)] + [(50, docs[30][1][100:180]), (51, docs[32][1][:60])]
-    monkeypatch.setattr(decontaminate, "SHARD", 64)
     for width in (2, 5):
-        assert told(decontaminate.find(*frames(spark, docs, items), width, 30)) == brute(docs, items, width)
+        assert told(decontaminate.find(*frames(spark, docs, items), width, 30, 64)) == brute(docs, items, width)
 
 
 def test_longest_matches(spark):
