@@ -1,5 +1,9 @@
 """SQL for the queries of this subpackage that SQL can say, each by the plainest way: all pairs, all windows, all products."""
 
+from __future__ import annotations
+
+import zlib
+
 # Shingles meet by their digests; the links' components are walked from every vertex.
 OP5_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -60,3 +64,24 @@ o AS (SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM c WHERE k = 3 UNION A
 d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.phrase = b.phrase AND 100 * o.a >= 50 * b.a))
 SELECT d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, t.n AS n, score::bigint AS score FROM d JOIN t ON t.lang = d.lang QUALIFY rank <= 2000
 """
+
+# The table of crc32: what a register's low byte becomes. With it SQL folds a crc32 over a text's bytes.
+_CRC = ", ".join(str(zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000) for i in range(256))
+
+# Near words share what is left of them without one letter.
+OP11_SQL = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::varchar, '') AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+x AS (SELECT run, c, hex(doc || ':' || run) AS hx FROM r),
+y AS (SELECT run, c, list_prepend(4294967295::bigint, [((strpos('0123456789ABCDEF', hx[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hx[2 * i + 2]) - 1)::bigint for i in range(0, length(hx) // 2)]) AS bytes FROM x),
+h AS (SELECT run, c, xor(list_reduce(bytes, lambda s, b: xor([{_CRC}]::bigint[][(xor(s, b) & 255) + 1], s >> 8)), 4294967295) AS h FROM y),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, sum(c)::bigint AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+v AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT v.word AS a, w.word AS b FROM v JOIN w ON w.word = v.rest UNION SELECT w.word, v.word FROM v JOIN w ON w.word = v.rest UNION SELECT v.word, u.word FROM v JOIN v u ON u.i = v.i AND u.rest = v.rest AND u.word <> v.word),
+q AS (SELECT p.a, p.b, w.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, p.b) AS k FROM p JOIN w ON w.word = p.b),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.n >= 2 * w.n THEN q.b END AS form, CASE WHEN q.n >= 2 * w.n THEN q.n END AS form_n FROM w LEFT JOIN q ON q.a = w.word AND q.k = 1),
+g(word, met) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.met WHERE f.form IS NOT NULL),
+e AS (SELECT g.word, g.met AS root FROM g JOIN f ON f.word = g.met WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN e USING (word)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, maxent, merkle, near_dups, oracles, packing, repeats, secrets, topk, toxicity, url_rules
+from . import bpe, collocations, decontaminate, maxent, merkle, near_dups, oracles, packing, repeats, secrets, spelling, topk, toxicity, url_rules
 from .common import table
 
 SITES = [url_rules.site_rule("net/", "block"), url_rules.site_rule("example.net/en/", "allow"), url_rules.site_rule("example.com/de/", "block"), url_rules.site_rule("org/fr/", "allow")]
@@ -97,6 +97,10 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), 10, 2000)
 
@@ -136,8 +140,8 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op7_repeats, op8_maxent, op9_url_rules, op10_merkle, op12_collocations, op13_decontaminate)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_byte_bpe, op5_near_dups, op6_top_k, op7_repeats, op8_maxent, op9_url_rules, op10_merkle, op11_spelling, op12_collocations, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dups": oracles.OP5_SQL, "op6_top_k": oracles.OP6_SQL, "op7_repeats": oracles.OP7_SQL, "op9_url_rules": OP9_SQL, "op12_collocations": oracles.OP12_SQL, "op13_decontaminate": oracles.OP13_SQL}
+    return {"op5_near_dups": oracles.OP5_SQL, "op6_top_k": oracles.OP6_SQL, "op7_repeats": oracles.OP7_SQL, "op9_url_rules": OP9_SQL, "op11_spelling": oracles.OP11_SQL, "op12_collocations": oracles.OP12_SQL, "op13_decontaminate": oracles.OP13_SQL}
