@@ -74,7 +74,7 @@ WITH RECURSIVE r AS (SELECT coalesce(doc_id::varchar, '') AS doc, translate(run,
   FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
 x AS (SELECT run, c, hex(doc || ':' || run) AS hx FROM r),
 y AS (SELECT run, c, list_prepend(4294967295::bigint, [((strpos('0123456789ABCDEF', hx[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hx[2 * i + 2]) - 1)::bigint for i in range(0, length(hx) // 2)]) AS bytes FROM x),
-h AS (SELECT run, c, xor(list_reduce(bytes, lambda s, b: xor([{_CRC}]::bigint[][(xor(s, b) & 255) + 1], s >> 8)), 4294967295) AS h FROM y),
+h AS (SELECT run, c, xor(list_reduce(bytes, lambda s, b: xor(list_extract([{_CRC}]::bigint[], (xor(s, b) & 255) + 1), s >> 8)), 4294967295) AS h FROM y),
 t AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
 w AS MATERIALIZED (SELECT word, sum(c)::bigint AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
 v AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
