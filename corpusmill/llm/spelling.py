@@ -68,20 +68,27 @@ def rarest(own: DataFrame) -> DataFrame:
 
 
 def near_pairs(own: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): every two words that differ by one code point, once; the shorter or lesser one first."""
-    size = F.length("word")
-    rows = materialize(rarest(own).withColumns({"size": size, "head": F.left("word", F.col("at") + 2), "tail": F.substr("word", F.col("at") + 1)}), "prefixes")
-
-    def key(more: int, after: bool) -> list[Column]:
-        """Which other words' bigrams may be the same: those `more` letters longer, edited after the bigram or before it."""
-        return [F.lit(more).alias("more"), F.lit(after).alias("after"), (F.col("size") + more).alias("size"), (F.col("at") + (0 if after else more)).alias("at"), F.col("head" if after else "tail").alias("part")]
-
-    goals = F.array(*[F.struct(*key(more, after)) for more in (0, 1) for after in (True, False)])
-    short = rows.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(goals).alias("k")).select("a", "n_a", "k.*")
-    found = F.array(*[F.struct(F.lit(more).alias("more"), F.lit(after).alias("after"), F.col("size"), F.col("at"), F.col("head" if after else "tail").alias("part")) for more in (0, 1) for after in (True, False)])
-    long = rows.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(found).alias("k")).select("b", "n_b", "k.*")
-    met = short.join(long, ["more", "after", "size", "at", "part"]).where((F.col("more") == 1) | (F.col("a") < F.col("b")))
-    # one edit: equal from both ends up to it
+    """(a, n_a, b, n_b): every two words that differ by one code point, once; the shorter or lesser one first.
+
+    Words meet by digests of what they must share; edit distance decides.
+    """
+    at, size = F.col("at"), F.length("word")
+    # an edit changes how many of the letters occur an odd number of times: by one if the length changes, else by none or two
+    odd = F.aggregate(F.transform(F.sequence(F.lit(0), size - 1), lambda i: letter(F.col("word"), i) % 64), F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+    rows = materialize(rarest(own).withColumns({"size": size, "head": F.left("word", at + 2), "tail": F.substr("word", at + 1), "odd": odd}), "prefixes")
+
+    def keys(far: int) -> Column:
+        """Digests of what two words share: how much longer the other is, the untouched bigram's place, and all on its one side.
+
+        far: 1 for the shorter word, which says where the longer one has it; 0 for that.
+        """
+        one = lambda more, part, moved: F.xxhash64(F.lit(more), F.lit(part), F.col("size") + far * more, at + far * moved, part)
+        return F.array(*[F.struct(F.lit(more).alias("more"), one(more, part, moved).alias("key")) for more in (0, 1) for part, moved in (("head", 0), ("tail", more))])
+
+    side = lambda far, name: rows.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"), F.explode(keys(far)).alias("k")).select(name, f"n_{name}", f"odd_{name}", "k.*")
+    changed = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
+    like = F.when(F.col("more") == 1, changed == 1).otherwise((F.col("a") < F.col("b")) & (changed <= 2))
+    met = side(1, "a").join(side(0, "b"), ["more", "key"]).where(like)
     verified = met.where(F.levenshtein("a", "b", 1) == 1)
     return verified.select("a", "n_a", "b", "n_b").distinct()
 
