@@ -6,9 +6,10 @@ the places at which a piece begins, and ANDed with the bitmap of another word it
 that word; its bits are counted. Phrases are extended depth-first, a group of first words at a time, and a shard's counts are
 added up over all shards by Spark.
 
-Three passes over the documents: words, phrases of two frequent words, and phrases of three whose parts of two are frequent.
-Frequent (`least` times in a language) words and pairs are known in the next pass from a bitmap of 2^BITS bits of their hashes,
-which is all that is broadcast; what it lets through by chance is dropped by exact counts. Parts are met by joins.
+Two passes over the documents. The first adds up the counts of the hashes of all words and pairs, as sorted runs of numbers that
+meet by hash; hashes that fall together only make a count too large, so no frequent one (`least` times in a language) is lost.
+The second pass gets the frequent ones as two bitmaps of 2^BITS bits, which is all that is broadcast, extends frequent words by
+frequent pairs to three words, and gives the words themselves; their exact counts decide. Parts are met by joins.
 
 A-Z are lower-cased; texts are cut at `. , ; : ! ?` and 0x0A-0x0D into pieces and those at 0x20 and 0x09 into words. All is per
 `lang` (null: `und`). Words are told apart within a shard by 64-bit names and everywhere else by themselves.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, bounded, buffers, materialize, mix, split_join, word_names
 
-SHARD, CELLS, BITS, TOP, SALTS = 1 << 20, 1 << 21, 26, 2000, 256
+SHARD, CELLS, BITS, TOP, SALTS = 1 << 19, 1 << 20, 26, 2000, 256
+BUCKET, LEAST_BUCKETS, MOST_TASKS = 8 << 20, 16, 1 << 15  # bytes of text whose hashes one bucket holds
 _BETWEEN, _CUT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _CUT[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _BETWEEN[[*b" \t"]] = True
@@ -142,8 +145,9 @@ def counted(*key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
     return *(k[first] for k in key), n
 
 
-def spots(names: np.ndarray) -> np.ndarray:
-    return (mix(names.copy()) & U64((1 << BITS) - 1)).astype(np.int64)
+def hashes(names: np.ndarray, kind: int) -> np.ndarray:
+    """63 bits of a name, and one for the kind: 0 for a word, 1 for a pair."""
+    return (mix(names.copy()) & ~U64(1)) | U64(kind)
 
 
 def pair_names(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -152,20 +156,20 @@ def pair_names(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 class Seen:
-    """A bitmap of 2^bits bits: which hashes may be among those of a table."""
+    """A bitmap of 2^bits bits: which hashes of a kind may be among those of a table."""
 
-    def __init__(self, rows: DataFrame, bits: int) -> None:
-        """rows: (spot long)."""
-        self.mask = (1 << bits) - 1
-        spot = F.col("spot").bitwiseAND(F.lit(self.mask)) + 1
-        maps = rows.select(spot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    def __init__(self, rows: DataFrame, kind: int, bits: int) -> None:
+        """rows: (hash long)."""
+        self.mask, self.kind = (1 << bits) - 1, kind
+        spot = F.shiftrightunsigned("hash", 1).bitwiseAND(F.lit(self.mask)) + 1
+        maps = rows.where(F.col("hash").bitwiseAND(F.lit(1)) == kind).select(spot.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
         whole = np.zeros(((self.mask >> 15) + 2, 4096), np.uint8)
         for r in maps.collect():  # 4 KB each, 2^bits bits in all
             whole[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
         self.bits = whole[1:].ravel()
 
     def holds(self, names: np.ndarray) -> np.ndarray:
-        at = spots(names) & self.mask
+        at = ((hashes(names, self.kind) >> U64(1)) & U64(self.mask)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -191,19 +195,14 @@ def shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Shard]:
 PIECE = 1 << 18  # rows of a batch that leaves a task
 
 
-def batches_of(lang: pa.Array, phrase: pa.Array, name: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()) if phrase.nbytes < 1 << 30 else phrase, pa.array(spots(name)), pa.array(n.astype(np.int64))], ["lang", "phrase", "spot", "n"])
+def batches_of(words: int, lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(n), words, np.int32)), lang, phrase, pa.array(n.astype(np.int64))], ["words", "lang", "phrase", "n"])
     for i in range(0, whole.num_rows, PIECE):
-        yield whole.slice(i, PIECE)
+        part = whole.slice(i, PIECE)
+        yield part.set_column(2, "phrase", part.column("phrase").cast(pa.string()))
 
 
-SCHEMA = "lang string, phrase string, spot long, n long"
-
-
-def summed(rows: DataFrame, least: int, name: str) -> DataFrame:
-    """(lang, phrase, spot, n) of the phrases with `least` occurrences in all."""
-    total = rows.groupBy("lang", "phrase").agg(F.min("spot").alias("spot"), F.sum("n").alias("n"))
-    return materialize(total.where((F.col("n") >= least) | F.col("phrase").isNull()), name)
+SCHEMA = "words int, lang string, phrase string, n long"
 
 
 def own_texts(docs: DataFrame) -> DataFrame:
@@ -211,50 +210,103 @@ def own_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
-def frequent_words(rows: DataFrame, least: int, size: int) -> DataFrame:
-    """summed() of the words, and of each language a row without a phrase: all its words."""
+def first_words(maps: Bitmaps, rows: int) -> Iterator[slice]:
+    """The bitmaps' rows in groups of about so many, each word's in one."""
+    at = 0
+    while at < len(maps.word):
+        to = int(np.searchsorted(maps.word, maps.word[min(at + rows, len(maps.word) - 1)], side="right"))
+        yield slice(at, to)
+        at = to
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, size):
-            every = np.arange(len(shard.names))
-            yield from batches_of(shard.lang(every), shard.text(every), shard.names, shard.counts)
-            all_ = np.bincount(shard.of_lang, shard.counts, len(shard.lang_names)).astype(np.int64)
-            yield from batches_of(pa.array(shard.lang_names, pa.string()), pa.nulls(len(all_), pa.large_string()), np.zeros(len(all_), np.uint64), all_)
 
-    return summed(rows.mapInArrow(work, SCHEMA), least, "words")
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of the counts of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
 
+def frequent_hashes(rows: DataFrame, least: int, size: int, cells: int) -> DataFrame:
+    """(hash) of the words and pairs that occur `least` times, and of some others."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET))
 
-def frequent_phrases(rows: DataFrame, words: DataFrame, pairs: DataFrame | None, least: int, size: int, cells: int, bits: int) -> DataFrame:
-    """Phrases of two frequent words or, where pairs are given, of three whose pairs are frequent."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, size):
+            keys, counts = [hashes(shard.names, 0)], [shard.counts.astype(np.int64)]
+            maps = Bitmaps(shard, np.ones(len(shard.names), dtype=bool), cells)
+            for group in first_words(maps, size // 8):
+                for one, two, _, bits in maps.extended(maps.word[group], maps.block[group], maps.bits[group]):
+                    a, b, n = counted(one, two, bits=bits)
+                    keys.append(hashes(pair_names(shard.names[a], shard.names[b]), 1))
+                    counts.append(n)
+            key, n = added(np.concatenate(keys), np.concatenate(counts))
+            # hashes are even, so a bucket is a range of them
+            goal = (key >> U64(32)) * U64(buckets) >> U64(32)
+            live, cut = np.unique(goal, return_index=True)
+            cut = np.append(cut, len(key))
+            own = [key[x:y].astype("<u8").tobytes() for x, y in pairwise(cut)]
+            many = [n[x:y].astype("<u4").tobytes() for x, y in pairwise(cut)]
+            yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int64)), pa.array(own, pa.binary()), pa.array(many, pa.binary())], ["bucket", "keys", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets come one after the other; what is held of one is added up as it grows."""
+        number, held, keys, counts = None, 0, [], []
+
+        def told() -> pa.RecordBatch:
+            key, n = added(np.concatenate(keys), np.concatenate(counts))
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least].view(np.int64))], ["hash"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, own, many = (batch.column(c)[i].as_py() for c in ("bucket", "keys", "counts"))
+                if bucket != number and keys:
+                    yield told()
+                    held, keys, counts = 0, [], []
+                number = bucket
+                keys.append(np.frombuffer(own, "<u8"))
+                counts.append(np.frombuffer(many, "<u4").astype(np.int64))
+                held += len(keys[-1])
+                if held > 4 * size and len(keys) > 1:
+                    key, n = added(np.concatenate(keys), np.concatenate(counts))
+                    held, keys, counts = len(key) // 2, [key], [n]
+        if keys:
+            yield told()
+
+    sent = rows.mapInArrow(gather, "bucket long, keys binary, counts binary")
+    return materialize(sent.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "hash long"), "hashes")
+
+
+def frequent_phrases(rows: DataFrame, known: DataFrame, least: int, size: int, cells: int, bits: int) -> DataFrame:
+    """(words, lang, phrase, n): the phrases of one to three words with `least` occurrences; no phrase: all words of a language."""
     context = rows.sparkSession.sparkContext
-    known = context.broadcast(Seen(words.select("spot"), bits))  # 2^bits bits
-    also = context.broadcast(Seen(pairs.select("spot"), bits)) if pairs is not None else None
+    word_seen, pair_seen = (context.broadcast(Seen(known, kind, bits)) for kind in (0, 1))  # 2^bits bits each
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, size):
-            maps = Bitmaps(shard, known.value.holds(shard.names), cells)
+            live, names = word_seen.value.holds(shard.names), shard.names
+            own = np.flatnonzero(live)
+            yield from batches_of(1, shard.lang(own), shard.text(own), shard.counts[own])
+            every = np.bincount(shard.of_lang, shard.counts, len(shard.lang_names)).astype(np.int64)
+            yield from batches_of(0, pa.array(shard.lang_names, pa.string()), pa.nulls(len(every), pa.large_string()), every)
+            maps = Bitmaps(shard, live, cells)
             joined = lambda *w: pc.binary_join_element_wise(*(shard.text(x) for x in w), pa.scalar(" ", pa.large_string()))  # noqa: B023, E731
-            at = 0
-            while at < len(maps.word):
-                # the first words of about size / 8 rows, each whole
-                to = int(np.searchsorted(maps.word, maps.word[min(at + size // 8, len(maps.word) - 1)], side="right"))
-                for one, two, block, map_ in maps.extended(maps.word[at:to], maps.block[at:to], maps.bits[at:to]):
-                    if also is None:
-                        a, b, n = counted(one, two, bits=map_)
-                        yield from batches_of(shard.lang(a), joined(a, b), pair_names(shard.names[a], shard.names[b]), n)
-                        continue
-                    on = also.value.holds(pair_names(shard.names[one], shard.names[two]))
+            for group in first_words(maps, size // 8):
+                for one, two, block, map_ in maps.extended(maps.word[group], maps.block[group], maps.bits[group]):
+                    on = pair_seen.value.holds(pair_names(names[one], names[two]))
                     one, two, block, map_ = one[on], two[on], block[on], map_[on]
-                    key, phrase = np.unique(one * len(shard.names) + two, return_inverse=True)
+                    a, b, n = counted(one, two, bits=map_)
+                    yield from batches_of(2, shard.lang(a), joined(a, b), n)
+                    key, phrase = np.unique(one * len(names) + two, return_inverse=True)
                     for p, three, _, more in maps.extended(phrase, block, map_):
-                        p, three, n = counted(p, three, bits=more)
-                        a, b = key[p] // len(shard.names), key[p] % len(shard.names)
-                        on = also.value.holds(pair_names(shard.names[b], shard.names[three]))
-                        a, b, three, n = a[on], b[on], three[on], n[on]
-                        yield from batches_of(shard.lang(a), joined(a, b, three), pair_names(pair_names(shard.names[a], shard.names[b]), shard.names[three]), n)
-                at = to
+                        on = pair_seen.value.holds(pair_names(names[key[p] % len(names)], names[three]))
+                        p, three, n = counted(p[on], three[on], bits=more[on])
+                        a, b = key[p] // len(names), key[p] % len(names)
+                        yield from batches_of(3, shard.lang(a), joined(a, b, three), n)
 
-    return summed(rows.mapInArrow(work, SCHEMA), least, "phrases")
+    total = rows.mapInArrow(work, SCHEMA).groupBy("words", "lang", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(total.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
 
 
 def key(phrase: Column) -> Column:
@@ -305,9 +357,7 @@ def collocations(docs: DataFrame, least: int = 10, n: int = TOP, size: int = SHA
     size (words of a shard), cells (bitmap rows met at once) and bits (of what is broadcast; BITS at most) change no result.
     """
     rows = own_texts(docs)
-    found = frequent_words(rows, least, size)
-    words, totals = found.where("phrase is not null"), found.where("phrase is null").select("lang", F.col("n").alias("words"))
-    pairs = frequent_phrases(rows, words, None, least, size, cells, bits)
-    triples = frequent_phrases(rows, words, pairs, least, size, cells, bits)
+    found = frequent_phrases(rows, frequent_hashes(rows, least, size, cells), least, size, cells, bits)
+    totals, words, pairs, triples = (found.where(F.col("words") == k).drop("words") for k in range(4))
     ranked = top(scored(words, pairs, triples), n)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
+    return ranked.join(totals.select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -54,8 +54,8 @@ def test_counts_run_over_blocks_shards_and_groups(spark, monkeypatch):
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
-    row = lambda phrase, n: ("en", phrase, 0, n)
-    make = lambda rows: spark.createDataFrame(rows, collocations.SCHEMA)
+    row = lambda phrase, n: ("en", phrase, n)
+    make = lambda rows: spark.createDataFrame(rows, "lang string, phrase string, n long")
     big = 9 * 10**12 + 7
     words, pairs = make([row("a", big + 3), row("b", big + 5), row("c", big)]), make([row("a b", big), row("b c", 10)])
     triples = make([row("a b c", 10)])
