@@ -1,10 +1,17 @@
-"""State as pure functions: state x changes -> state. Each is one join or window; write the result and swap it in."""
+"""State as pure functions: state x changes -> state. Each is one join or window; write the result and swap it in.
+
+Null keys are equal to each other, as in a set.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def first_by(df: DataFrame, keys: list[str], by: list[str], last: bool = False) -> DataFrame:
     """The first (or last) row of each key by columns that must order its rows wholly: one partial aggregation."""
@@ -13,19 +20,25 @@ def first_by(df: DataFrame, keys: list[str], by: list[str], last: bool = False)
     return df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*by)).alias("_row")).select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in df.columns])
 
 
+def lacking(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys other lacks, nulls included."""
+    theirs = other.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).distinct()
+    return df.join(theirs, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]), "left_anti")
+
+
 def insert_if_absent(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """State wins; changes come in only with new keys."""
-    return state.unionByName(changes.join(state.select(*keys), keys, "left_anti"))
+    return state.unionByName(lacking(changes, state, keys))
 
 
 def upsert(state: DataFrame, changes: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """The latest change of each key replaces its row."""
     latest = first_by(changes, keys, by, last=True)
-    return state.join(latest.select(*keys), keys, "left_anti").unionByName(latest, allowMissingColumns=True)
+    return lacking(state, latest, keys).unionByName(latest, allowMissingColumns=True)
 
 
 def delete_by(state: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
-    return state.join(keys_of.select(*keys).distinct(), keys, "left_anti")
+    return lacking(state, keys_of, keys)
 
 
 def replace_children(children: DataFrame, fresh: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -101,14 +114,44 @@ def resume(items: DataFrame, done: DataFrame, pending: DataFrame, key: str) -> D
     return told.where(F.col("_done").isNull() | F.col("_pending")).drop("_done", "_pending")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_k") -> DataFrame:
+    """df with the number (from 1) of each row among those of its keys, in an order that should be whole.
+
+    A key with very many rows is counted by several tasks: rows are dealt to ranges of keys and order and written, each range
+    counts its own, and what the ranges before hold of a key is added.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "numbered")
+    df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    # only keys in several ranges have any before
+    some = before.where("_before is not null").select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), "_before")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)])
+    met = own.join(some, same & (F.col("_range") == F.col("_at")), "left")
+    return met.withColumn(name, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)
+
+
 def unique_suffix(df: DataFrame, path: str, order: list[Column], stem: Column, ending: Column) -> DataFrame:
-    """df with `unique_name`: ` (i)` for the i-th repeat; names that hit a literal one get the next free numbers."""
-    w = Window.partitionBy(path).orderBy(*order)
-    numbered = df.withColumn("_i", F.row_number().over(w) - 1)
-    named = numbered.withColumn("unique_name", F.when(F.col("_i") == 0, F.col(path)).otherwise(F.concat(stem, F.lit(" ("), F.col("_i").cast("string"), F.lit(")"), ending)))
-    literal = df.select(F.col(path).alias("unique_name")).distinct().withColumn("_taken", F.lit(True))
-    told = named.join(literal, "unique_name", "left").withColumn("_clash", F.col("_taken").isNotNull() & (F.col("_i") > 0))
-    again = Window.partitionBy(path).orderBy(F.col("_clash"), F.col("_i"))
-    most = F.max("_i").over(Window.partitionBy(path))
-    free = most + F.sum(F.col("_clash").cast("int")).over(again)
-    return told.withColumn("unique_name", F.when(F.col("_clash"), F.concat(stem, F.lit(" ("), free.cast("string"), F.lit(")"), ending)).otherwise(F.col("unique_name"))).drop("_i", "_taken", "_clash")
+    """df with `unique_name`: the first row of a path keeps it, the k-th further one is the path with the k-th number that is free.
+
+    A number is taken if `stem (number)ending` is a path of some row itself. The taken numbers of a path leave gaps; each further
+    row finds its gap by a join with their ranges, so no two rows share a name. Null paths stay null.
+    """
+    rows = numbered(df.withColumns({"_stem": stem, "_ending": ending}), [path], order, "_i").withColumn("_k", F.col("_i") - 1)
+    literal = rows.where(F.col(path).isNotNull()).select("_stem", "_ending").distinct()
+    form = "^(?s)(.*) \\(([1-9][0-9]{0,17})\\)$"
+    taken = literal.where(F.col("_stem").rlike(form)).select(F.regexp_extract("_stem", form, 1).alias("_of"), F.col("_ending").alias("_with"), F.regexp_extract("_stem", form, 2).cast("long").alias("_number"))
+    # of a path that has further rows: so many numbers are free below each taken one
+    needed = rows.where(F.col(path).isNotNull()).groupBy("_stem", "_ending").agg(F.max("_k").alias("_most")).where("_most > 0")
+    own = taken.join(needed, (F.col("_of") == F.col("_stem")) & (F.col("_with") == F.col("_ending"))).select("_of", "_with", "_number")
+    w = Window.partitionBy("_of", "_with").orderBy("_number")
+    gaps = own.withColumn("_j", F.row_number().over(w)).withColumn("_free", F.col("_number") - F.col("_j"))
+    # the k-th free number is k and the taken ones below: those with fewer than k free ones before them
+    ranges = gaps.groupBy("_of", "_with", "_free").agg(F.max("_j").alias("_j")).withColumn("_upto", F.lead("_free").over(Window.partitionBy("_of", "_with").orderBy("_free")))
+    hit = (F.col("_stem") == F.col("_of")) & (F.col("_ending") == F.col("_with")) & (F.col("_k") > F.col("_free")) & (F.col("_upto").isNull() | (F.col("_k") <= F.col("_upto")))
+    told = rows.join(ranges, hit, "left")
+    number = (F.col("_k") + F.coalesce("_j", F.lit(0))).cast("string")
+    named = F.when((F.col("_k") == 0) | F.col(path).isNull(), F.col(path)).otherwise(F.concat("_stem", F.lit(" ("), number, F.lit(")"), "_ending"))
+    return told.withColumn("unique_name", named).select(*df.columns, "unique_name")

@@ -21,14 +21,15 @@ def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select(count("documents").alias("documents"), count("labels").alias("labels"), "conversations", "turns")
 
 
-@query("""WITH b AS (SELECT p_name AS path, p_partkey FROM part UNION ALL SELECT p_name || ' (1)', p_partkey + 1000000 FROM part WHERE p_partkey % 97 = 0),
+@query("""WITH RECURSIVE b AS (SELECT p_name AS path, p_partkey FROM part UNION ALL SELECT p_name || ' (1)', p_partkey + 1000000 FROM part WHERE p_partkey % 97 = 0 UNION ALL SELECT p_name || ' (3)', p_partkey + 2000000 FROM part WHERE p_partkey % 89 = 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY p_partkey) - 1 AS i FROM b),
-m AS (SELECT *, CASE WHEN i = 0 THEN path ELSE path || ' (' || i || ')' END AS u FROM n),
-c AS (SELECT *, i > 0 AND u IN (SELECT path FROM b) AS clash FROM m)
-SELECT p_partkey, CASE WHEN clash THEN path || ' (' || (max(i) OVER (PARTITION BY path) + sum(clash::int) OVER (PARTITION BY path ORDER BY clash, i)) || ')' ELSE u END AS unique_name FROM c""")
+m AS (SELECT path, max(i) AS most FROM n GROUP BY path),
+f AS (SELECT path, u, row_number() OVER (PARTITION BY path ORDER BY u) AS i FROM (SELECT path, unnest(range(1, most + 1 + (SELECT count(DISTINCT path) FROM b WHERE starts_with(b.path, m.path || ' (')))) AS u FROM m WHERE most > 0) WHERE path || ' (' || u || ')' NOT IN (SELECT path FROM b))
+SELECT p_partkey, CASE WHEN n.i = 0 THEN n.path ELSE n.path || ' (' || f.u || ')' END AS unique_name FROM n LEFT JOIN f ON f.path = n.path AND f.i = n.i""")
 def unique_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
-    both = part.select(F.col("p_name").alias("path"), "p_partkey").union(part.where("p_partkey % 97 = 0").select(F.concat("p_name", F.lit(" (1)")), F.col("p_partkey") + 1_000_000))
+    literal = lambda every, name, more: part.where(F.col("p_partkey") % every == 0).select(F.concat("p_name", F.lit(name)), F.col("p_partkey") + more)
+    both = part.select(F.col("p_name").alias("path"), "p_partkey").union(literal(97, " (1)", 1_000_000)).union(literal(89, " (3)", 2_000_000))
     return state.unique_suffix(both, "path", [F.col("p_partkey")], F.col("path"), F.lit("")).select("p_partkey", "unique_name")
 
 
@@ -285,15 +286,22 @@ def throttle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if(F.col("gap") < 3_600_000_000).alias("too_fast"), F.min("gap").alias("least_us"))
 
 
-@query("SELECT i AS attempt, least(2 * pow(2, i - 1), 60)::bigint AS wait_s, sum(least(2 * pow(2, i - 1), 60)) OVER (ORDER BY i)::bigint AS total_s FROM range(1, 21) t(i)")
+@query("""WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error')
+SELECT event_id, attempt, least(2 * pow(2, attempt - 1), 60)::bigint AS wait_s, (sum(least(2 * pow(2, attempt - 1), 60)) OVER (PARTITION BY user_id ORDER BY attempt))::bigint AS total_s FROM a""")
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waits = spark.range(1, 21).select(F.col("id").alias("attempt"), F.least(F.lit(2) * F.pow(F.lit(2), F.col("id") - 1), F.lit(60)).cast("long").alias("wait_s"))
-    return waits.withColumn("total_s", F.sum("wait_s").over(Window.orderBy("attempt")))
+    """How long each user waits after each error in turn, and so far."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    errors = load(spark, sf_dir, "events").where("event_type = 'error'").withColumn("attempt", F.row_number().over(w))
+    waits = errors.withColumn("wait_s", F.least(F.lit(2) * F.pow(F.lit(2), F.col("attempt") - 1), F.lit(60)).cast("long"))
+    return waits.select("event_id", F.col("attempt").cast("long").alias("attempt"), "wait_s", F.sum("wait_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total_s"))
 
 
-@query("SELECT y AS year FROM range(2022, 2100) t(y)")
+@query("""WITH o AS (SELECT year(o_orderdate) AS y FROM orders), r AS (SELECT unnest(range(min(y) - 1, max(y) + 3)) AS y FROM o) SELECT r.y AS year, count(o.y) AS n FROM r LEFT JOIN o ON o.y = r.y GROUP BY r.y""")
 def year_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.expr("sequence(2099L, 2022L, -1L)")).alias("year"))
+    """The years of the orders without a gap, from one before the first to two after the last, with their orders."""
+    years = load(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    every = years.agg(F.min("year").alias("low"), F.max("year").alias("high")).select(F.explode(F.sequence(F.col("high") + 2, F.col("low") - 1, F.lit(-1))).alias("year"))
+    return every.join(years, "year", "left").select(F.col("year").cast("long").alias("year"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT doc_id, lang, NULL::int AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")

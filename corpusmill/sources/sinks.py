@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import lacking
+
 
 def json_lines(df: DataFrame, path: str, order: list[str], with_text: bool = True, text: str = "texto") -> None:
     """Sorted lines; Spark's range partitions keep the order over files, so no task holds all rows."""
@@ -15,10 +18,10 @@ def json_lines(df: DataFrame, path: str, order: list[str], with_text: bool = Tru
 
 
 def csv_rows(df: DataFrame, path: str, known: DataFrame | None = None) -> None:
-    """Distinct rows that known lacks, appended with a header."""
+    """Distinct rows that known lacks, appended with a header; empty fields are equal to each other."""
     fresh = df.dropDuplicates()
     if known is not None:
-        fresh = fresh.join(known.distinct(), df.columns, "left_anti")
+        fresh = lacking(fresh, known, df.columns)
     fresh.write.mode("append").option("header", True).csv(path)
 
 
@@ -41,20 +44,34 @@ def fan_out(df: DataFrame, path: str) -> None:
 
 def checkpoint_object(row: dict, path: str, spark: SparkSession) -> None:
     """One JSON object with sorted keys, written beside and renamed, so readers see the old one or the new one."""
+    _renamed(spark, path, json.dumps(row, ensure_ascii=False, sort_keys=True, indent=2), "OVERWRITE")
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """A file that must not be there yet, whole or not at all: of two writers of one path the second fails."""
+    _renamed(spark, path, text, "NONE")
+
+
+def _renamed(spark: SparkSession, path: str, text: str, option: str) -> None:
     jvm = spark._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}.part")
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     fs = target.getFileSystem(conf)
     out = fs.create(beside, True)
     try:
-        out.write(bytearray(json.dumps(row, ensure_ascii=False, sort_keys=True, indent=2).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
-    # the new one takes the old one's place in one step
+    # the new one takes its place in one step
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(beside), fs.makeQualified(target), how)
+    how[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, option)
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(target), how)
+    except Exception:
+        fs.delete(beside, False)
+        raise
 
 
 def patch_checkpoint(old: dict, counts: dict, public: dict, description: str) -> dict:

@@ -48,20 +48,84 @@ def test_the_index_ranks_as_a_scan_does_through_all_changes(spark, own):
     assert set(ranked(own.search("alf", inside=half))) == {k for k in ranked(own.search("alf")) if k < "d4"}
 
 
-def test_a_query_reads_its_buckets_alone(spark, own):
-    own.put(spark.createDataFrame([("a", "alfa beta"), ("b", "gama")], SCHEMA), F.col("text"))
-    plan = own.postings(["alf"], True)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[.*bucket#\d+ = \d+", plan) and "StringStartsWith(token,alf)" in plan
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_a_generation_that_was_cut_short_does_not_count(spark, own, monkeypatch):
+def test_a_query_reads_its_buckets_alone(spark, own, monkeypatch):
+    monkeypatch.setattr(index, "SMALL", 0)
+    for docs, large in (("a", index.LARGE), ("b", 0)):
+        monkeypatch.setattr(index, "LARGE", large)
+        own.put(spark.createDataFrame([(docs, "alfa beta"), (docs + "2", "gama")], SCHEMA), F.col("text"))
+    plan = plan_of(own.postings(["alf"], True))
+    assert len(re.findall(r"PartitionFilters: \[.*?bucket#\d+ = \d+", plan)) == 2 and plan.count("StringStartsWith(token,alf)") == 2
+    assert set(ranked(own.search("a"))) == {"a", "b"} and set(ranked(own.search("alfa beta", "phrase"))) == {"a", "b"}
+    # no table of all documents is read
+    assert "/docs" not in "".join(own.search("alf").inputFiles())
+
+
+def test_a_call_that_was_cut_short_does_not_count(spark, own, monkeypatch):
+    own.put(spark.createDataFrame([("a", "alfa")], SCHEMA), F.col("text"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(index, "put_new", lambda *x: (_ for _ in ()).throw(RuntimeError("lost")))
+        own.put(spark.createDataFrame([("b", "alfa"), ("a", "beta")], SCHEMA), F.col("text"))
+    assert set(ranked(own.search("alfa"))) == {"a"}
+    own.vacuum()
+    assert set(ranked(own.search("alfa"))) == {"a"} and len(index._names(spark, own.folder)) == 2
+
+
+def test_two_writers_at_a_time_are_an_error(spark, own):
     own.put(spark.createDataFrame([("a", "alfa")], SCHEMA), F.col("text"))
-    lengths = own._lengths().collect()
-    own.put(spark.createDataFrame([("b", "alfa")], SCHEMA), F.col("text"))
-    gen = next(r["gen"] for r in own._lengths().collect() if r["id"] == "b")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{own.folder}/lengths/gen={gen}")
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    assert own._lengths().collect() == lengths and set(ranked(own.search("alfa"))) == {"a"}
+    now = own.manifest()
+    own._commit(now, docs=now["docs"])
+    with pytest.raises(Exception, match="(?i)exist"):
+        own._commit(now, docs=0)
+    assert own.manifest()["docs"] == 1
+
+
+def test_keys_must_be_known_and_distinct(spark, own):
+    for rows in ([("a", "x"), ("a", "y")], [(None, "x")]):
+        with pytest.raises(ValueError, match="null or comes twice"):
+            own.put(spark.createDataFrame(rows, SCHEMA), F.col("text"))
+    assert own.manifest()["runs"] == []
+
+
+def test_runs_are_merged_by_tiers(spark, own, monkeypatch):
+    """After many calls a search equals the scan; after a whole merge it reads as many files as after one call."""
+    monkeypatch.setattr(index, "FAN", 3)
+    dice, state = random.Random(1), {}
+    words = ["alfa", "alfredo", "beta", "gama", "delta"]
+    for turn in range(14):
+        fresh = {f"d{dice.randrange(30)}": " ".join(dice.choices(words, k=4)) for _ in range(4)}
+        own.put(spark.createDataFrame([*fresh.items()], SCHEMA).coalesce(1), F.col("text"))
+        state |= fresh
+        if turn % 4 == 3:
+            gone = sorted(state)[:2]
+            own.remove(spark.createDataFrame([(g,) for g in gone], "id string"))
+            state = {k: v for k, v in state.items() if k not in gone}
+    assert len(own.manifest()["runs"]) <= 6
+    check = lambda: all(ranked(own.search(q, m)) == ranked(search.search_full_text(spark.createDataFrame([*state.items()], SCHEMA), "id", F.col("text"), q, m)) for q, m in (("alf be", "words"), ("gama delta", "phrase")))
+    assert check()
+    own.merge(every=True)
+    own.vacuum()
+    now = own.manifest()
+    assert check() and len(now["runs"]) == 1 and now["dead"] is None and now["docs"] == len(state) == now["runs"][0]["docs"]
+    assert len(own.search("alf").inputFiles()) == 1
+
+
+def test_an_index_of_a_table_follows_its_files(spark, tmp_path):
+    path = f"file://{tmp_path}/docs.parquet"
+    for text in ("alfa", "beta"):
+        spark.createDataFrame([(1, text)], "id long, text string").write.mode("overwrite").parquet(path)
+        own = index.of_table(spark, path, "id", "text")
+        assert own is index.of_table(spark, path, "id", "text")
+        assert [r["id"] for r in own.search(text).collect()] == [1]
+
+
+def test_tokens_are_grouped_within_their_row(spark):
+    texts = [[], ["b", "a", "b", "b", "c"], ["x"] * 5]
+    rows = spark.createDataFrame([(t,) for t in texts], "t array<string>").select(index.grouped("t").alias("g")).collect()
+    assert [[(w["token"], w["places"]) for w in r["g"] or []] for r in rows] == [[], [("a", [1]), ("b", [0, 2, 3]), ("c", [4])], [("x", [0, 1, 2, 3, 4])]]
 
 
 def test_queries_fold_as_texts_do(spark):
