@@ -242,19 +242,23 @@ def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES = """SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS id, n_name AS name FROM nation
 UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_name FROM supplier
+UNION ALL SELECT 'n' || (s_nationkey + 1) % 25, 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 'n1', 'r1', 'loop'"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = lambda t, a, p, b, i, n: load(spark, sf_dir, t).select(F.concat(F.lit(a), F.col(p).cast("string")).alias("parent"), F.concat(F.lit(b), F.col(i).cast("string")).alias("id"), F.col(n).alias("name"))
     own = edge("nation", "r", "n_regionkey", "n", "n_nationkey", "n_name").union(edge("customer", "n", "c_nationkey", "c", "c_custkey", "c_name")).union(edge("supplier", "n", "s_nationkey", "s", "s_suppkey", "s_name"))
-    return own.union(spark.range(1).select(F.lit("n1"), F.lit("r1"), F.lit("loop")))  # a cycle, to be survived
+    # suppliers in a second nation, and a cycle, to be survived
+    shared = load(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("n"), ((F.col("s_nationkey") + 1) % 25).cast("string")), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name")
+    return own.union(shared).union(spark.range(1).select(F.lit("n1"), F.lit("r1"), F.lit("loop")))
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), t(root, id, path, names, depth) AS (
 SELECT 'r' || r_regionkey, 'r' || r_regionkey, ['r' || r_regionkey], []::varchar[], 0 FROM region
 UNION ALL SELECT t.root, e.id, list_append(t.path, e.id), list_append(t.names, e.name), t.depth + 1 FROM t JOIN e ON e.parent = t.id WHERE NOT list_contains(t.path, e.id))
-SELECT root, id, CASE WHEN len(names) > 1 THEN names[1] ELSE 'Raiz' END AS category, array_to_string(names[1:len(names) - 1], ' / ') AS folder, depth FROM t WHERE depth > 0""")
+SELECT root, id, CASE WHEN len(names) > 1 THEN names[1] ELSE 'Raiz' END AS category, array_to_string(names[1:len(names) - 1], ' / ') AS folder, depth FROM t WHERE depth > 0
+QUALIFY row_number() OVER (PARTITION BY root, id ORDER BY depth, list_reverse(path)) = 1""")
 def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = load(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
     found = trees.walk(_edges(spark, sf_dir), roots)
@@ -320,8 +324,9 @@ def subtree_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.subtree_ok(edges, told.groupBy("id").agg(F.bool_and("ok").alias("ok")), roots)
 
 
-@query("""SELECT 's' || s_suppkey AS id, CASE WHEN n_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) THEN 'n' || n_nationkey WHEN n_regionkey = 1 THEN 'r1' END AS root,
-CASE WHEN n_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) THEN 1 WHEN n_regionkey = 1 THEN 2 END AS depth FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+@query("""WITH p AS (SELECT s_suppkey, s_nationkey AS n FROM supplier UNION ALL SELECT s_suppkey, (s_nationkey + 1) % 25 FROM supplier WHERE s_suppkey % 3 = 0),
+c AS (SELECT s_suppkey, CASE WHEN n % 2 = 0 THEN 'n' || n WHEN n_regionkey = 1 THEN 'r1' END AS root, CASE WHEN n % 2 = 0 THEN 1 WHEN n_regionkey = 1 THEN 2 END AS depth FROM p JOIN nation ON n_nationkey = n)
+SELECT 's' || s_suppkey AS id, root, depth FROM c QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY depth NULLS LAST, root) = 1""")
 def ancestor_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest folder above that is a known root or is recognised by its name."""
     starts = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
