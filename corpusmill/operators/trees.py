@@ -17,19 +17,33 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..session import shared_folder
 
 
+GATHER = 16  # levels
+
+
 class Levels:
     """Tables that are written one after the other and read as one, with their `depth`."""
 
     def __init__(self, like: DataFrame, name: str) -> None:
         self.spark, self.base, self.kind, self.depth = like.sparkSession, shared_folder(like.sparkSession, name), like.schema, 0
+        self.recent: list[str] = []
 
     def put(self, level: DataFrame) -> DataFrame:
         """The level as it was written."""
         path = f"{self.base}/depth={self.depth}"
         level.select(*self.kind.fieldNames()).write.parquet(path)
         self.depth += 1
+        self.recent.append(path)
         return self.spark.read.schema(self.kind).parquet(path)
 
+    def keys(self, *names: str) -> DataFrame:
+        """The columns names of all levels. From time to time they are gathered in one table, so that few files are read."""
+        found = self.spark.read.schema(StructType([self.kind[n] for n in names])).parquet(*self.recent)
+        if len(self.recent) > GATHER:
+            path = f"{self.base}-keys/{self.depth}"
+            found.hint("rebalance").write.parquet(path)
+            self.recent = [path]
+        return found
+
     def all(self) -> DataFrame:
         schema = StructType([*self.kind.fields, StructField("depth", IntegerType())])
         return self.spark.read.schema(schema).option("basePath", self.base).parquet(*[f"{self.base}/depth={d}" for d in range(self.depth)])
@@ -49,7 +63,7 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
         met = level.join(e, F.col("id") == F.col("_parent"))
         # one row for each folder, before it is met with what was seen
         found = met.groupBy("root", F.col("_id").alias("id")).agg(F.min(F.struct(F.col("_parent").alias("parent"), F.col("_name").alias("name"), "names")).alias("w"))
-        fresh = found.join(seen.all().select("root", "id"), ["root", "id"], "left_anti")
+        fresh = found.join(seen.keys("root", "id"), ["root", "id"], "left_anti")
         level = seen.put(fresh.select("root", "id", "w.parent", F.array_append("w.names", F.col("w.name")).alias("names")))
     return seen.all().where("depth > 0").select("root", "id", "parent", "names", "depth")
 
@@ -62,7 +76,7 @@ def above(edges: DataFrame, ids: DataFrame) -> DataFrame:
     level = seen.put(start)
     while not level.isEmpty():
         met = level.join(e, F.col("id") == F.col("_id")).select(F.col("_parent").alias("id")).distinct()
-        level = seen.put(met.join(seen.all().select("id"), "id", "left_anti"))
+        level = seen.put(met.join(seen.keys("id"), "id", "left_anti"))
     return seen.all().select("id")
 
 
