@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import bound
 from ..functions.fold import terms
 from ..session import shared_folder
-from ..sources.sinks import exists, put_new
+from ..sources.sinks import delete, exists, names, put_new
 from .search import bm25, query_terms
 
 FAN, BLOCK = 8, 32_768
@@ -43,7 +43,7 @@ class TextIndex:
 
     def manifest(self) -> dict:
         """What counts now: number, runs (path, tier, docs, buckets), dead (a path), docs, tokens, next gen."""
-        paths = _names(self.spark, f"{self.folder}/manifest")
+        paths = names(self.spark, f"{self.folder}/manifest")
         if not paths:
             return {"number": 0, "gen": 0, "runs": [], "dead": None, "docs": 0, "tokens": 0}
         text = self.spark.read.text(f"{self.folder}/manifest/{max(paths)}", wholetext=True).first()[0]
@@ -118,7 +118,7 @@ class TextIndex:
             return
         one = rows.select("t", self.key, "gen", "ord", F.size("t").cast("long").alias("n")).select(F.explode(grouped("t")).alias("w"), self.key, "n", "gen", "ord")
         self._write(one.select("w.token", self.key, "n", F.size("w.places").alias("tf"), "w.places", "gen", "ord"), path, buckets := _buckets(count))
-        _delete(self.spark, f"{path}/texts")
+        delete(self.spark, f"{path}/texts")
         dead, gone, gone_tokens = self._killed(fresh, now)
         run = {"path": path, "tier": 0, "docs": count, "buckets": buckets}
         self._commit(now, gen=gen, runs=[*now["runs"], run], dead=dead, docs=now["docs"] + count - gone, tokens=now["tokens"] + tokens - gone_tokens)
@@ -162,10 +162,10 @@ class TextIndex:
         """Delete all runs, bitmaps and manifests but those that count; no search or writer may be at work."""
         now = self.manifest()
         kept = {r["path"].rsplit("/", 1)[1] for r in now["runs"]} | {(now["dead"] or "/").rsplit("/", 1)[1], "manifest"}
-        for name in set(_names(self.spark, self.folder)) - kept:
-            _delete(self.spark, f"{self.folder}/{name}")
-        for name in sorted(_names(self.spark, f"{self.folder}/manifest"))[:-1]:
-            _delete(self.spark, f"{self.folder}/manifest/{name}")
+        for name in set(names(self.spark, self.folder)) - kept:
+            delete(self.spark, f"{self.folder}/{name}")
+        for name in sorted(names(self.spark, f"{self.folder}/manifest"))[:-1]:
+            delete(self.spark, f"{self.folder}/manifest/{name}")
 
     def _postings(self, run: dict) -> DataFrame:
         return self.spark.read.schema(f"token string, {self.key} {self.kind}, n long, tf int, places array<int>, gen int, ord long, bucket int").parquet(f"{run['path']}/postings")
@@ -235,24 +235,10 @@ def numbers(word: str, prefix: bool, buckets: int) -> list[int]:
     return [spot(0, BUCKETS) * FINER + x for x in (range(FINER) if prefix and len(word) == 1 else [spot(1, FINER)])]
 
 
-def _filesystem(spark: SparkSession, path: str):  # noqa: ANN202
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    target, fs = _filesystem(spark, folder)
-    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target, fs = _filesystem(spark, path)
-    fs.delete(target, True)
-
-
 def files_of(spark: SparkSession, path: str) -> str:
     """What tells one state of a table's files from another: names, sizes and times."""
-    target, fs = _filesystem(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     found, told = fs.listFiles(target, True), []
     while found.hasNext():
         one = found.next()

@@ -1,16 +1,14 @@
-"""A limiter for calls to a service: one for all threads of a process, as plain Python for use inside tasks."""
+"""Limiters for calls to a service: one for all threads of a process, and one for tasks that start together."""
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 
 
 class RateLimiter:
-    """At most rate calls a second over all threads; a whole cluster's rate is this one divided by its tasks.
-
-    What a limiter shared by all callers would do is operators.state.scheduled, as a query.
-    """
+    """At most rate calls a second over all threads of a process."""
 
     def __init__(self, rate: float, clock=time.monotonic, sleep=time.sleep) -> None:  # noqa: ANN001
         self.interval, self.clock, self.sleep = 1 / max(rate, 0.1), clock, sleep
@@ -24,3 +22,24 @@ class RateLimiter:
                 self.sleep(gap)
             self.last = self.clock()
             return self.last
+
+
+class Slots:
+    """The slots of one of `tasks` callers that share a rate: those at (index + tasks * k) / rate seconds from the start.
+
+    A slot that passed while a call took longer is lost, not made up for, so calls of all callers are 1 / rate apart at least.
+    """
+
+    def __init__(self, rate: float, index: int, tasks: int, clock=time.monotonic, sleep=time.sleep) -> None:  # noqa: ANN001
+        self.every, self.clock, self.sleep = tasks / max(rate, 0.1), clock, sleep
+        self.next = clock() + index / max(rate, 0.1)
+
+    def wait(self) -> float:
+        """Returns when the next slot comes, having waited for it."""
+        late = self.clock() - self.next
+        if late > 0:
+            self.next += math.ceil(late / self.every) * self.every
+        while (left := self.next - self.clock()) > 0:
+            self.sleep(left)
+        at, self.next = self.next, self.next + self.every
+        return at

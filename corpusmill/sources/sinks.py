@@ -30,6 +30,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
 
 
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing if it isn't there."""
+    target, fs = _place(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, fs = _place(spark, path)
+    fs.delete(target, True)
+
+
 def fan_out(df: DataFrame, path: str) -> None:
     """One folder for each level, law and act. What is there (by level, law, act and id) stays; only what is absent comes.
 

@@ -71,7 +71,7 @@ def test_a_call_that_was_cut_short_does_not_count(spark, own, monkeypatch):
         own.put(spark.createDataFrame([("b", "alfa"), ("a", "beta")], SCHEMA), F.col("text"))
     assert set(ranked(own.search("alfa"))) == {"a"}
     own.vacuum()
-    assert set(ranked(own.search("alfa"))) == {"a"} and len(index._names(spark, own.folder)) == 2
+    assert set(ranked(own.search("alfa"))) == {"a"} and len(index.names(spark, own.folder)) == 2
 
 
 def test_two_writers_at_a_time_are_an_error(spark, own):
