@@ -10,7 +10,8 @@ from .fold import bound, norm, norm_label
 # Patterns of the documents' own vocabulary.
 CODE = r"\b(\d{8,14})([A-Z]{2})\b"
 PROTOCOL = r"31\.\d{6,10}(?:[_\-/]?\d{4})-\d{2}"
-LAW = r"(?iu)\bLEI\s+\d+[./]\d+"
+LAW = r"(?iu)LEI\s+\d+[./]\d+"
+WHOLE_LAW = r"(?iuU)\bLEI\s+\d+[./]\d+\b"
 SUBJECT = r"(?isu)Assunto\s*[:\-]\s*(.+?)(?=\n[ \t]*\n|\n[ \t]*(?:CPF|CNPJ|LOCAL|Relat[oó]rio|Data\b|Ref\.\s|Senhor|RELAT)|\z)"
 DECISION = r"(?iu)DISPOSITIVO DA DECIS[AÃ]O"
 ACT_HEAD = r"(?iu)ATO\s+OU\s+FATO\s+CONSTITUTIVO\s+DA\s+INFRA\w*[^\n]*\n"
@@ -64,7 +65,8 @@ def law_near(text: Column, label: str, width: int = 400) -> Column:
 
 
 def first_law(text: Column) -> Column:
-    return F.regexp_extract(F.upper(text), LAW, 0)
+    """The first law that ends at a word's end, upper case and collapsed; null text: empty."""
+    return _squeeze(F.upper(F.regexp_extract(F.coalesce(text, F.lit("")), WHOLE_LAW, 0)))
 
 
 def once(value: Column) -> Column:

@@ -115,7 +115,7 @@ def resume(items: DataFrame, done: DataFrame, pending: DataFrame, key: str) -> D
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_k") -> DataFrame:
-    """df with the number (from 1) of each row among those of its keys, in an order that should be whole.
+    """df with the number (from 1) of each row among those of its keys (of all rows, if there are none), in an order that should be whole.
 
     A key with very many rows is counted by several tasks: rows are dealt to ranges of keys and order and written, each range
     counts its own, and what the ranges before hold of a key is added.
@@ -128,7 +128,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "_
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
     # only keys in several ranges have any before
     some = before.where("_before is not null").select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), "_before")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)], F.lit(True))
     met = own.join(some, same & (F.col("_range") == F.col("_at")), "left")
     return met.withColumn(name, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)
 

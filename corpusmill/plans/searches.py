@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import export, index, search
+from ..operators import export, index, search, state
 from ..session import shared_folder
 from ..sources.tables import load
 from .registry import query
@@ -92,9 +92,9 @@ def category_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT p_name AS name, dense_rank() OVER (ORDER BY p_name) AS place FROM part""")
 def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names and their places in the locale's order."""
+    """Distinct names and their places in the locale's order, counted by ranges of names."""
     names = load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.withColumn("place", F.dense_rank().over(Window.orderBy(export.in_locale(F.col("name")))))
+    return state.numbered(names, [], [export.in_locale(F.col("name")), F.col("name")], "place")
 
 
 @query("""SELECT d.doc_id, substr(d.text, 1, 420) AS preview, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id = 16""")

@@ -10,7 +10,7 @@ import time
 from collections.abc import Iterator
 from importlib import import_module
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, StringContains
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, StringStartsWith
 from pyspark.sql.types import StructType
 
 SCHEMA = "id string, name string, mimeType string, size string, parents array<string>, modifiedTime string"
@@ -37,6 +37,7 @@ def retried(call, tries: int = 20, first: float = 2.0, most: float = 60.0, sleep
 
 def request(folder: str, pushed: dict) -> str:
     """The listing query a client of this kind of store would send."""
+    # The query words of the store's interface.
     quoted = lambda x: "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
     parts = [f"({quoted(folder)} in parents)", "trashed=false"]
     if "after" in pushed:
@@ -61,7 +62,9 @@ class ListingReader(DataSourceReader):
         self.pushed: dict[str, object] = {}
 
     def pushFilters(self, filters):  # noqa: ANN001, ANN201, N802
-        """Type (one or a list), a lower bound on time and a part of the name go to the client; all others stay with Spark.
+        """Type (one or a list), a lower bound on time and the name's beginning go to the client; all others stay with Spark.
+
+        Such a store's `contains` finds beginnings of words, which a part of a name need not be.
 
         The folder is the partition's own, and clients list nothing that is in the bin.
         """
@@ -70,7 +73,7 @@ class ListingReader(DataSourceReader):
                 self.pushed["types"] = [f.value]
             elif isinstance(f, In) and f.attribute == ("mimeType",):
                 self.pushed["types"] = list(f.value)
-            elif isinstance(f, StringContains) and f.attribute == ("name",):
+            elif isinstance(f, StringStartsWith) and f.attribute == ("name",):
                 self.pushed["name"] = f.value
             elif isinstance(f, GreaterThan) and f.attribute == ("modifiedTime",):
                 self.pushed["after"] = f.value

@@ -64,10 +64,10 @@ def test_listing_request():
 
 
 def test_listing_pushes_lists_and_parts_of_names():
-    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, StringContains
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, StringContains, StringStartsWith
 
     reader = listing.ListingReader({})
-    filters = [In(("mimeType",), ("x", "y")), StringContains(("name",), "oto"), GreaterThanOrEqual(("modifiedTime",), "t"), EqualTo(("size",), "3")]
+    filters = [In(("mimeType",), ("x", "y")), StringStartsWith(("name",), "oto"), StringContains(("name",), "x"), GreaterThanOrEqual(("modifiedTime",), "t"), EqualTo(("size",), "3")]
     assert list(reader.pushFilters(filters)) == filters
     assert reader.pushed == {"types": ["x", "y"], "name": "oto", "from": "t"}
 

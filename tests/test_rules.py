@@ -159,3 +159,11 @@ def test_changes(spark):
     now = spark.createDataFrame([("a", "v"), ("b", "s")], "id string, side string")
     assert {tuple(r) for r in state.merge_checkpoint(now, prev).collect()} == {("a", "v"), ("c", "v"), ("b", "s"), ("d", "s")}
     assert one(spark, state.kept_count(F.col("n"), F.col("b")), n=0, b=7) == 7
+
+
+def test_first_law_is_collapsed_and_ends_at_a_word(spark):
+    from corpusmill.functions import extract
+
+    texts = ["LEI  11111/19", "LEI 1/2A lei\n3/4", "XLEI 1/2", None, "Lei 5.6, LEI 7/8"]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", extract.first_law(F.col("t")).alias("l")).collect()
+    assert {r["i"]: r["l"] for r in rows} == {0: "LEI 11111/19", 1: "LEI 3/4", 2: "", 3: "", 4: "LEI 5.6"}
