@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import bound
 from ..functions.fold import terms
 from ..session import shared_folder
-from ..sources.sinks import delete, exists, names, put_new
+from ..sources.sinks import delete, exists, names, put_new, small_text
 from .search import bm25, query_terms
 
 FAN, BLOCK = 8, 32_768
@@ -46,8 +46,7 @@ class TextIndex:
         paths = names(self.spark, f"{self.folder}/manifest")
         if not paths:
             return {"number": 0, "gen": 0, "runs": [], "dead": None, "docs": 0, "tokens": 0}
-        text = self.spark.read.text(f"{self.folder}/manifest/{max(paths)}", wholetext=True).first()[0]
-        return json.loads(text)
+        return json.loads(small_text(self.spark, f"{self.folder}/manifest/{max(paths)}"))
 
     def _commit(self, now: dict, **changes: object) -> dict:
         told = {**now, **changes, "number": now["number"] + 1}

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import delete, names, put_new
+from ..sources.sinks import delete, names, put_new, small_text
 from .state import lacking
 
 BUCKETS = 64
@@ -33,7 +33,7 @@ class KeyedTables:
         found = names(self.spark, f"{self.folder}/manifest")
         if not found:
             return {"number": 0, "batch": None, "buckets": self.buckets, "tables": {name: {} for name in self.kinds}}
-        return json.loads(self.spark.read.text(f"{self.folder}/manifest/{max(found)}", wholetext=True).first()[0])
+        return json.loads(small_text(self.spark, f"{self.folder}/manifest/{max(found)}"))
 
     def columns(self, name: str) -> list[str]:
         return [c.split()[0] for c in self.kinds[name].split(", ")]

@@ -392,7 +392,7 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of the feed against versioned state; files whose handling fails stay pending."""
     base, events = shared_folder(spark, "incremental"), load(spark, sf_dir, "events")
     rows = events.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "event_type")
-    incremental.begin(base, known=rows.where("id % 50 = 0"), revisions=rows.where("id % 4 = 0"), pending=rows.where("id < 0"))
+    incremental.begin(base, 8, known=rows.where("id % 50 = 0"), revisions=rows.where("id % 4 = 0"), pending=rows.where("id < 0"))
     for part in range(3):
         rows.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
     failing = events.where("value < 10").select(F.col("event_id").alias("id"), F.lit("unreadable").alias("error"))

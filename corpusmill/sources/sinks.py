@@ -41,6 +41,16 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def small_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver without a job."""
+    target, fs = _place(spark, path)
+    source = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target, fs = _place(spark, path)
     fs.delete(target, True)

@@ -16,19 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import state
-from ..operators.keyed import KeyedTables
+from ..operators.keyed import BUCKETS, KeyedTables
 from ..sources.sinks import exists
 
 KINDS = {"known": "id long", "revisions": "id long, modified string", "pending": "id long, modified string"}
 
 
-def tables(spark: SparkSession, folder: str) -> KeyedTables:
-    return KeyedTables(spark, folder, KINDS)
+def tables(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedTables:
+    """The state; buckets count when it begins."""
+    return KeyedTables(spark, folder, KINDS, buckets=buckets)
 
 
-def begin(folder: str, **rows: DataFrame) -> None:
+def begin(folder: str, buckets: int = BUCKETS, **rows: DataFrame) -> None:
     """The state before the first batch."""
-    own = tables(rows["known"].sparkSession, folder)
+    own = tables(rows["known"].sparkSession, folder, buckets)
     if not own.commit({name: (rows[name].select(*own.columns(name)), None) for name in KINDS}, batch=-1):
         raise ValueError("there is a state already")
 
