@@ -3,7 +3,11 @@ object, whole text files, directory listings, and documents by pluggable extract
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,10 +83,67 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 MAX_CHARS = 120_000  # of a text; 0: no limit
 Extractor = Callable[[bytes], str | None]
-#: By extension. Formats that need other programs (PDF, word processors, OCR) plug in here.
+#: By extension. Formats that need other programs (PDF, old word processors, OCR) plug in here.
 EXTRACTORS: dict[str, Extractor] = {".txt": lambda data: data.decode("utf-8", errors="ignore")}
 
 
+MAX_XML = 64 << 20  # bytes of a container's part
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_PARTS = re.compile(r"word/(?:(header)\d*|(document)|(footer)\d*)\.xml")
+
+
+def docx_text(data: bytes, most: int = MAX_XML) -> str:
+    """Text of a word-processor container: headers, body with the cells of tables, footers; an empty line between paragraphs.
+
+    A part of more than `most` bytes, one with a document type (entities could grow without bound) and a broken container are errors.
+    """
+    with zipfile.ZipFile(io.BytesIO(data)) as container:
+        found = [(m, m.lastindex) for m in map(_PARTS.fullmatch, container.namelist()) if m]
+        if not any(kind == 2 for _, kind in found):
+            raise ValueError("no document in the container")
+        parts = []
+        for match, _ in sorted(found, key=lambda f: (f[1], f[0][0])):
+            with container.open(match[0]) as part:
+                xml = part.read(most + 1)
+            if len(xml) > most:
+                raise ValueError(f"{match[0]} is larger than {most} bytes")
+            parts.append(_part_text(xml))
+    return "".join(parts).strip()
+
+
+def _part_text(xml: bytes) -> str:
+    out: list[str] = []
+
+    def refuse(*_: object) -> None:
+        raise ValueError("a document type")
+
+    class Target:
+        within = False
+
+        def start(self, tag: str, _: dict) -> None:
+            self.within = tag == _WORD + "t"
+            out.append({"p": "\n\n", "tab": "\t", "br": "\n", "cr": "\n"}.get(tag.removeprefix(_WORD), "") if tag.startswith(_WORD) else "")
+
+        def end(self, tag: str) -> None:
+            self.within = False
+
+        def data(self, text: str) -> None:
+            if self.within:
+                out.append(text)
+
+        doctype = staticmethod(refuse)
+
+        def close(self) -> str:
+            return "".join(out)
+
+    parser = ElementTree.XMLParser(target=Target())
+    parser.feed(xml)
+    return parser.close()
+
+
+EXTRACTORS[".docx"] = docx_text
+
+
 def register(extension: str, extractor: Extractor) -> None:
     EXTRACTORS[extension.lower()] = extractor
 

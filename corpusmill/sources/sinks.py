@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,49 @@ from ..operators.state import lacking
 
 
 def json_lines(df: DataFrame, path: str, order: list[str], with_text: bool = True, text: str = "texto") -> None:
-    """Sorted lines; Spark's range partitions keep the order over files, so no task holds all rows."""
+    """Sorted lines; Spark's range partitions keep the order over files, so no task holds all rows.
+
+    All files are written beside and take the export's place when they are whole, so a job that fails leaves the former export
+    as it was, and df may read it.
+    """
     out = df if with_text else df.drop(text)
-    out.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    replaced(df.sparkSession, path, lambda beside: out.orderBy(*order).write.option("ignoreNullFields", True).json(beside))
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """write(folder) fills a new folder, which then takes path's place by a rename.
+
+    Between the former folder's leaving and the new one's coming there is none for the time of a rename; if the writer ends there,
+    `restore` (which the next `replaced` of the path calls) brings the former one back. What failed writers left is removed.
+    """
+    target, fs = _place(spark, path)
+    restore(spark, path)
+    parent, name = target.getParent(), target.getName()
+    in_parent = lambda x: spark._jvm.org.apache.hadoop.fs.Path(parent, x)
+    beside, former = in_parent(f".{name}.{uuid.uuid4().hex}.part"), in_parent(f".{name}.former")
+    try:
+        write(beside.toString())
+        if fs.exists(target) and not fs.rename(target, former):
+            raise OSError(f"{path} can't be moved")
+        if not fs.rename(beside, target):
+            raise OSError(f"{beside.toString()} can't be moved")
+    except BaseException:
+        restore(spark, path)
+        fs.delete(beside, True)
+        raise
+    fs.delete(former, True)
+
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Brings a former export back that was moved away without another in its place; removes it if there is another."""
+    target, fs = _place(spark, path)
+    former = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.former")
+    if not fs.exists(former):
+        return False
+    if fs.exists(target):
+        fs.delete(former, True)
+        return False
+    return fs.rename(former, target)
 
 
 def csv_rows(df: DataFrame, path: str, known: DataFrame | None = None) -> None:
