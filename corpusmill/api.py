@@ -59,7 +59,7 @@ class Corpus:
             ranked = one if ranked is None else ranked.join(one.withColumnRenamed("rank", "_more"), self.key).select(self.key, (F.col("rank") + F.col("_more")).alias("rank"))
         top = engine.page(ranked, [F.col("rank"), F.col(self.key)], limit, offset)
         words = [w for p, _ in parts for w in engine.query_terms(p)]
-        return docs.join(F.broadcast(top), self.key).withColumn("snippet", text.token_snippet(F.col(self.body), words)).orderBy("rank", self.key)  # a page at most
+        return docs.join(F.broadcast(top), self.key).withColumn("snippet", text.token_snippet(F.col(self.body), words, text.TOKENS, *map(F.col, self.fields.values()))).orderBy("rank", self.key)  # a page at most
 
     def detail(self, id: object) -> DataFrame:
         """The document of an id with a preview and its citations; no row if there is none."""

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,41 +109,69 @@ def date_phrase(month: str, year: str) -> str:
 
 
 TOKENS = 42
+#: A token of a raw text is what fold.terms finds in the folded one: accents written apart belong to their letter.
+TOKEN = "[\\p{L}\\p{N}][\\p{L}\\p{N}\\u0300-\\u036F]*"
+HIT, NEVER = "struct<place:int,word:int>", 2**31 - 1
+
+
+def _best(hits: Column, n_words: int, size: int) -> Column:
+    """(found, -place): the most different words that size tokens from a hit on hold, and the earliest such hit.
+
+    Hits are met from the last to the first with the next place of each word, so the time is in proportion to hits and words.
+    """
 
+    def step(ahead: Column, hit: Column) -> tuple[Column, Column]:
+        now = F.transform(ahead, lambda x, i: F.when(i == hit["word"], hit["place"]).otherwise(x))
+        found = F.size(F.filter(now, lambda x: x - size < hit["place"]))
+        return now, F.struct(found.alias("found"), (-hit["place"]).alias("before"))
+
+    zero = F.array(*[F.lit(NEVER)] * max(n_words, 1))
+    none = F.struct(F.lit(0).alias("found"), F.lit(0).alias("before"))
+    return F.coalesce(F.array_max(running(F.reverse(hits), zero, step, "struct<found:int,before:int>")["out"]), none)
+
+
+def placed_snippet(raw: Column, hits: Column, n_words: int, size: int = TOKENS) -> Column:
+    """(found, snippet) of a text whose hits (place, word) are known, as an array of HIT in any order; of two words at a place the
+    first counts. Without hits the snippet is the beginning; a null text has none, and null hits are none.
+    """
 
-def token_snippet(source: Column, words: list[str], size: int = TOKENS) -> Column:
+    def cut(x: Column) -> Column:
+        n = F.size(x["tokens"])
+        at = F.greatest(F.lit(0), F.least(-x["best"]["before"], n - size))
+        near = F.transform(F.filter(x["hits"], lambda h: (h["place"] >= at) & (h["place"] < at + size)), lambda h: h["place"])
+
+        def chosen(c: Column) -> Column:
+            token = lambda i: F.get(x["tokens"], i)
+            shown = lambda i: F.when(F.array_contains(c["near"], i), F.concat(F.lit("<mark>"), token(i), F.lit("</mark>"))).otherwise(token(i))
+            parts = F.transform(F.sequence(c["at"], F.least(c["at"] + size, n) - 1), lambda i: F.concat(F.when(i > c["at"], F.get(x["gaps"], i)).otherwise(F.lit("")), shown(i)))
+            return F.concat(F.when(c["at"] > 0, F.lit("...")).otherwise(F.get(x["gaps"], F.lit(0))), F.array_join(parts, ""), F.when(c["at"] + size < n, F.lit("...")).otherwise(F.get(x["gaps"], n)))
+
+        whole = F.when(n == 0, x["raw"]).otherwise(bound(F.struct(at.alias("at"), near.alias("near")), chosen))
+        return F.when(x["raw"].isNotNull(), F.struct(x["best"]["found"].alias("found"), whole.alias("snippet")))
+
+    def told(x: Column) -> Column:
+        first = F.filter(x["sorted"], lambda h, i: (i == 0) | (F.get(x["sorted"], i - 1)["place"] != h["place"]))
+        return bound(first, lambda h: bound(F.struct(x["raw"].alias("raw"), x["tokens"].alias("tokens"), x["gaps"].alias("gaps"), h.alias("hits"), _best(h, n_words, size).alias("best")), cut))
+
+    known = F.coalesce(hits.cast(f"array<{HIT}>"), F.array().cast(f"array<{HIT}>"))
+    made = F.struct(raw.alias("raw"), F.regexp_extract_all(raw, F.lit(TOKEN), F.lit(0)).alias("tokens"), F.split(raw, TOKEN, -1).alias("gaps"), F.array_sort(known).alias("sorted"))
+    return bound(made, told)
+
+
+def token_snippet(source: Column, words: list[str], size: int = TOKENS, *others: Column) -> Column:
     """The run of size tokens with most different query words (prefixes; the earliest such run), its hits marked.
 
-    Ellipses stand for what is cut off. An Arrow function over each token in turn, for the rows of a page: a window's best
-    start depends on all hits of the text.
+    Ellipses stand for what is cut off. Of several columns the one that holds most words counts, the first of those that hold as
+    many; null if all are null. It runs in the JVM and reads each token; `TextIndex.snippets` takes the places from postings instead.
     """
-    token = re.compile(r"[^\W_]+")
-
-    def plain(word: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
-
-    def one(raw: str | None) -> str | None:
-        if raw is None:
-            return None
-        places = [m.span() for m in token.finditer(raw)]
-        hits = [next((i for i, w in enumerate(words) if plain(raw[a:b]).startswith(w)), -1) for a, b in places]
-        best, at = 0, 0
-        for start in [i for i, h in enumerate(hits) if h >= 0]:
-            found = len({h for h in hits[start : start + size] if h >= 0})
-            if found > best:
-                best, at = found, start
-        at = max(0, min(at, len(places) - size))
-        chosen = list(zip(places, hits, strict=True))[at : at + size]
-        if not chosen:
-            return raw
-        out, end = ("..." if at else raw[: chosen[0][0][0]]), chosen[0][0][0]
-        for (a, b), hit in chosen:
-            out += raw[end:a] + (f"<mark>{raw[a:b]}</mark>" if hit >= 0 else raw[a:b])
-            end = b
-        return out + ("..." if at + size < len(places) else raw[end:])
-
-    @F.pandas_udf("string")
-    def snippets(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
-
-    return snippets(source)
+
+    def of(raw: Column) -> Column:
+        tokens = F.regexp_extract_all(raw, F.lit(TOKEN), F.lit(0))
+        word = lambda t: F.coalesce(*[F.when(t.startswith(w), F.lit(i)) for i, w in enumerate(words)], F.lit(-1))
+        met = F.transform(tokens, lambda t, i: F.struct(i.alias("place"), bound(fold(t), word).alias("word")))
+        return placed_snippet(raw, F.filter(met, lambda h: h["word"] >= 0), len(words), size)
+
+    found = F.array(*[of(c) for c in (source, *others)])
+    better = lambda best, x: F.when(best.isNull() | (x["found"] > best["found"]), x).otherwise(best)
+    none = F.lit(None).cast("struct<found:int,snippet:string>")
+    return F.aggregate(found, none, better)["snippet"]

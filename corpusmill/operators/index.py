@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bound
 from ..functions.fold import terms
+from ..functions.text import TOKENS, placed_snippet
 from ..session import shared_folder
 from ..sources.sinks import delete, exists, names, put_new, small_text
 from .search import bm25, query_terms
@@ -200,6 +201,25 @@ class TextIndex:
         return one.select(self.key, bm25([F.col(f"f{i}") for i in range(parts)], [F.col(f"_n{i}") for i in range(parts)], F.col("n"), F.lit(now["docs"]), F.lit(mean)).alias("rank"))
 
 
+    def snippets(self, page: DataFrame, docs: DataFrame, text: Column, query: str, mode: str = "words", size: int = TOKENS) -> DataFrame:
+        """Rows of docs whose key is in page, with `snippet`; text is what was put in for them.
+
+        Places come from the postings of the query's words, so no text is searched; in the mode `phrase`, whole phrases alone are hits.
+        """
+        words, now = query_terms(query), self.manifest()
+        keys = page.select(self.key).distinct()
+        shown = docs.join(keys, self.key, "left_semi")
+        if not words or not now["runs"]:
+            return shown.withColumn("snippet", placed_snippet(text, F.lit(None).cast("array<struct<place:int,word:int>>"), 0, size)["snippet"])
+        met = self._alive(self.postings(words, mode != "phrase", now).join(keys, self.key, "left_semi"), now)
+        if mode == "phrase":
+            starts = met.select(self.key, F.explode(F.transform("places", lambda p: p - F.col("word"))).alias("start"))
+            whole = starts.groupBy(self.key, "start").agg(F.count("*").alias("k")).where(F.col("k") == len(words))
+            met = whole.select(self.key, F.lit(0).alias("word"), F.transform(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda i: F.col("start") + i).alias("places"))
+        hits = met.select(self.key, F.transform("places", lambda p: F.struct(p.cast("int").alias("place"), F.col("word").alias("word"))).alias("h")).groupBy(self.key).agg(F.flatten(F.collect_list("h")).alias("_hits"))
+        return shown.join(hits, self.key, "left").withColumn("snippet", placed_snippet(text, F.col("_hits"), len(words), size)["snippet"]).drop("_hits")
+
+
 def grouped(tokens: str) -> Column:
     """(token, places) of each distinct token of an array: its sorted runs, each cut out once."""
     pairs = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("place"))))
