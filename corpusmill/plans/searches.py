@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import export, index, search, state
 from ..session import shared_folder
 from ..sources.tables import load
@@ -103,12 +102,21 @@ def decision_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(load(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.substring("text", 1, 420).alias("preview"), "toxic")
 
 
-@query()
+_BOTH = [f"len(list_filter(t, lambda x: starts_with(x, '{w}')))" for w in ("lice", "th")]
+
+
+@query(rf"""WITH top AS ({_bm25(_BOTH)} ORDER BY rank, doc_id LIMIT 20),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS tok, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS gap FROM documents JOIN top USING (doc_id)),
+w AS (SELECT *, len(tok) AS n, list_transform(tok, lambda t: CASE WHEN starts_with(lower(strip_accents(t)), 'lice') THEN 0 WHEN starts_with(lower(strip_accents(t)), 'th') THEN 1 END) AS w FROM d),
+b AS (SELECT *, list_sort(list_transform(list_filter(range(1, n + 1), lambda i: w[i] IS NOT NULL), lambda i: {{'f': -len(list_distinct(w[i:i + 41])), 'i': i}}))[1].i AS i FROM w),
+c AS (SELECT *, greatest(0, least(i - 1, n - 42)) AS low FROM b)
+SELECT doc_id, (CASE WHEN low > 0 THEN '...' ELSE gap[1] END) || array_to_string(list_transform(range(low + 1, least(low + 42, n) + 1), lambda i: (CASE WHEN i > low + 1 THEN gap[i] ELSE '' END) || (CASE WHEN w[i] IS NOT NULL THEN '<mark>' || tok[i] || '</mark>' ELSE tok[i] END)), '') || (CASE WHEN low + 42 < n THEN '...' ELSE gap[n + 1] END) AS snippet FROM c""")
 def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: the best window of tokens; the tests hold it against a brute-force version."""
-    docs = load(spark, sf_dir, "documents")
-    top = search.page(_index(spark, sf_dir).search("lice th"), [F.col("rank"), F.col("doc_id")], 20)
-    return docs.join(F.broadcast(top), "doc_id").select("doc_id", text.token_snippet(F.col("text"), ["lice", "th"]).alias("snippet"))  # 20 rows
+    """The best windows of a page of results, found by the places of its words in the index."""
+    docs, own = load(spark, sf_dir, "documents").select("doc_id", "text"), _index(spark, sf_dir)
+    ranked = own.search("lice th").withColumn("rank", F.round("rank", 6))
+    top = search.page(ranked, [F.col("rank"), F.col("doc_id")], 20)
+    return own.snippets(top, docs, F.col("text"), "lice th").select("doc_id", "snippet")
 
 
 _LIVE = r"""k AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(CASE WHEN lang = 'fr' THEN text || ' licens' ELSE text END)), '[\p{L}\p{N}]+') AS t FROM documents WHERE lang <> 'de')"""
