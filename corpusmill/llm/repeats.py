@@ -8,8 +8,10 @@ inside is computed for each window from its own words; its first symbol at the h
 window's anchor, about seven words long. Windows without such a symbol are their own anchor.
 
 Anchors reveal repeats: each task sends, to the bucket of the anchor, short runs of consecutive windows that share one
-(a tag of the anchor and 48 bits for each window), each distinct window once for FLUSH words. What repeats within these words
-is known at once. A bucket verifies which windows meet an equal one and returns intervals. Anchors that are frequent in a
+(a tag of the anchor and 96 bits for each window), each distinct window once for FLUSH words. What repeats within these words
+is known at once. A bucket verifies which windows meet an equal one and returns intervals. Windows are equal if two
+digests of their words are, of 112 bits with the tag: words themselves are not compared, and the chance of a false match
+among 10^14 windows is about one in a million. Anchors that are frequent in a
 sample of documents are spread over buckets by window as well, so that no bucket grows with one passage. Documents meet
 their intervals by joins on 128 bits of their doc_id and text; documents that surely have none stay where they are.
 
@@ -34,7 +36,7 @@ from .common import bounded, buffers, id_text, materialize, mix, word_names
 WIDTH, ROUNDS, FLUSH, BUCKET, LEAST_BUCKETS = 35, 6, 500_000, 16 << 20, 64
 SAMPLE, SPREAD, FILTER_BITS, MOST_TASKS = 64, 64, 24, 1 << 15
 _STEP = 0xD6E8FEB86659FD93 | 1
-_CODE = np.uint64((1 << 48) - 1)
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 class _Seq:
@@ -57,6 +59,22 @@ def window_names(names: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * down[:n])
 
 
+def window_codes(names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each window; the second one is of other names of the same words."""
+    return window_names(names, width), window_names(mix(names ^ _OTHER), width)
+
+
+def by_codes(code: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): an order with equal windows side by side, and whether each equals the one before it."""
+    order = np.argsort(code, kind="stable")
+    same, also = (np.concatenate([[False], x[order][1:] == x[order][:-1]])[: len(code)] for x in (code, other))
+    if (same & ~also).any():
+        # one digest is shared by different windows
+        order = np.lexsort((other, code))
+        same, also = (np.concatenate([[False], x[order][1:] == x[order][:-1]])[: len(code)] for x in (code, other))
+    return order, same & also
+
+
 def anchors(names: np.ndarray, owner: np.ndarray, starts: np.ndarray, codes: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, its word) of the windows that start at words starts; owner: the document of each word."""
     n = len(names)
@@ -97,7 +115,7 @@ def anchors(names: np.ndarray, owner: np.ndarray, starts: np.ndarray, codes: np.
 
 
 def located(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For runs of texts: (row key: two longs, word, window name, anchor, anchor's word) of each window, words counted in the row."""
+    """For runs of texts: (row key: two longs, word, two digests, anchor, anchor's word) of each window, words counted in the row."""
     with np.errstate(over="ignore"):
         for batch in batches:
             one, two = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "row2"))
@@ -106,13 +124,13 @@ def located(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
                     continue
                 base = np.concatenate([[0], np.cumsum(counts)])
                 owner = np.repeat(np.arange(len(counts)), counts)
-                codes = window_names(names, width)
+                codes, others = window_codes(names, width)
                 inside = np.flatnonzero(owner[: len(codes)] == owner[width - 1 :])
                 if not len(inside):
                     continue
                 anchor, place = anchors(names, owner, inside, codes[inside], width)
                 who = owner[inside]
-                yield one[row + who], two[row + who], inside - base[who], codes[inside], anchor, place - base[who]
+                yield one[row + who], two[row + who], inside - base[who], codes[inside], others[inside], anchor, place - base[who]
 
 
 def frequent(rows: DataFrame, width: int) -> np.ndarray:
@@ -152,18 +170,16 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     hot = frequent(rows, width)
 
     def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, key2, at, code, anchor, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(code, kind="stable")
-        sorted_code = code[order]
-        new = np.ones(len(code), dtype=bool)
-        new[1:] = sorted_code[1:] != sorted_code[:-1]
+        key, key2, at, code, other, anchor, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, same = by_codes(code, other)
+        new = ~same
         group = np.cumsum(new) - 1
         many = np.bincount(group) > 1
         double, one = np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
         double[order] = many[group]
         one[order[new]] = True
         known = np.stack(intervals(key[double], key2[double], at[double]), axis=1)
-        key, key2, at, code, anchor, place = key[one], key2[one], at[one], code[one], anchor[one], place[one]
+        key, key2, at, code, other, anchor, place = (x[one] for x in (key, key2, at, code, other, anchor, place))
         spread = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), dtype=bool)
         route = anchor.copy()
         route[spread] = mix(route[spread] + code[spread] % np.uint64(SPREAD))
@@ -174,7 +190,7 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         goal = (mix(route[first]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(goal, kind="stable")
         live, cut = np.unique(goal[order], return_index=True)
-        packed = ((anchor & ~_CODE) | (code & _CODE)).view(np.uint8).reshape(-1, 8)[:, :6]
+        packed = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :6] for x in (code, other)], axis=1)
         for b, runs, mine in zip(live, np.split(order, cut[1:]), np.array_split(known, len(live)), strict=True):
             n = count[runs]
             # the windows of the runs, one run after the other
@@ -205,14 +221,11 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             whole = lambda name: np.concatenate([np.frombuffer(p[name], SENT[name]) for p in parts])
             yield from told(*whole("known").reshape(-1, 4).T)
             n = whole("counts").astype(np.int64)
-            raw = np.zeros((int(n.sum()), 8), np.uint8)
-            raw[:, :6] = whole("codes").reshape(-1, 6)
-            code = raw.view("<u8").ravel() | np.repeat(whole("tags").astype(np.uint64) << np.uint64(48), n)
-            order = np.argsort(code)
-            code = code[order]
-            same = np.zeros(len(code), dtype=bool)
-            if len(code):
-                same[1:] = code[1:] == code[:-1]
+            raw = np.zeros((2, int(n.sum()), 8), np.uint8)
+            raw[:, :, :6] = whole("codes").reshape(-1, 2, 6).transpose(1, 0, 2)
+            code, other = raw.view("<u8")[:, :, 0]
+            order, same = by_codes(code | np.repeat(whole("tags").astype(np.uint64) << np.uint64(48), n), other)
+            if len(same):
                 same[:-1] |= same[1:]
             hit = np.sort(order[same])
             run = np.searchsorted(np.cumsum(n), hit, side="right")

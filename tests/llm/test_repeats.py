@@ -85,3 +85,23 @@ def test_equal_windows_share_their_anchor():
                 anchor, place = repeats.anchors(names, np.zeros(len(text), np.int64), np.array([at]), codes[[at]], 35)
             seen.add((int(anchor[0]), int(place[0]) - at, int(codes[at])))
         assert len(seen) == 1
+
+
+def test_windows_that_share_one_digest_are_told_apart_by_the_other():
+    dice = np.random.default_rng(7)
+    for _ in range(50):
+        code, other = dice.integers(0, 3, 40).astype(np.uint64), dice.integers(0, 4, 40).astype(np.uint64)
+        order, same = repeats.by_codes(code, other)
+        pairs = list(zip(code[order].tolist(), other[order].tolist(), strict=True))
+        assert sorted(order.tolist()) == list(range(40)) and same.tolist() == [i > 0 and pairs[i] == pairs[i - 1] for i in range(40)]
+        assert (~same).sum() == len(set(pairs))
+    order, same = repeats.by_codes(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    assert len(order) == len(same) == 0
+
+
+def test_both_digests_follow_the_words_alone():
+    with np.errstate(over="ignore"):
+        names = np.random.default_rng(8).integers(0, 1 << 63, 200).astype(np.uint64)
+        code, other = repeats.window_codes(np.concatenate([names, names]), 35)
+    assert (code[:166] == code[200:366]).all() and (other[:166] == other[200:366]).all()
+    assert len(np.unique(code)) == len(np.unique(other)) == 200 and not (code == other).any()
