@@ -64,14 +64,14 @@ def discard(df: DataFrame) -> None:
 HEAVY, LEAST_HEAVY = 10_000, 100
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, salt: Column, how: str = "inner", total: int | None = None) -> DataFrame:
     """left joined with right (one row for each key) so that no key's rows of left meet in one task.
 
-    sizes: (key, n), how many rows of left each key has. Keys with more than a HEAVY-th of all rows, so HEAVY at most by
+    sizes: (key, n), how many rows of left each key has at most; total: their sum, if it is known. Keys with more than a HEAVY-th of all rows, so HEAVY at most by
     counting, are sent to every task; their rows are dealt by salt (a number that a row keeps when a task runs again) to as
     many copies of the right row as it takes.
     """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total = (sizes.agg(F.sum("n")).first()[0] or 0) if total is None else total
     bar = max(LEAST_HEAVY, total // HEAVY)
     heavy = F.broadcast(sizes.where(F.col("n") > bar).select(F.col(key).alias("_key"), F.ceil(F.col("n") / bar).cast("int").alias("_copies")))  # HEAVY rows at most
     dealt = left.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_part", F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(salt), F.col("_copies"))).otherwise(F.lit(0)).cast("int")).drop("_key", "_copies")

@@ -6,7 +6,8 @@ scans one version of each, appends both tables, and joins the findings back to a
 of its rules, so another set never meets the findings of this one. A ledger that already holds the table is not scanned again.
 
 Only one version of a blob crosses the shuffle with its text; the join is on (key, blob), so a blob with very many
-versions meets in no task. Findings go back by a join that Spark may split.
+versions meets in no task. Findings go back by a join on the blob, for which the rows of blobs with very many versions (by
+their counts) are dealt to as many tasks as it takes.
 
 Places are added up in blocks of matches, so that the time for a text is in proportion to it, whatever it holds.
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import between, bound, chunked, running
-from .common import shared_folder
+from .common import materialize, shared_folder, split_join
 
 SALTS = 16
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -85,27 +86,47 @@ def listed(spans: Column, rules: list[Rule] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, rules: list[Rule] = RULES) -> DataFrame:
-    """key, blob (binary), spans of every version; ledger: the folder that earlier scans have filled, or None for a new one."""
+def scanned(versions: DataFrame, key: str, ledger: str | None, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Brings the ledger up to date with versions; (blob, n) of their blobs, and (blob, spans) of all that have findings."""
     spark = versions.sparkSession
     ledger, version = ledger or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", rules_version(rules)
-    own = versions.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    own = addressed(versions).select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "blob")
     # a blob that many tasks hold is counted in two steps, by groups of tasks first
-    counted = own.groupBy("blob", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("part")).agg(F.min("key").alias("key"), F.count("*").alias("versions"))
-    unseen = counted.groupBy("blob").agg(F.min("key").alias("key"), F.sum("versions").alias("versions"))
+    counted = own.groupBy("blob", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("part")).agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    blobs = materialize(counted.groupBy("blob").agg(F.min("key").alias("key"), F.sum("n").alias("n")), "blobs")
+    unseen = blobs
     schema = f"blob binary, rules string, spans {SPANS}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/seen")
     if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
         seen = spark.read.schema("blob binary, rules string").parquet(f"{ledger}/seen").where(F.col("rules") == version)
-        unseen = unseen.join(seen, "blob", "left_anti")
-    one = own.alias("o").join(unseen.alias("u"), (F.col("o.blob") == F.col("u.blob")) & F.col("o.key").eqNullSafe(F.col("u.key"))).select("o.blob", "o.text", "u.versions")
+        unseen = blobs.join(seen, "blob", "left_anti")
+    one = own.alias("o").join(unseen.alias("u"), (F.col("o.blob") == F.col("u.blob")) & F.col("o.key").eqNullSafe(F.col("u.key"))).select("o.blob", "o.text", "u.n")
     # the spans depend on the ledger's side, so that no rule is pushed below the join and run on known blobs
-    spans = F.when(F.col("versions") > 0, all_spans(F.col("text"), rules))
-    scanned = one.select("blob", F.lit(version).alias("rules"), spans.alias("spans")).where(F.size("spans") > 0)
-    scanned.write.mode("append").parquet(f"{ledger}/findings")
+    spans = F.when(F.col("n") > 0, all_spans(F.col("text"), rules))
+    told = one.select("blob", F.lit(version).alias("rules"), spans.alias("spans")).where(F.size("spans") > 0)
+    told.write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
     findings = spark.read.schema(schema).parquet(f"{ledger}/findings").where(F.col("rules") == version).select("blob", "spans").dropDuplicates(["blob"])
-    return own.select("key", "blob").join(findings, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return blobs.select("blob", "n"), findings
+
+
+def addressed(versions: DataFrame) -> DataFrame:
+    """versions with blob, the SHA-256 of their text."""
+    return versions.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+
+
+def with_spans(rows: DataFrame, key: Column, blobs: DataFrame, findings: DataFrame) -> DataFrame:
+    """rows (with blob) and the spans of their blob, null without any; a blob with very many rows is dealt to many tasks."""
+    # rows of one key are told apart by their tasks, as null keys may be many
+    salted = rows.withColumn("salt", F.xxhash64(key, F.spark_partition_id()))
+    return split_join(salted, findings, "blob", blobs, F.col("salt"), "left").drop("salt")
+
+
+def scan(versions: DataFrame, key: str = "doc_id", ledger: str | None = None, rules: list[Rule] = RULES) -> DataFrame:
+    """key, blob (binary), spans of every version; ledger: the folder that earlier scans have filled, or None for a new one."""
+    own = versions.select(F.col(key).alias("key"), "text")
+    told = with_spans(addressed(own).select("key", "blob"), F.col("key"), *scanned(own, "key", ledger, rules))
+    return told.select(F.col("key").alias(key), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
@@ -128,8 +149,9 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
     The ledger's findings come back by content address, so equal texts are scanned once.
     """
-    spans = scan(docs, rules=rules).where(F.size("spans") > 0).select("doc_id", "blob", "spans").dropDuplicates(["doc_id", "blob"])
     columns = docs.columns
-    told = docs.alias("d").withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = told.alias("t").join(spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t._blob") == F.col("s.blob")), "left")
-    return joined.select(*[(F.when(F.col("s.spans").isNotNull(), masked(F.col("t.text"), F.col("s.spans"))).otherwise(F.col("t.text")).alias(c) if c == "text" else F.col(f"t.`{c}`")) for c in columns])
+    own = docs.select(F.col("doc_id").alias("key"), "text")
+    rows = addressed(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("all"))).select("blob", "all")
+    told = with_spans(rows, F.col("all")["doc_id"], *scanned(own, "key", None, rules))
+    text = F.when(F.col("spans").isNotNull(), masked(F.col("all")["text"], F.col("spans"))).otherwise(F.col("all")["text"])
+    return told.select(*[(text if c == "text" else F.col("all")[c]).alias(c) for c in columns])

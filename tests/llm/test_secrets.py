@@ -3,6 +3,8 @@ import re
 import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from corpusmill.llm import queries, secrets
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -89,3 +91,13 @@ def test_redact(spark):
 
 def test_empty(spark):
     assert secrets.scan(frame(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_a_text_with_very_many_versions_is_dealt_to_several_tasks(spark):
+    text = "my token=abcdef123456 here"
+    rows = [(i if i % 3 else None, text, "n") for i in range(900)] + [(1000 + i, "", "n") for i in range(500)] + [(2000, None, "n"), (2001, "password: hunter22", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(5)
+    told = secrets.scan(df).select("doc_id", secrets.listed(F.col("spans")).alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()
+    assert {r["s"]: (r["n"], r["d"]) for r in told} == {"assign:3:21": (900, 600), "": (501, 501), "assign:0:18": (1, 1)}
+    left = secrets.redact(df).groupBy("text", "spans").count().collect()
+    assert {(r["text"], r["spans"]): r["count"] for r in left} == {("my [secret] here", "n"): 900, ("", "n"): 500, (None, "n"): 1, ("[secret]", "n"): 1}
