@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list by alternating large and small stars.
 
 Each round is two grouped minima with joins, written to the shared folder; nothing is collected but a count and a
-checksum. A vertex with very many neighbours is aggregated before the shuffle and its join may be split by Spark.
+checksum. A vertex with very many neighbours is aggregated before the shuffle, and for the join its edges are dealt to as
+many tasks as their number asks for.
 """
 
 from __future__ import annotations
@@ -9,31 +10,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, split_join
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _least(near: DataFrame) -> DataFrame:
+    """(u, m, n): the least neighbour of each vertex and how many edges it has, written."""
+    return materialize(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _told(near: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """near (u, v) with the m of u."""
+    return split_join(near, least.select("u", "m"), "u", least.select("u", "n"), F.col("v"), total=total)
+
+
+def _large(e: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     near = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(near)
+    low = least.select("u", F.least("u", "m").alias("m"), "n")
+    return _told(near.where(F.col("v") > F.col("u")), low, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    met = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return met.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _small(e: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    least = _least(e)
+    met = _told(e, least, total).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return met.union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every vertex of edges (a, b): root is the smallest id of its component. Loops and repeats are fine."""
     e = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    told = None
-    while True:
-        after = materialize(_small(_large(e)), "stars")
+    told, n = None, e.count()
+    while n:
+        large, one = _large(e, n)
+        large = materialize(large, "large")  # each edge makes one at most
+        small, two = _small(large, n)
+        after = materialize(small, "stars")
         state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        discard(e)
+        for old in (e, one, large, two):
+            discard(old)
         e = after
-        if tuple(state) == told or not state["n"]:
+        if tuple(state) == told:
             break
-        told = tuple(state)
+        told, n = tuple(state), state["n"]
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from corpusmill.llm import near_dups
+from corpusmill.llm import components, near_dups
 
 
 def shingles(text):
@@ -117,3 +117,12 @@ def test_hot_keys_are_split(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.near_duplicates(df).count() == 0
+
+
+def test_a_hub_is_dealt_to_several_tasks(spark):
+    rows = [(7, i) for i in range(100, 1500)] + [(i, i + 1) for i in range(5000, 5060)] + [(100, 3), (9000, 9000)]
+    got = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    want = {i: 3 for i in (3, 7, *range(100, 1500))} | {i: 5000 for i in range(5000, 5061)}
+    assert got == want
+    none = spark.createDataFrame([(5, 5)], "a long, b long")
+    assert components.components(none).count() == components.components(none.limit(0)).count() == 0
