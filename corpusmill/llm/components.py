@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list by alternating large and small stars.
 
 Each round is two grouped minima with joins, written to the shared folder; nothing is collected but a count and a
-checksum. A vertex with very many neighbours is aggregated before the shuffle and its join may be split by Spark.
+checksum. A vertex with very many neighbours is aggregated before the shuffle, but its edges meet in one task for
+the join.
 """
 
 from __future__ import annotations
