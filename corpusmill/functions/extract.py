@@ -69,13 +69,18 @@ def first_law(text: Column) -> Column:
     return _squeeze(F.upper(F.regexp_extract(F.coalesce(text, F.lit("")), WHOLE_LAW, 0)))
 
 
+def clean(value: Column) -> Column:
+    """Collapsed, without ` :-` at the ends."""
+    return F.btrim(_squeeze(value), F.lit(" :-"))
+
+
 def once(value: Column) -> Column:
-    """Collapsed, without ` :-` at the ends, and `A B A B` as `A B`."""
-    clean = F.btrim(_squeeze(value), F.lit(" :-"))
-    words = F.split(clean, " ")
+    """Clean, and `A B A B` as `A B`."""
+    whole = clean(value)
+    words = F.split(whole, " ")
     half = (F.size(words) / 2).cast("int")
     doubled = (F.size(words) % 2 == 0) & (half > 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
-    return F.when(doubled, F.array_join(F.slice(words, F.lit(1), half), " ")).otherwise(clean)
+    return F.when(doubled, F.array_join(F.slice(words, F.lit(1), half), " ")).otherwise(whole)
 
 
 def cell_value(cell: Column, label: str) -> Column:
@@ -87,11 +92,15 @@ def cell_value(cell: Column, label: str) -> Column:
     return F.when(F.contains(norm_label(first), F.lit(label)), F.when(rest != "", rest).otherwise(after))
 
 
-def text_field(text: Column, field: str) -> Column:
-    """What follows a field's label, up to a line that starts with a stop label and a colon, or with `nn -`, or the end."""
+def text_field(text: Column, field: str, halved: bool = True) -> Column:
+    """What follows a field's label, up to a line that starts with a stop label and a colon, or with `nn -`, or the end.
+
+    halved: a value that is told twice counts once.
+    """
     label, stops = TEXT_LABELS[field]
     pattern = rf"(?isu){label}\s*:?\s*(.+?)(?=\n\s*(?:{'|'.join(stops)})\s*:|\n\s*\d{{2}}\s+-|\z)"
-    return once(F.regexp_extract(text, pattern, 1))
+    value = F.regexp_extract(text, pattern, 1)
+    return once(value) if halved else clean(value)
 
 
 def table_fields(cells: DataFrame, doc: str = "doc") -> DataFrame:

@@ -167,3 +167,20 @@ def test_first_law_is_collapsed_and_ends_at_a_word(spark):
     texts = ["LEI  11111/19", "LEI 1/2A lei\n3/4", "XLEI 1/2", None, "Lei 5.6, LEI 7/8"]
     rows = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", extract.first_law(F.col("t")).alias("l")).collect()
     assert {r["i"]: r["l"] for r in rows} == {0: "LEI 11111/19", 1: "LEI 3/4", 2: "", 3: "", 4: "LEI 5.6"}
+
+
+def test_text_fields_of_doubled_blank_and_null_lines(spark, tmp_path):
+    """The query keeps a line told twice, as its SQL does; the operator's default halves it, as `once` does."""
+    import duckdb
+
+    from corpusmill.plans import registry
+
+    texts = ["A!! B A!! B\nx", "A B\nA B", " \nx", "\nx", "", None, " : a  b -\ny"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["text_fields"](spark, str(tmp_path)).select("doc_id", "infracao", "dispositivo").collect()
+    want = con.sql(f"SELECT doc_id, infracao, dispositivo FROM ({registry.ORACLE_SQL['text_fields']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert got[0]["infracao"] == "A!! B A!! B"
+    assert one(spark, extract.text_field(T, "infracao"), t="ATO OU FATO CONSTITUTIVO DA INFRACAO: A B A B") == "A B"
