@@ -69,14 +69,15 @@ def split_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, sa
 
     sizes: (key, n), how many rows of left each key has at most; total: their sum, if it is known. Keys with more than a HEAVY-th of all rows, so HEAVY at most by
     counting, are sent to every task; their rows are dealt by salt (a number that a row keeps when a task runs again) to as
-    many copies of the right row as it takes.
+    many copies of the right row as it takes. Both sides are shuffled: Spark's estimate of exploded rows is that of the rows before, by
+    which it would take a side of any size for one that fits the driver.
     """
     total = (sizes.agg(F.sum("n")).first()[0] or 0) if total is None else total
     bar = max(LEAST_HEAVY, total // HEAVY)
     heavy = F.broadcast(sizes.where(F.col("n") > bar).select(F.col(key).alias("_key"), F.ceil(F.col("n") / bar).cast("int").alias("_copies")))  # HEAVY rows at most
     dealt = left.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_part", F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(salt), F.col("_copies"))).otherwise(F.lit(0)).cast("int")).drop("_key", "_copies")
     copies = right.join(heavy, F.col(key) == F.col("_key"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_key", "_copies")
-    return dealt.join(copies, [key, "_part"], how).drop("_part")
+    return dealt.join(copies.hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

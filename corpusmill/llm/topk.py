@@ -10,7 +10,7 @@ covered by SLACK. Scores are exact: where the product of both lengths is below 2
 double holds; where it may be more, products are added up as whole numbers of any size, and a score beyond a long is an error.
 
 Components are floor(scale * x). Queries meet candidates block by block: a block pair is one row, never a vector pair.
-Blocks hold BLOCK vectors at any size. The driver sees two numbers of each block of candidates (16 bytes for BLOCK vectors: 24 MB
+Blocks hold BLOCK vectors at any size, each component in as few bytes as the block's greatest takes (1, 2, 4 or 8). The driver sees two numbers of each block of candidates (16 bytes for BLOCK vectors: 24 MB
 for 3 * 10^9 vectors) and the dim x dim matrix.
 
 Blocks that many groups ask for are dealt to several tasks.
@@ -38,6 +38,7 @@ from .common import bounded, materialize, split_join
 BLOCK, QUERIES, HEAD = 2048, 1024, 16
 EXACT = float(1 << 53)  # whole numbers below it are exact as doubles
 SLACK = 1e-6
+KINDS = {b"b": "i1", b"h": "i2", b"i": "i4", b"d": "f8"}
 BLOCK_SCHEMA = "longest double, ids binary, vectors binary"
 
 
@@ -80,6 +81,17 @@ def rotation(own: DataFrame) -> np.ndarray:
     return vectors[:, np.argsort(-values)]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole vectors as one byte that names the smallest kind that holds them, then their components."""
+    most = np.abs(x).max(initial=0.0)
+    kind = next((k for k, top in ((b"b", 1 << 7), (b"h", 1 << 15), (b"i", 1 << 31)) if most < top), b"d")
+    return kind + x.astype("<" + KINDS[kind]).tobytes()
+
+
+def unpacked(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<" + KINDS[data[:1]], offset=1).astype("f8").reshape(-1, dim)
+
+
 def blocked(own: DataFrame, key: Column, size: int) -> DataFrame:
     """Rows of whole blocks (longest, ids, vectors): runs of size vectors of each range partition."""
 
@@ -88,7 +100,7 @@ def blocked(own: DataFrame, key: Column, size: int) -> DataFrame:
 
         def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             longest = float(np.sqrt((x * x).sum(1)).max())
-            return pa.RecordBatch.from_arrays([pa.array([longest]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["longest", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([longest]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([packed(x)], pa.binary())], ["longest", "ids", "vectors"])
 
         for batch in batches:
             ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False))
@@ -176,8 +188,8 @@ def top_k_of(own: DataFrame, n: int, queries: Column, k: int) -> DataFrame:
         names, longest = sent.value
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vectors"], "<f8").reshape(-1, dim)
-                c_ids, c = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)
+                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), unpacked(r["q_vectors"], dim)
+                c_ids, c = np.frombuffer(r["ids"], "<i8"), unpacked(r["vectors"], dim)
                 best = search_block(q_ids, q, c_ids, c, turn, k, np.full(len(q), -np.inf))
                 floor = np.array([s[k - 1] if len(s) == k else -np.inf for s, _ in best])
                 reach = np.sqrt((q * q).sum(1))
@@ -191,8 +203,8 @@ def top_k_of(own: DataFrame, n: int, queries: Column, k: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
-                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vectors"], "<f8").reshape(-1, dim)
-                c_ids, c = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)
+                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), unpacked(r["q_vectors"], dim)
+                c_ids, c = np.frombuffer(r["ids"], "<i8"), unpacked(r["vectors"], dim)
                 best = search_block(q_ids, q, c_ids, c, turn, k, np.frombuffer(r["floor"], "<f8"))
                 counts = np.array([len(s) for s, _ in best], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([r["group"]], pa.int64()), pa.array([r["q_ids"]], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([np.concatenate([i for _, i in best]).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate([s for s, _ in best]).astype("<i8").tobytes()], pa.binary())], ["group", "q_ids", "counts", "ids", "scores"])

@@ -63,3 +63,21 @@ def test_few_rows(spark):
     assert told(topk.top_k(df, F.col("vec_id") % 20 == 0)) == [(0, 1, 3, 2048), (0, 2, 20, -4096), (20, 1, 3, -2048), (20, 2, 0, -4096)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk.top_k(df, F.col("vec_id") % 20 == 7).count() == 0
+
+
+def test_exploded_rows_are_shuffled_not_broadcast(spark):
+    """Spark takes exploded rows for as many bytes as before; such a side must not reach the driver for a join."""
+    from corpusmill.llm.common import split_join
+
+    left = spark.range(20).select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    right = spark.range(10).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("double"))
+    met = split_join(left, right, "k", left.groupBy("k").agg(F.count("*").alias("n")), F.col("id"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in plan and sorted(map(tuple, met.select("id", "k", "double").collect())) == [(i, k, 2 * k) for i in range(20) for k in range(10)]
+
+
+@pytest.mark.parametrize(("top", "size"), [(127, 1), (-128, 2), (32768, 4), (-(2.0**31), 8), (2.0**60, 8)])
+def test_packed_vectors_come_back_whole(top, size):
+    x = np.array([[top, 0.0], [-1.0, 3.0]])
+    data = topk.packed(x)
+    assert len(data) == 1 + 4 * size and (topk.unpacked(data, 2) == x).all()
