@@ -7,7 +7,7 @@ minwise tokens: two sets of similarity s meet in one with probability s**PATH. W
 1. every member is compared with the node's pivot (its smallest id), which links groups of any size by few pairs;
 2. after the components of these links are known, only pairs of different components are left. A node in which all but
    LEAST members belong to one component is compared exhaustively: the few against all, in tasks of BLOCK members that
-   read the texts and return links alone;
+   read the texts and return links alone, of each task only those that join two components;
 3. a larger mixed node branches: its members go to BRANCHES child nodes, each chosen by PATH further minwise tokens that
    depend on the node. Less similar sets lose each other from level to level. Nodes that are still large at DEPTH are
    compared exhaustively as well, in chunks of LEAST, so no cap drops a pair.
@@ -27,7 +27,7 @@ columns are dropped by near_duplicates() and kept by keep_one(), whatever their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +173,54 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den
     return edges
 
 
+class Chunk:
+    """The few of one chunk of a node, in memory, and the components that its links have joined so far.
+
+    A row meets all of them at once by the postings of their shingles. Of the links of one task only those are told that join two
+    components: fewer than it has rows, however many of its pairs are similar.
+    """
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den, self.up, self.rows, self.names = num, den, {}, [], None
+
+    def hold(self, own: int, root: int, sign: np.ndarray, names: np.ndarray) -> None:
+        self.rows.append((own, root, sign, names))
+
+    def close(self) -> list[tuple[int, int]]:
+        """All are there: the links among them."""
+        ids, roots, signs, sets = zip(*self.rows, strict=True) if self.rows else ((), (), (), ())
+        self.rows, self.ids, self.tops = [], np.array(ids, np.int64), np.array(roots, np.int64)
+        self.table, self.sizes = np.array(signs, np.uint16).reshape(len(ids), SIGNS), np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.names, self.owners = flat[order], np.repeat(np.arange(len(ids)), self.sizes)[order]
+        return [link for row in zip(ids, roots, signs, sets, strict=True) for link in self.links(*row[:3], lambda x=row[3]: x)]
+
+    def links(self, own: int, root: int, sign: np.ndarray, names_of: Callable[[], np.ndarray]) -> list[tuple[int, int]]:
+        top = root
+        while top in self.up:
+            top = self.up[top]
+        if top != root:
+            self.up[root] = top
+        # what is joined already needs no further link
+        fit = (self.tops != top) & ((self.table == sign).mean(axis=1) >= self.num / self.den - MARGIN)
+        if not fit.any():
+            return []
+        names = names_of()
+        low, high = np.searchsorted(self.names, names), np.searchsorted(self.names, names, side="right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        shared = np.bincount(self.owners[at], minlength=len(self.ids))
+        alike = np.flatnonzero(fit & (shared > 0) & (self.den * shared >= self.num * (self.sizes + len(names) - shared)))
+        found = []
+        for other, k in zip(*np.unique(self.tops[alike], return_index=True), strict=True):
+            mate = int(self.ids[alike[k]])
+            found.append((min(mate, own), max(mate, own)))
+            self.up[int(other)] = top
+            self.tops[self.tops == other] = top
+        return found
+
+
 def exhaustive(leaves: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between components of leaf nodes; leaves (node, id, root, major, minor, n): a written table.
 
@@ -185,39 +233,38 @@ def exhaustive(leaves: DataFrame, classes: DataFrame, docs: DataFrame, num: int,
     goal = lambda c, b, held: F.struct(c.cast("int").alias("c"), b.cast("int").alias("b"), F.lit(held).alias("held"))
     as_few = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: goal(F.col("_c"), b, 0))
     as_member = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: goal(c, F.col("_b"), 1))
-    # within a chunk the few meet each other as they come, so they pass as members only by other chunks
+    # within a chunk the few meet each other as soon as all are there, so they pass as members only by other chunks
     others = F.when(~F.col("few"), as_member).otherwise(F.filter(as_member, lambda g: g["c"] != F.col("_c")))
     sent = dealt.select("node", "id", "root", F.explode(F.when(F.col("few"), F.concat(as_few, others)).otherwise(others)).alias("g"))
-    rows = sent.join(classes.select("id", "signs"), "id").join(texts, "id").select("node", "g.c", "g.b", "g.held", "id", "root", "signs", "text")
+    # one row for each id first, so the dealt rows are shuffled once
+    whole = texts.join(classes.select("id", "signs"), "id")
+    rows = sent.join(whole, "id").select("node", "g.c", "g.b", "g.held", "id", "root", "signs", "text")
+
+    def told(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, roots, signs, sets = None, [], [], [], []
-        table = np.zeros((0, SIGNS), np.uint16)
+        now, chunk, found = None, Chunk(num, den), []
         for batch in batches:
-            found = []
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("node", "c", "b")), strict=True))
             held, own, root, sign = (batch.column(c).to_pylist() for c in ("held", "id", "root", "signs"))
             data, at = buffers(batch.column("text"))
             for i, key in enumerate(keys):
                 if key != now:
-                    now, ids, roots, signs, sets = key, [], [], [], []
-                    table = np.zeros((0, SIGNS), np.uint16)
-                mine, names = np.frombuffer(sign[i], np.uint16), None
-                if len(table) != len(signs):
-                    table = np.array(signs)
-                for k in np.flatnonzero((table == mine).mean(axis=1) >= num / den - MARGIN) if len(signs) else ():
-                    if roots[k] != root[i]:
-                        if names is None:
-                            names = next(s for _, s in shingle_sets(data, at[i : i + 2]))
-                        if similar(names, sets[k], num, den):
-                            found.append((min(ids[k], own[i]), max(ids[k], own[i])))
+                    if chunk.names is None:
+                        found += chunk.close()
+                    now, chunk = key, Chunk(num, den)
+                mine, names_of = np.frombuffer(sign[i], np.uint16), lambda i=i: next(x for _, x in shingle_sets(data, at[i : i + 2]))  # noqa: B023
                 if held[i] == 0:
-                    ids.append(own[i])
-                    roots.append(root[i])
-                    signs.append(mine)
-                    sets.append(names if names is not None else next(s for _, s in shingle_sets(data, at[i : i + 2])))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    chunk.hold(own[i], root[i], mine, names_of())
+                    continue
+                if chunk.names is None:
+                    found += chunk.close()
+                found += chunk.links(own[i], root[i], mine, names_of)
+            yield told(found)
+            found = []
+        yield told(found if chunk.names is not None else chunk.close())
 
     edges = materialize(rows.repartition(F.col("node"), F.col("c"), F.col("b")).sortWithinPartitions("node", "c", "b", "held").mapInArrow(work, "a long, b long").distinct(), "links")
     discard(texts)

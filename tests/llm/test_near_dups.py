@@ -117,3 +117,19 @@ def test_hot_keys_are_split(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dups.near_duplicates(df).count() == 0
+
+
+def test_a_group_of_near_copies_makes_fewer_links_than_rows(spark):
+    """All pairs of 80 near copies are similar; of a task's links only those that join two components are told."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm import common, components
+
+    dice = random.Random(13)
+    texts = group(dice, 80, 200, 3, 8) + group(dice, 40, 200, 3, 9) + [" ".join(f"u{dice.randrange(10**6)}" for _ in range(30)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = common.materialize(near_dups.sketch(docs).select(F.col("doc_id").alias("id"), "signs", "digest"), "classes")
+    leaves = classes.select(F.lit(1).cast("long").alias("node"), "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("major"), F.lit(len(texts) - 1).cast("long").alias("minor"), F.lit(len(texts)).cast("long").alias("n"))
+    links = near_dups.exhaustive(common.materialize(leaves, "leaves"), classes, docs, 75, 100)
+    assert links.count() < len(texts)
+    assert {(r["id"], r["root"]) for r in components.components(links).collect()} == {(i, 0 if i < 80 else 80) for i in range(120)}
