@@ -21,20 +21,25 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound
 from ..functions.fold import terms
 from ..functions.text import TOKENS, placed_snippet
-from ..session import shared_folder
+from ..session import shared_folder, ship
 from ..sources.sinks import delete, exists, names, put_new, small_text
 from .search import bm25, query_terms
 
 FAN, BLOCK = 8, 32_768
 BUCKETS, FINER = 64, 8
+PIECE = 1 << 18  # tokens handled at once
 SMALL, LARGE = 1 << 12, 1 << 20  # documents from which a run has buckets, and finer ones
 
 
@@ -116,8 +121,8 @@ class TextIndex:
             raise ValueError("a key is null or comes twice")
         if not count:
             return
-        one = rows.select("t", self.key, "gen", "ord", F.size("t").cast("long").alias("n")).select(F.explode(grouped("t")).alias("w"), self.key, "n", "gen", "ord")
-        self._write(one.select("w.token", self.key, "n", F.size("w.places").alias("tf"), "w.places", "gen", "ord"), path, buckets := _buckets(count))
+        ship(self.spark)
+        self._write(postings_of(rows, self.key, self.kind), path, buckets := _buckets(count))
         delete(self.spark, f"{path}/texts")
         dead, gone, gone_tokens = self._killed(fresh, now)
         run = {"path": path, "tier": 0, "docs": count, "buckets": buckets}
@@ -221,7 +226,7 @@ class TextIndex:
 
 
 def grouped(tokens: str) -> Column:
-    """(token, places) of each distinct token of an array: its sorted runs, each cut out once."""
+    """(token, places) of each distinct token of an array: its sorted runs, each cut out once. postings_of() does it for many rows at once."""
     pairs = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("place"))))
 
     def cut(s: Column) -> Column:
@@ -232,6 +237,33 @@ def grouped(tokens: str) -> Column:
     return bound(pairs, cut)
 
 
+def postings_of(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """(token, key, n, tf, places, gen, ord) of each distinct token of each row (key, t, gen, ord)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, low = np.cumsum(pc.list_value_length(batch.column("t")).to_numpy(zero_copy_only=False)), 0
+            while low < batch.num_rows:
+                # rows of about PIECE tokens at once, a longer one alone
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, side="right")))
+                yield cut(batch.slice(low, high - low))
+                low = high
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = pc.list_value_length(batch.column("t")).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = batch.column("t").flatten().dictionary_encode()
+        codes, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(row * max(1, len(coded.dictionary)) + codes, kind="stable")
+        codes, row, place = codes[order], row[order], (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(codes) != 0) | (np.diff(row) != 0)][: len(codes)])
+        at, of = np.append(first, len(codes)).astype(np.int32), row[first]
+        own = lambda name: batch.column(name).take(pa.array(of))
+        places = pa.ListArray.from_arrays(pa.array(at), pa.array(place.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[first])), own(key), pa.array(sizes[of]), pa.array(np.diff(at)), places, own("gen"), own("ord")], ["token", key, "n", "tf", "places", "gen", "ord"])
+
+    return rows.select(key, "t", "gen", "ord").mapInArrow(work, f"token string, {key} {kind}, n long, tf int, places array<int>, gen int, ord long")
+
+
 def _buckets(docs: int) -> int:
     """A small run is one file; from LARGE documents on, the second letter tells buckets apart as well."""
     return 1 if docs < SMALL else BUCKETS if docs < LARGE else BUCKETS * FINER

@@ -138,3 +138,16 @@ def test_queries_fold_as_texts_do(spark):
     for i, t in enumerate(texts):
         for found in (search.search_full_text(docs, "id", F.col("text"), t), search.search_static(docs, F.col("text"), {}, t)):
             assert i in {r["id"] for r in found.collect()}, t
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_postings_of_many_rows_are_those_of_each(spark, monkeypatch, piece):
+    monkeypatch.setattr(index, "PIECE", piece)
+    dice = random.Random(5)
+    texts = [[dice.choice(["a", "b", "ä", "bb", "йод", ""]) for _ in range(n)] for n in (0, 1, 5, 40, 0, 0, 3, 12, 0)]
+    rows = spark.createDataFrame([(f"k{i}", t, 3, 10**12 + i) for i, t in enumerate(texts)], "id string, t array<string>, gen int, ord long").coalesce(1)
+    got = index.postings_of(rows, "id", "string").collect()
+    want = {(f"k{i}", w): [j for j, x in enumerate(t) if x == w] for i, t in enumerate(texts) for w in t}
+    assert {(r["id"], r["token"]): r["places"] for r in got} == want and len(got) == len(want)
+    assert all((r["n"], r["tf"], r["gen"], r["ord"]) == (len(texts[int(r["id"][1:])]), len(r["places"]), 3, 10**12 + int(r["id"][1:])) for r in got)
+    assert index.postings_of(rows.limit(0), "id", "string").count() == 0
