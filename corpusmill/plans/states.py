@@ -389,17 +389,17 @@ def table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, modified, 'pending' AS state FROM c WHERE bad UNION ALL SELECT id, modified, 'revision' FROM c WHERE NOT bad
 UNION ALL SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'revision' FROM events WHERE event_id % 4 = 0""")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches of the feed against versioned state; files whose handling fails stay pending."""
+    """The feed in three parts against versioned state; files whose handling fails stay pending."""
     base, events = shared_folder(spark, "incremental"), load(spark, sf_dir, "events")
     rows = events.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "event_type")
     incremental.begin(base, 8, known=rows.where("id % 50 = 0"), revisions=rows.where("id % 4 = 0"), pending=rows.where("id < 0"))
-    for part in range(3):
-        rows.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
     failing = events.where("value < 10").select(F.col("event_id").alias("id"), F.lit("unreadable").alias("error"))
     handle = lambda todo: todo.join(failing, "id", "left").select("id", "error")
-    stream = feeds.read(spark, f"{base}/in", rows.schema, per_trigger=1)
-    query = incremental.run(stream, base, handle, F.col("id") % 10 != 3, F.col("event_type") != "error", f"{base}/checkpoint")
-    query.awaitTermination()
+    for part in range(3):
+        # each part comes in as many files as tasks write, and a run takes all that is there
+        rows.where(F.col("id") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        stream = feeds.read(spark, f"{base}/in", rows.schema)
+        incremental.run(stream, base, handle, F.col("id") % 10 != 3, F.col("event_type") != "error", f"{base}/checkpoint").awaitTermination()
     told = lambda name, word: incremental.tables(spark, base).read(name).withColumn("state", F.lit(word))
     return told("pending", "pending").union(told("revisions", "revision"))
 

@@ -2,7 +2,7 @@
 
 State is three keyed tables: `known` (id), `revisions` and `pending` (id, modified). A batch's changes join what is still pending;
 what the handler ends without an error is acknowledged, all else stays pending and is tried again with the next batch. Only the
-buckets that a batch's ids fall in are read and written again. What a batch has to do and what its handler did are written
+buckets that a batch's ids fall in are read and written again. What came with a batch, what it has to do and what its handler did are written
 by its number before the commit, so a batch that is tried again after that asks the handler no more, and one that was committed
 changes nothing.
 """
@@ -43,7 +43,8 @@ def step(batch: DataFrame, number: int, folder: str, handle: Callable[[DataFrame
         return
     among = own.buckets_of(batch)
     told = state.classify_changes(batch, own.read("revisions", among, now), own.read("known", among, now), in_scope, typed).where(F.col("change").isin("new", "modified"))
-    latest = told.groupBy("id").agg(F.max("modified").alias("modified"))
+    # written: it is read four times, and each would classify the batch again
+    latest = _once(told.groupBy("id").agg(F.max("modified").alias("modified")), f"{folder}/latest/batch={number}", KINDS["pending"])
     todo = _once(state.upsert(own.read("pending", None, now), latest, ["id"], ["modified"]), f"{folder}/todo/batch={number}", KINDS["pending"])
     done = _once(handle(todo).where("error is null").select("id").distinct(), f"{folder}/done/batch={number}", "id long")
     left, promoted = state.acknowledge(todo, spark.createDataFrame([], KINDS["revisions"]), done)

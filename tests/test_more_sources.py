@@ -133,3 +133,21 @@ def test_marks_of_a_long_text_take_time_in_proportion(spark):
     raw = "é & ação " * 20_000
     got = spark.createDataFrame([(raw,)], "t string").select(text.highlight(F.col("t"), ["acao"])).first()[0]
     assert got == "é &amp; <mark>ação</mark> " * 20_000
+
+
+def test_a_batch_is_classified_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    base, asked = f"file://{tmp_path}/state", spark.sparkContext.accumulator(0)
+    none = spark.createDataFrame([], "id long, modified string")
+    incremental.begin(base, known=none.select("id"), revisions=none, pending=none)
+
+    @F.udf("boolean")
+    def seen(i):
+        asked.add(1)
+        return i % 2 == 0
+
+    feed = spark.range(40).select("id", F.lit("t1").alias("modified")).coalesce(1)
+    incremental.step(feed, 0, base, lambda todo: todo.select("id", F.lit(None).cast("string").alias("error")), seen.asNondeterministic()("id"), F.lit(True))
+    assert sorted(r["id"] for r in incremental.tables(spark, base).read("known").collect()) == list(range(0, 40, 2))
+    assert asked.value == 40
